@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["metrics"]
+MODULES = ["metrics", "filters", "joins"]
 
 
 def load() -> tuple[dict, dict]:

@@ -131,6 +131,47 @@ FROM orders JOIN customer ON c_custkey=o_custkey""",
     "core_member": """
 SELECT DISTINCT c_nationkey AS project_id, c_custkey AS user_id
 FROM customer WHERE c_mktsegment='BUILDING'""",
+    "pr_author": """
+SELECT p.project_id, p.pr_id, p.author_id, u.login AS author_login, j.url AS project_url,
+  p.created_at, p.is_closed, p.is_merged,
+  CASE p.author_id%4 WHEN 0 THEN '' WHEN 1 THEN j.url
+    ELSE concat(u.login, ':dev/repo', CAST(p.project_id AS STRING)) END AS fork_url
+FROM pull_request p JOIN user_account u ON u.user_id=p.author_id
+JOIN project j ON j.project_id=p.project_id""",
+    "member_login": """
+SELECT m.project_id, u.login FROM core_member m JOIN user_account u ON u.user_id=m.user_id""",
+    "commit_login": """
+SELECT c.sha, c.repo_id, CAST(c.login_id%25 AS INT) AS project_id, c.committed_at,
+  CASE WHEN c.login_id%13<>0 THEN u.login END AS login,
+  concat('mail', CAST(c.login_id AS STRING), '@example.org') AS email
+FROM commit c LEFT JOIN user_account u ON u.user_id=c.login_id""",
+    "fork_pair": """
+SELECT r.repo_id, r.url AS fork_url, u.repo_id AS upstream_id, u.url AS upstream_url
+FROM repository r JOIN repository u ON u.repo_id=r.parent_id""",
+    "repository_tree": """
+SELECT s_suppkey AS repo_id,
+  CASE WHEN s_suppkey%10<>0 THEN s_suppkey - 1 - s_suppkey%3%2 END AS parent_id
+FROM supplier""",
+    "branch_commit": """
+SELECT l_suppkey AS repo_id,
+  concat('b', CAST(l_linenumber AS STRING), '-', l_returnflag) AS branch, l_partkey AS sha
+FROM lineitem""",
+    "dag_branch": """
+SELECT pair_id, concat('b', CAST(sha%3 AS STRING)) AS branch,
+  max_by(sha, @STRUCT(commit_at|sha)@) AS sha, max(commit_at) AS head_at
+FROM dag GROUP BY pair_id, concat('b', CAST(sha%3 AS STRING))""",
+    "dag_up_branch": """
+SELECT pair_id, concat('b', CAST(sha%3 AS STRING)) AS branch,
+  max_by(sha, @STRUCT(commit_at|sha)@) AS sha
+FROM dag WHERE sha%7<>0 GROUP BY pair_id, concat('b', CAST(sha%3 AS STRING))""",
+    "dag_fork_point": """
+SELECT pair_id, max(commit_at) AS forked_at, max(CAST(commit_at AS DATE)) AS forked_on
+FROM dag WHERE sha%4=1 GROUP BY pair_id""",
+    "pr_history": """
+SELECT p.author_id%100 AS repo_id, p.pr_id,
+  CASE l.l_linenumber%4 WHEN 0 THEN 'merged' WHEN 1 THEN 'opened' WHEN 2 THEN 'opened'
+    ELSE 'closed' END AS action
+FROM pull_request p JOIN lineitem l ON l.l_orderkey=p.pr_id""",
     "fork_commit": """
 SELECT l_suppkey AS repo_id, l_suppkey - l_suppkey%5 AS parent_id,
   l_orderkey*100+l_linenumber AS sha,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 65_536
-HASH_BITS = 12
+SLICE_DIGITS = 3
 
 
 def previous_value(
@@ -35,12 +35,11 @@ def previous_value(
 def shuffled_rank(df: DataFrame, keys: list[str], seed_key: Column, out: str) -> DataFrame:
     """Add ``out``: the 1-based rank of a row in its group in a reproducible random order.
 
-    The order is that of a hash, so its leading bits cut any group into even slices;
-    the slice counts give the offset of a slice.
+    The order is that of the MD5 of ``seed_key``, so its leading hex digits cut any
+    group into even slices; the slice counts give the offset of a slice.
     """
-    slices = 1 << HASH_BITS
-    ranked = df.withColumn("_hash", F.xxhash64(seed_key)).withColumn(
-        "_slice", F.shiftright("_hash", 64 - HASH_BITS) + slices // 2
+    ranked = df.withColumn("_hash", F.md5(seed_key.cast("string").cast("binary"))).withColumn(
+        "_slice", F.substring("_hash", 1, SLICE_DIGITS)
     )
     sizes = ranked.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
@@ -49,7 +48,7 @@ def shuffled_rank(df: DataFrame, keys: list[str], seed_key: Column, out: str) ->
     offsets = sizes.select(
         *keys, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_hash", seed_key)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_hash")
     return (
         ranked.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_slice"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forklore.operators.groups import shuffled_rank
@@ -14,12 +14,17 @@ def first_forks(forks: DataFrame, n: int = 100, project: str = "project_id", by:
     return latest_per_group(forks, [project], [F.col(by)], n).drop("rank")
 
 
+def _order(key: str, seed: int) -> Column:
+    """Reproducible random order: the MD5 of key and seed, the same in any engine."""
+    return F.concat_ws("-", F.col(key), F.lit(seed))
+
+
 def sample_exactly(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows without replacement: the smallest hashes of key and seed.
+    """Exactly ``n`` rows without replacement: the smallest hashes of a unique key.
 
     Each task keeps its own ``n`` smallest, so nothing is sorted as a whole.
     """
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return rows.orderBy(F.md5(_order(key, seed).cast("binary"))).limit(n)
 
 
 def sample_prs(
@@ -31,12 +36,5 @@ def sample_prs(
     quota = F.when(F.col("_n") <= keep_all_up_to, F.col("_n")).otherwise(
         F.floor(F.col("_n") / share) + 1
     )
-    ranked = shuffled_rank(
-        prs.withColumn("_seeded", F.struct(F.col("pr_id"), F.lit(seed))),
-        keys,
-        F.col("_seeded"),
-        "_rank",
-    )
-    return (
-        ranked.join(sizes, keys).filter(F.col("_rank") <= quota).drop("_n", "_rank", "_seeded")
-    )
+    ranked = shuffled_rank(prs, keys, _order("pr_id", seed), "_rank")
+    return ranked.join(sizes, keys).filter(F.col("_rank") <= quota).drop("_n", "_rank")
