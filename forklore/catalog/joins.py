@@ -25,8 +25,8 @@ def j01(t: Tables):
 @query(
     "j02_pr_commit_file_join",
     """SELECT p.project_id, p.pr_id, m.sha, f.filename, f.status
-    FROM pull_request p, pr_commit m, commit c, commit_file f
-    WHERE p.project_id=m.project_id AND p.pr_id=m.pr_id AND m.sha=c.sha AND c.sha=f.sha""",
+    FROM pull_request p JOIN pr_commit m ON p.project_id=m.project_id AND p.pr_id=m.pr_id
+    JOIN commit c ON m.sha=c.sha JOIN commit_file f ON c.sha=f.sha""",
 )
 def j02(t: Tables):
     return joins.pr_changed_files(t.pull_request, t.pr_commit, t.commit, t.commit_file).select(
