@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["metrics", "filters", "joins", "aggregates", "windows", "sets"]
+MODULES = ["metrics", "filters", "joins", "aggregates", "windows", "sets", "functions", "graphs"]
 
 
 def load() -> tuple[dict, dict]:

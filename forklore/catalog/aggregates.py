@@ -239,7 +239,8 @@ def a15(t: Tables):
 @query(
     "a15_first_level_share",
     """WITH RECURSIVE tree AS (
-      SELECT repo_id AS root_id, repo_id, 0 AS level FROM repository_tree WHERE parent_id IS NULL
+      SELECT repo_id AS root_id, repo_id, 0 AS level FROM repository_tree
+        WHERE parent_id IS NULL OR parent_id NOT IN (SELECT repo_id FROM repository_tree)
       UNION ALL
       SELECT tr.root_id, r.repo_id, tr.level+1 FROM tree tr
       JOIN repository_tree r ON r.parent_id=tr.repo_id)
