@@ -132,7 +132,7 @@ def f09(t: Tables):
     return t.pr_comment.select(
         "project_id", "pr_id", "comment_pos",
         F.explode(text.referenced_numbers(F.col("body"))).alias("number"),
-    )
+    ).distinct()
 
 
 @query(
@@ -145,7 +145,7 @@ def f10(t: Tables):
     return t.pr_comment.select(
         "project_id", "pr_id", "comment_pos",
         F.explode(text.issue_links(F.col("body"))).alias("number"),
-    )
+    ).distinct()
 
 
 @query(

@@ -46,6 +46,12 @@ ANCESTORS = """anc AS (
       WHERE h.on_line AND h.is_merge AND NOT EXISTS (
         SELECT 1 FROM anc p WHERE p.pair_id=h.pair_id AND p.sha=d.parent1 AND p.up=a.up))"""
 
+
+def _on_side_branches(sql: str) -> str:
+    """The same SQL on the graphs whose merges bring in side branches."""
+    return sql.replace("dag_edge", "side_edge").replace(" dag ", " side_dag ")
+
+
 SOURCES = """source AS (
       SELECT pair_id, sha, parent2 AS at FROM dag WHERE parent2 IS NOT NULL
       UNION
@@ -117,15 +123,17 @@ def g05(t: Tables):
 
 @query(
     "g06_merge_contributions",
-    f"WITH RECURSIVE {ANCESTORS} SELECT pair_id, side, merge_sha, sha FROM brought",
+    _on_side_branches(
+        f"WITH RECURSIVE {ANCESTORS} SELECT pair_id, side, merge_sha, sha FROM brought"
+    ),
 )
 def g06(t: Tables):
-    return dag.merge_contributions(t.dag_edge, dag.decompose_branches(t.dag_edge, t.dag_head))
+    return dag.merge_contributions(t.side_edge, dag.decompose_branches(t.side_edge, t.dag_head))
 
 
 @query(
     "g07_set_algebra_classification",
-    f"""WITH RECURSIVE {ANCESTORS}, {SOURCES},
+    _on_side_branches(f"""WITH RECURSIVE {ANCESTORS}, {SOURCES},
     moved AS (SELECT b.pair_id, b.side, b.sha,
       bool_or(h.on_line AND NOT h.is_merge) AS from_line
       FROM brought b JOIN origin o ON o.pair_id=b.pair_id AND o.sha=b.merge_sha
@@ -150,10 +158,10 @@ def g06(t: Tables):
       count(*) FILTER (rest) AS only_U_with_prs, count(*) FILTER (f2u) AS "F2U",
       count(*) FILTER (u2f) AS "U2F", count(*) FILTER (any_f) AS "U2F_with_prs",
       count(*) FILTER (second AND NOT any_f AND NOT rest) AS syncs
-    FROM y GROUP BY 1""",
+    FROM y GROUP BY 1"""),
 )
 def g07(t: Tables):
-    return classify.compare_histories(t.dag_edge, t.dag_head)
+    return classify.compare_histories(t.side_edge, t.dag_head)
 
 
 @query(
@@ -307,10 +315,10 @@ def g12b(t: Tables):
 
 @query(
     "g13_branch_decomposition",
-    f"""WITH RECURSIVE {ANCESTORS}
+    _on_side_branches(f"""WITH RECURSIVE {ANCESTORS}
     SELECT pair_id, side, sha, on_line, is_merge, CASE WHEN on_line AND NOT is_merge THEN 'origin'
       WHEN on_line THEN 'merge_point' WHEN NOT is_merge THEN 'contribution'
-      ELSE 'inner_merge' END AS role FROM hist""",
+      ELSE 'inner_merge' END AS role FROM hist"""),
 )
 def g13(t: Tables):
-    return dag.decompose_branches(t.dag_edge, t.dag_head).drop("depth")
+    return dag.decompose_branches(t.side_edge, t.dag_head).drop("depth")

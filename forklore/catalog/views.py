@@ -103,6 +103,17 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 SELECT pair_id, sha, parent1 AS parent, 0 AS parent_pos FROM dag
 UNION ALL
 SELECT pair_id, sha, parent2, 1 FROM dag WHERE parent2 IS NOT NULL""",
+    "side_dag": """
+SELECT o_custkey AS pair_id, o_orderkey AS sha, o_orderdate AS commit_at,
+  CASE WHEN o_orderkey%4=0 AND lag(o_orderkey,2) OVER w IS NOT NULL
+    THEN lag(o_orderkey,2) OVER w ELSE lag(o_orderkey,1) OVER w END AS parent1,
+  CASE WHEN o_orderkey%4=0 AND lag(o_orderkey,2) OVER w IS NOT NULL
+    THEN lag(o_orderkey,1) OVER w END AS parent2
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+    "side_edge": """
+SELECT pair_id, sha, parent1 AS parent, 0 AS parent_pos FROM side_dag
+UNION ALL
+SELECT pair_id, sha, parent2, 1 FROM side_dag WHERE parent2 IS NOT NULL""",
     "dag_head": """
 SELECT pair_id, CASE WHEN sha%2=0 THEN 'upstream' ELSE 'fork' END AS side,
   max_by(sha, @STRUCT(commit_at|sha)@) AS sha, max(commit_at) AS head_at

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forklore.session import materialize
+from forklore.session import materialize, materialize_counted
 
 # The distance printed for a commit that no head reaches, and the most
 # heads a side may have before its pair is left out.
@@ -80,10 +80,6 @@ def _first_parents(edges: DataFrame) -> DataFrame:
     return nodes.join(first, NODE, "left")
 
 
-def _is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
 def _heights(first: DataFrame) -> DataFrame:
     """Add ``depth`` (first parents below a commit) and ``height`` (longest line above it).
 
@@ -122,9 +118,9 @@ def _heights(first: DataFrame) -> DataFrame:
                 F.greatest("height", F.coalesce("_above", F.lit(0))).alias("height"),
             )
         )
-        state = materialize(state, "heights")
+        state, n_open = materialize_counted(state, "heights", F.col("up").isNotNull())
         step *= 2
-        if _is_empty(state.filter(F.col("up").isNotNull())):
+        if not n_open:
             return state.drop("up")
 
 
@@ -151,8 +147,8 @@ def first_parent_chains(edges: DataFrame) -> DataFrame:
         F.col("_heir").isNull().alias("done"),
     )
     while True:
-        state = materialize(state, "chains")
-        if _is_empty(state.filter(~F.col("done"))):
+        state, n_open = materialize_counted(state, "chains", ~F.col("done"))
+        if not n_open:
             return state.drop("done")
         target = state.select(
             "pair_id",
@@ -233,10 +229,10 @@ def _cover_from(
         level: list[DataFrame] = []
         frontier = _new_cover(entries, covered())
         while True:
-            frontier = materialize(
+            frontier, n_new = materialize_counted(
                 frontier.withColumn("distance", F.lit(distance)), "cover"
             )
-            if _is_empty(frontier):
+            if not n_new:
                 break
             parts.append(frontier)
             level.append(frontier)
@@ -361,13 +357,13 @@ def merge_contributions(edges: DataFrame, branches: DataFrame) -> DataFrame:
             .agg(F.min("depth").alias("depth"))
         )
 
-    labels = materialize(down(line), "labels")
+    labels, n_new = materialize_counted(down(line), "labels")
     front = labels
-    while not _is_empty(front):
+    while n_new:
         found = down(front).join(
             labels.withColumnRenamed("depth", "_depth"), side, "left"
         ).filter(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth"))).drop("_depth")
-        front = materialize(found, "front")
+        front, n_new = materialize_counted(found, "front")
         labels = materialize(
             labels.unionByName(front).groupBy(*side).agg(F.min("depth").alias("depth")), "labels"
         )
@@ -393,14 +389,18 @@ def merge_sources(edges: DataFrame) -> DataFrame:
     hop = twos.select("pair_id", F.col("sha").alias("source"), F.col("parent1").alias("_next"))
     while True:
         moved = state.join(hop, ["pair_id", "source"], "left")
-        state = materialize(
-            moved.select(*NODE, F.coalesce("_next", "source").alias("source"),
-                         F.col("_next").isNotNull().alias("_moved")),
+        state, n_moved = materialize_counted(
+            moved.select(
+                *NODE,
+                F.coalesce("_next", "source").alias("source"),
+                F.col("_next").isNotNull().alias("_moved"),
+            ),
             "sources",
+            F.col("_moved"),
         )
-        if _is_empty(state.filter("_moved")):
-            return state.drop("_moved")
         state = state.drop("_moved")
+        if not n_moved:
+            return state
         onward = hop.select(
             "pair_id", F.col("source").alias("_next"), F.col("_next").alias("_after")
         )
@@ -436,8 +436,8 @@ def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
             .select(*key, F.col("_parent").alias("sha"), "via", (F.col("step") + 1).alias("step"))
             .join(seen.select(*key, "sha"), [*key, "sha"], "left_anti")
         )
-        front = materialize(grown, "paths")
-        if _is_empty(front):
+        front, n_new = materialize_counted(grown, "paths")
+        if not n_new:
             break
         seen = materialize(seen.unionByName(front), "seen")
     back = seen.filter(F.col("sha") == F.col("ancestor"))
@@ -450,8 +450,8 @@ def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
             .join(seen, [*key, "sha"])
             .select(*seen.columns)
         )
-        nxt = materialize(nxt, "walk")
-        if _is_empty(nxt):
+        nxt, n_new = materialize_counted(nxt, "walk")
+        if not n_new:
             break
         walked.append(nxt)
     return reduce(lambda a, b: a.unionByName(b), walked).select(*key, "step", "sha")
@@ -474,13 +474,13 @@ def fork_tree(repositories: DataFrame) -> DataFrame:
     levels = []
     children = repositories.select(F.col("parent_id").alias("_up"), F.col("repo_id").alias("_id"))
     while True:
-        front = materialize(
+        front, n_new = materialize_counted(
             front.join(children, front.repo_id == children._up).select(
                 "root_id", F.col("_id").alias("repo_id"), (F.col("level") + 1).alias("level")
             ),
             "tree",
         )
-        if _is_empty(front):
+        if not n_new:
             break
         levels.append(front)
     if not levels:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_dirs: dict[str, str] = {}
@@ -63,3 +64,14 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, label: str, counted: Column | None = None):
+    """:func:`materialize`, and the number of rows (those that meet ``counted``).
+
+    The count is observed while writing, so no second job is needed for it.
+    """
+    seen = Observation()
+    what = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    written = materialize(df.observe(seen, what.alias("n")), label)
+    return written, seen.get["n"]
