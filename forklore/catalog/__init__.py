@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["metrics", "filters", "joins", "aggregates", "windows", "sets", "functions", "graphs"]
+MODULES = [
+    "metrics", "filters", "joins", "aggregates", "windows", "sets", "functions", "graphs",
+    "sources", "streams",
+]
 
 
 def load() -> tuple[dict, dict]:

@@ -438,7 +438,7 @@ def m18(t: Tables):
     au AS (SELECT CAST(pr_id%25 AS INT) AS project_id, pr_id, author_id%20 AS author_id
       FROM pull_request),
     ref AS (SELECT project_id, thread_id, event_pos, actor_id%20 AS actor_id, event_pos AS ref_pr_id,
-      CASE WHEN event_pos%4=0 THEN 'pull_request' ELSE 'issue' END AS ref_type
+      CASE WHEN event_pos%3=0 THEN 'pull_request' ELSE 'issue' END AS ref_type
       FROM timeline_full WHERE event='cross-referenced' AND thread_type='issue'),
     bypr AS (SELECT r.project_id, r.thread_id, r.event_pos, a.pr_id, a.author_id FROM ref r
       JOIN au a ON a.project_id=r.project_id AND a.pr_id=r.ref_pr_id
@@ -456,7 +456,7 @@ def m19(t: Tables):
         t.timeline_full.withColumn("actor_id", F.col("actor_id") % 20)
         .withColumn("ref_pr_id", F.col("event_pos"))
         .withColumn(
-            "ref_type", F.when(F.col("event_pos") % 4 == 0, "pull_request").otherwise("issue")
+            "ref_type", F.when(F.col("event_pos") % 3 == 0, "pull_request").otherwise("issue")
         )
     )
     owners = events.filter("thread_type = 'issue'").select(

@@ -50,14 +50,14 @@ def _any(tests: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-@F.pandas_udf("string")
-def _decompose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
-
-
 def ascii_fold(text: Column) -> Column:
     """Decompose accented letters (NFD) and drop what is not ASCII."""
-    return F.regexp_replace(_decompose(text), r"[^\x00-\x7F]", "")
+
+    @F.pandas_udf("string")
+    def decompose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+
+    return F.regexp_replace(decompose(text), r"[^\x00-\x7F]", "")
 
 
 def strip_brackets(text: Column) -> Column:
