@@ -134,8 +134,8 @@ def a08b(t: Tables):
         f.filename LIKE '%.java' OR f.filename LIKE '%.py' AS s
       FROM pr_commit pc JOIN commit_file f ON f.sha=pc.sha GROUP BY 1, 2, 3)
     SELECT project_id, pr_id,
-      coalesce(round(sum(a::INT)/nullif(sum(a::INT)+sum(m::INT), 0), 6), 0) AS easiness,
-      coalesce(round(sum((a AND s)::INT)/nullif(sum(((a OR m) AND s)::INT), 0), 6), 0)
+      coalesce(sum(a::INT)/nullif(sum(a::INT)+sum(m::INT), 0), 0) AS easiness,
+      coalesce(sum((a AND s)::INT)/nullif(sum(((a OR m) AND s)::INT), 0), 0)
         AS easiness_filtered FROM f GROUP BY 1, 2""",
 )
 def a09(t: Tables):
@@ -170,8 +170,8 @@ def a10(t: Tables):
         sum(CASE WHEN f.filename LIKE '%.java' OR f.filename LIKE '%.py' THEN additions ELSE 0 END)
           AS loc,
         count(DISTINCT f.filename) AS n_files,
-        round(sum(CASE WHEN status='added' THEN additions ELSE 0 END)
-          / nullif(sum(CASE WHEN status<>'removed' THEN additions ELSE 0 END), 0), 6) AS easiness_loc
+        sum(CASE WHEN status='added' THEN additions ELSE 0 END)
+          / nullif(sum(CASE WHEN status<>'removed' THEN additions ELSE 0 END), 0) AS easiness_loc
       FROM pr_commit p JOIN commit_file f ON f.sha=p.sha GROUP BY 1, 2)
     SELECT project_id, round(avg(loc), 6) AS mean_loc, round(median(loc), 6) AS median_loc,
       round(avg(n_files), 6) AS mean_files, round(median(n_files), 6) AS median_files,

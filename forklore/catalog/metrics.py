@@ -126,8 +126,8 @@ per_file AS (
 ),
 easy AS (
   SELECT project_id, pr_id,
-    coalesce(round(sum(a::INT)/nullif(sum((a OR m)::INT), 0), 6), 0) AS easiness,
-    coalesce(round(sum((a AND s)::INT)/nullif(sum(((a OR m) AND s)::INT), 0), 6), 0)
+    coalesce(sum(a::INT)/nullif(sum((a OR m)::INT), 0), 0) AS easiness,
+    coalesce(sum((a AND s)::INT)/nullif(sum(((a OR m) AND s)::INT), 0), 0)
       AS easiness_filtered
   FROM per_file GROUP BY 1, 2
 )"""

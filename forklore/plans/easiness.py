@@ -43,7 +43,7 @@ def easiness(
 
     def share(part: str, rest: str):
         total = F.nullif(F.col(part) + F.col(rest), F.lit(0))
-        return F.coalesce(F.round(F.col(part) / total, 6), F.lit(0.0))
+        return F.coalesce(F.col(part) / total, F.lit(0.0))
 
     return sizes.select(
         "project_id",
@@ -103,7 +103,7 @@ def change_sizes(
         "pr_id",
         "loc",
         "n_files",
-        F.round(F.col("_new") / F.nullif(F.col("_all"), F.lit(0)), 6).alias("easiness_loc"),
+        (F.col("_new") / F.nullif(F.col("_all"), F.lit(0))).alias("easiness_loc"),
     )
 
 
