@@ -79,7 +79,7 @@ def g01(t: Tables):
     SELECT pair_id, sha, is_merge, distance_fork, distance_upstream FROM dist""",
 )
 def g02(t: Tables):
-    return dag.head_distances(t.dag_edge, t.dag_head)
+    return dag.head_distances(t.stored("dag_edge"), t.stored("dag_head"))
 
 
 @query(
@@ -87,7 +87,7 @@ def g02(t: Tables):
     f"WITH RECURSIVE {DISTANCE} SELECT pair_id, sha, category FROM class WHERE category<>'before'",
 )
 def g03(t: Tables):
-    return classify.four_way(classify.classify_commits(t.dag_edge, t.dag_head))
+    return classify.four_way(classify.classify_commits(t.stored("dag_edge"), t.stored("dag_head")))
 
 
 @query(
@@ -104,7 +104,7 @@ def g04(t: Tables):
 def _dated(t: Tables):
     dates = t.dag.select("pair_id", "sha", F.col("commit_at").alias("committed_at"))
     return classify.override_by_date(
-        classify.classify_commits(t.dag_edge, t.dag_head),
+        classify.classify_commits(t.stored("dag_edge"), t.stored("dag_head")),
         dates,
         t.dag_fork_point.select("pair_id", "forked_on"),
     )
@@ -128,7 +128,7 @@ def g05(t: Tables):
     ),
 )
 def g06(t: Tables):
-    return dag.merge_contributions(t.side_edge, dag.decompose_branches(t.side_edge, t.dag_head))
+    return dag.merge_contributions(t.stored("side_edge"), dag.decompose_branches(t.stored("side_edge"), t.stored("dag_head")))
 
 
 @query(
@@ -161,7 +161,7 @@ def g06(t: Tables):
     FROM y GROUP BY 1"""),
 )
 def g07(t: Tables):
-    return classify.compare_histories(t.side_edge, t.dag_head)
+    return classify.compare_histories(t.stored("side_edge"), t.stored("dag_head"))
 
 
 @query(
@@ -169,7 +169,7 @@ def g07(t: Tables):
     f"WITH RECURSIVE {ANCESTORS} SELECT pair_id, side, sha FROM hist",
 )
 def g08(t: Tables):
-    return dag.reached(t.dag_edge, t.dag_head).select("pair_id", "side", "sha")
+    return dag.reached(t.stored("dag_edge"), t.stored("dag_head")).select("pair_id", "side", "sha")
 
 
 @query(
@@ -200,7 +200,7 @@ def g08b(t: Tables):
         min_by(d.sha, struct(d.commit_at, d.sha)) AS ancestor
         FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id WHERE h.side='upstream' GROUP BY 1, 2"""
     )
-    return dag.shortest_paths(t.dag_edge, requests)
+    return dag.shortest_paths(t.stored("dag_edge"), requests)
 
 
 @query(
@@ -321,4 +321,4 @@ def g12b(t: Tables):
       ELSE 'inner_merge' END AS role FROM hist"""),
 )
 def g13(t: Tables):
-    return dag.decompose_branches(t.side_edge, t.dag_head).drop("depth")
+    return dag.decompose_branches(t.stored("side_edge"), t.stored("dag_head")).drop("depth")

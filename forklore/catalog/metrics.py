@@ -523,7 +523,7 @@ def m21(t: Tables):
     FROM class GROUP BY 1""",
 )
 def m22(t: Tables):
-    return classify.fork_commit_counts(t.dag_edge, t.dag_head)
+    return classify.fork_commit_counts(t.stored("dag_edge"), t.stored("dag_head"))
 
 
 @query(

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from forklore.session import materialize
+
 # The end of the observed period, counted back from.
 SNAPSHOT = "2001-08-02"
 
@@ -237,6 +239,13 @@ class Tables:
                 self._made[name] = self._derive(VIEWS[name])
         return self._made[name]
 
+    def stored(self, name: str) -> DataFrame:
+        """A view written once as a table, for operators that read it many times."""
+        key = f"stored {name}"
+        if key not in self._made:
+            self._made[key] = materialize(getattr(self, name), name)
+        return self._made[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run a query that names tables or views plainly."""
         return self._derive(text)

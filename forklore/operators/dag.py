@@ -107,17 +107,27 @@ def _heights(first: DataFrame) -> DataFrame:
             F.col("up").alias("_up"),
             F.col("depth").alias("_depth"),
         )
-        state = (
-            state.join(above, NODE, "left")
-            .join(below, ["pair_id", "up"], "left")
+        # Commits that have reached a root do not take part in the second join: their
+        # NULL keys would all meet in one task.
+        risen = state.join(above, NODE, "left").select(
+            *NODE,
+            "first",
+            "up",
+            "depth",
+            F.greatest("height", F.coalesce("_above", F.lit(0))).alias("height"),
+        )
+        moved = (
+            risen.filter(F.col("up").isNotNull())
+            .join(below, ["pair_id", "up"])
             .select(
                 *NODE,
                 "first",
                 F.col("_up").alias("up"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                F.greatest("height", F.coalesce("_above", F.lit(0))).alias("height"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
+                "height",
             )
         )
+        state = moved.unionByName(risen.filter(F.col("up").isNull()))
         state, n_open = materialize_counted(state, "heights", F.col("up").isNotNull())
         step *= 2
         if not n_open:
@@ -493,9 +503,12 @@ def resolve_upstream(repositories: DataFrame) -> DataFrame:
     parent = repositories.select(
         F.col("repo_id").alias("parent_id"), F.col("url").alias("_parent_url")
     )
-    return repositories.join(parent, "parent_id", "left").select(
+    # Most repositories have no parent; joined, their NULL keys would meet in one task.
+    forks = repositories.filter(F.col("parent_id").isNotNull()).join(parent, "parent_id", "left")
+    roots = repositories.filter(F.col("parent_id").isNull())
+    return forks.select(
         "repo_id", "url", F.coalesce("_parent_url", "url").alias("upstream_url")
-    )
+    ).unionByName(roots.select("repo_id", "url", F.col("url").alias("upstream_url")))
 
 
 def are_fork_and_upstream(pairs: DataFrame, repositories: DataFrame) -> DataFrame:

@@ -96,42 +96,64 @@ def pr_commit_sets(rows: DataFrame, keys: list[str], precedence: str = "merged")
 
 
 def contained_branches(branches: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """Branches whose commits all are in a longer branch (equal ones: the lesser name goes).
+    """Branches whose commits all are in a longer branch (of equal ones all but the last name).
 
-    ``branches(repo, branch, sha)``. A branch is compared only with those that hold its
-    rarest commit, instead of with every branch that shares any; a containing branch
-    must hold that commit, so none is missed.
+    ``branches(repo, branch, sha)``. Equal branches are first compared with one of their
+    kind only, found by a fingerprint and then checked commit by commit. The rest is
+    compared with the branches that hold its rarest commit, instead of with every branch
+    that shares any: a containing branch must hold that commit, so none is missed.
     """
     members = branches.select(repo, "branch", "sha").distinct()
-    sizes = members.groupBy(repo, "branch").agg(F.count(F.lit(1)).alias("size"))
+    prints = members.groupBy(repo, "branch").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("sha")).alias("_xor"),
+        F.bit_xor(F.xxhash64(F.lit(1), "sha")).alias("_xor2"),
+    )
+    kinds = prints.groupBy(repo, "size", "_xor", "_xor2").agg(
+        F.max("branch").alias("outer_branch")
+    )
+    twins = (
+        prints.join(kinds, [repo, "size", "_xor", "_xor2"])
+        .filter(F.col("branch") != F.col("outer_branch"))
+        .select(repo, "branch", "outer_branch", "size")
+    )
+    outer = members.withColumnRenamed("branch", "outer_branch")
+    equal = _fully_shared(twins, members, outer, repo)
+    members = members.join(equal, [repo, "branch"], "left_anti")
+    outer = members.withColumnRenamed("branch", "outer_branch")
+    sizes = prints.select(repo, "branch", "size")
     spread = members.groupBy(repo, "sha").agg(F.count(F.lit(1)).alias("spread"))
     rarest = (
         members.join(spread, [repo, "sha"])
         .groupBy(repo, "branch")
         .agg(F.min_by("sha", F.struct("spread", "sha")).alias("sha"))
     )
-    outer = members.withColumnRenamed("branch", "outer_branch")
     outer_size = sizes.select(
         repo, F.col("branch").alias("outer_branch"), F.col("size").alias("outer_size")
     )
     candidates = (
         rarest.join(outer, [repo, "sha"])
-        .filter(F.col("branch") != F.col("outer_branch"))
         .join(sizes, [repo, "branch"])
         .join(outer_size, [repo, "outer_branch"])
-        .filter(
-            (F.col("outer_size") > F.col("size"))
-            | ((F.col("outer_size") == F.col("size")) & (F.col("branch") < F.col("outer_branch")))
-        )
+        .filter(F.col("outer_size") > F.col("size"))
         .select(repo, "branch", "outer_branch", "size")
     )
-    shared = (
+    return equal.unionByName(_fully_shared(candidates, members, outer, repo)).distinct()
+
+
+def _fully_shared(
+    candidates: DataFrame, members: DataFrame, outer: DataFrame, repo: str
+) -> DataFrame:
+    """Candidate branches all of whose commits are in the candidate outer branch."""
+    return (
         candidates.join(members, [repo, "branch"])
         .join(outer, [repo, "outer_branch", "sha"], "left_semi")
         .groupBy(repo, "branch", "outer_branch", "size")
         .agg(F.count(F.lit(1)).alias("shared"))
+        .filter(F.col("shared") == F.col("size"))
+        .select(repo, "branch")
+        .distinct()
     )
-    return shared.filter(F.col("shared") == F.col("size")).select(repo, "branch").distinct()
 
 
 def files_in_common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

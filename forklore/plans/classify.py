@@ -30,9 +30,25 @@ def category_of(fork: Column, upstream: Column) -> Column:
     )
 
 
-def classify_commits(edges: DataFrame, heads: DataFrame) -> DataFrame:
-    """Category of every commit that is no merge: ``pair_id, sha, category``."""
+def classify_commits(
+    edges: DataFrame, heads: DataFrame, roots_unreached: bool = False
+) -> DataFrame:
+    """Category of every commit that is no merge: ``pair_id, sha, category``.
+
+    With ``roots_unreached`` commits without parents count as ``only_F``, as in the
+    published counts, where they never got a distance.
+    """
     distances = head_distances(edges, heads).filter(~F.col("is_merge"))
+    if roots_unreached:
+        roots = edges.filter(F.col("parent").isNull()).select(
+            "pair_id", "sha", F.lit("only_F").alias("category")
+        )
+        inner = distances.join(roots, ["pair_id", "sha"], "left_anti")
+        return _categories(inner).unionByName(roots)
+    return _categories(distances)
+
+
+def _categories(distances: DataFrame) -> DataFrame:
     both = (F.col("distance_fork") == UNREACHED) & (F.col("distance_upstream") == UNREACHED)
     return distances.filter(~both).select(
         "pair_id",
@@ -174,6 +190,8 @@ def classify_merges_by_parents(parents: DataFrame, membership: DataFrame) -> Dat
         "sides",
     )
     rows = parents.join(sides, ["pair_id", "sha"])
+    two = F.col("parent1").isNotNull() & F.col("parent2").isNotNull()
+    merges = rows.filter(two)
     for n in ("parent1", "parent2"):
         found = sides.select(
             "pair_id",
@@ -181,23 +199,26 @@ def classify_merges_by_parents(parents: DataFrame, membership: DataFrame) -> Dat
             F.col("in_fork").alias(f"{n}_in_fork"),
             F.col("in_upstream").alias(f"{n}_in_upstream"),
         )
-        rows = rows.join(found, ["pair_id", n], "left")
+        merges = merges.join(found, ["pair_id", n], "left")
 
     def one_of(side: str) -> Column:
         a = F.coalesce(f"parent1_in_{side}", F.lit(False))
         b = F.coalesce(f"parent2_in_{side}", F.lit(False))
         return a != b
 
-    is_merge = F.col("parent1").isNotNull() & F.col("parent2").isNotNull()
-    to_up = is_merge & F.col("in_upstream") & one_of("fork")
-    sync = is_merge & F.col("in_fork") & one_of("upstream")
-    kind = (
-        F.when(to_up & ~sync, "merge_to_upstream")
-        .when(sync & ~to_up, "sync_from_upstream")
-        .when(~is_merge & F.col("in_fork") & ~F.col("in_upstream"), "only_in_fork")
-        .when(~is_merge & F.col("in_upstream") & ~F.col("in_fork"), "only_in_upstream")
+    to_up = F.col("in_upstream") & one_of("fork")
+    sync = F.col("in_fork") & one_of("upstream")
+    of_merge = F.when(to_up & ~sync, "merge_to_upstream").when(
+        sync & ~to_up, "sync_from_upstream"
+    )
+    of_other = F.when(F.col("in_fork") & ~F.col("in_upstream"), "only_in_fork").when(
+        F.col("in_upstream") & ~F.col("in_fork"), "only_in_upstream"
+    )
+    return (
+        merges.select("pair_id", "sha", of_merge.alias("kind"))
+        .unionByName(rows.filter(~two).select("pair_id", "sha", of_other.alias("kind")))
+        .filter(F.col("kind").isNotNull())
     )
-    return rows.select("pair_id", "sha", kind.alias("kind")).filter(F.col("kind").isNotNull())
 
 
 def classify_by_author(
@@ -215,9 +236,18 @@ def classify_by_author(
     by_upstream = same_author(
         F.col("owner_login"), up[0], F.col("name"), up[1], F.array("email"), up[2]
     ) | F.coalesce(F.col("login") == up[0], F.lit(False))
+    mine = F.coalesce(
+        F.arrays_overlap(F.array("login", "name", "email"), F.col("contacts")), F.lit(False)
+    )
+    single = F.col("parent1").isNotNull() & F.col("parent2").isNull()
+    # Only merges look at their parents; joining the rest would pile up NULL keys.
+    two = F.col("parent1").isNotNull() & F.col("parent2").isNotNull()
+    plain = F.when(by_upstream, "sync_upstream").when(single & mine, "origin").otherwise("other")
+    typed = rows.filter(~two).select("repo_id", "sha", plain.alias("commit_type"))
+    merges = rows.filter(two)
     people = commits.select("repo_id", "sha", "login", "name", "email")
     for n in ("1", "2"):
-        rows = rows.join(
+        merges = merges.join(
             people.select(
                 "repo_id",
                 F.col("sha").alias(f"parent{n}"),
@@ -234,15 +264,6 @@ def classify_by_author(
             F.col(f"login{n}"), up[0], F.col(f"name{n}"), up[1], F.array(f"email{n}"), up[2]
         )
 
-    mine = F.coalesce(
-        F.arrays_overlap(F.array("login", "name", "email"), F.col("contacts")), F.lit(False)
-    )
-    single = F.col("parent1").isNotNull() & F.col("parent2").isNull()
-    double = F.col("parent1").isNotNull() & F.col("parent2").isNotNull()
-    kind = (
-        F.when(by_upstream, "sync_upstream")
-        .when(single & mine, "origin")
-        .when(double & (parent_is_upstreams("1") | parent_is_upstreams("2")), "sync_upstream")
-        .otherwise("other")
-    )
-    return rows.select("repo_id", "sha", kind.alias("commit_type"))
+    synced = by_upstream | parent_is_upstreams("1") | parent_is_upstreams("2")
+    of_merge = F.when(synced, "sync_upstream").otherwise("other")
+    return typed.unionByName(merges.select("repo_id", "sha", of_merge.alias("commit_type")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forklore.operators.intervals import lowest_prior_id
+from forklore.session import materialize
 
 
 def _touches(prs: DataFrame, pr_commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -29,9 +30,10 @@ def hot_touches(
     ``is_hot``: the file was changed, not just removed, by a closed pull request of the
     window that has a lower number. ``has_hot_files``: some file of the project was.
     Both follow from the lowest candidate number per day window, so no pair of pull
-    requests is formed.
+    requests is formed. The touches are written once: three readers with different
+    columns would otherwise repeat the joins behind them.
     """
-    touches = _touches(prs, pr_commits, files)
+    touches = materialize(_touches(prs, pr_commits, files), "touches")
     candidate = F.when(F.col("is_closed") & F.col("is_kept"), F.col("pr_id"))
     per_file = lowest_prior_id(touches, ["project_id", "filename"], candidate, window)
     per_project = lowest_prior_id(touches, ["project_id"], candidate, window).withColumnRenamed(
@@ -99,7 +101,9 @@ def commit_hotness(
     """
     kept = files.filter(F.col("status") != "removed").select("sha", "filename").distinct()
     facts = prs.filter("is_closed").select("project_id", "pr_id", "age_in_day")
-    touched = pr_commits.join(facts, ["project_id", "pr_id"]).join(kept, "sha")
+    touched = materialize(
+        pr_commits.join(facts, ["project_id", "pr_id"]).join(kept, "sha"), "touched"
+    )
     width = window + 1
     bucket = F.floor(F.col("age_in_day") / width)
     mine = touched.select("project_id", "pr_id", "filename", "age_in_day").distinct()

@@ -54,13 +54,15 @@ def merge_verdicts(
 
     comments = (
         last_comments_before_close(timeline, 3, (key,))
-        .withColumn("mention", commit_sha_mention(F.col("body")))
+        .withColumn("sha_named", commit_sha_mention(F.col("body")))
+        # Most comments name no commit; a key of their own keeps them apart in the join.
+        .withColumn("mention", F.coalesce("sha_named", F.concat(F.lit(" "), F.col(key))))
         .join(known.withColumn("_known", F.lit(True)), "mention", "left")
         .withColumn("sha_merged", F.coalesce("_known", F.lit(False)))
     )
     names_pr = names_other_pr(F.col("body"))
     duplicate = is_duplicate_comment(F.col("body"))
-    weighed = F.col("mention").isNotNull() & ~F.col("body").contains("codecov")
+    weighed = F.col("sha_named").isNotNull() & ~F.col("body").contains("codecov")
     of_last = (
         F.when(weighed & ~duplicate & F.col("sha_merged"), "merged-5")
         .when(weighed & duplicate & (names_pr | F.col("sha_merged")), "duplicate")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forklore.functions.text import ends_with_any
 from forklore.operators.filters import added_or_modified, small_commits
 from forklore.operators.windows import latest_per_group
+from forklore.session import materialize
 
 
 def latest_external_commits(
@@ -49,7 +50,8 @@ def modularity(
         kept = kept.filter(ends_with_any(F.col("filename"), suffixes))
         if stop_names:
             kept = kept.filter(~F.col("filename").isin(*stop_names))
-    rows = chosen.join(kept.select("sha", "filename").distinct(), "sha")
+    # At most n_commits * max_files rows per project, read three times below.
+    rows = materialize(chosen.join(kept.select("sha", "filename").distinct(), "sha"), "co_change")
     n_files = rows.groupBy("project_id").agg(F.count_distinct("filename").alias("n_files"))
     one = rows.withColumnRenamed("filename", "file_a")
     two = rows.withColumnRenamed("filename", "file_b")
