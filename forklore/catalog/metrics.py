@@ -60,12 +60,13 @@ hot_file AS (
 @query(
     "m01_hot_commits_per_pr",
     f"""WITH {TOUCHES}
-    SELECT t.project_id, t.pr_id,
+    SELECT p.project_id, p.pr_id,
       count(DISTINCT CASE WHEN h.filename IS NOT NULL THEN t.sha END) AS n_hot_commits
-    FROM touch t LEFT JOIN hot_file h
+    FROM pull_request p LEFT JOIN touch t ON t.project_id=p.project_id AND t.pr_id=p.pr_id
+    LEFT JOIN hot_file h
       ON h.project_id=t.project_id AND h.pr_id=t.pr_id AND h.filename=t.filename
-    WHERE t.is_closed AND EXISTS (
-      SELECT 1 FROM hot_file x WHERE x.project_id=t.project_id AND x.pr_id=t.pr_id)
+    WHERE p.is_closed AND EXISTS (
+      SELECT 1 FROM hot_file x WHERE x.project_id=p.project_id AND x.pr_id=p.pr_id)
     GROUP BY 1, 2""",
 )
 def m01(t: Tables):
@@ -621,12 +622,13 @@ def m25(t: Tables):
 @query(
     "m26_project_summary",
     f"""WITH {EASINESS}, {TOUCHES}, {SOCIAL},
-    hot AS (SELECT t.project_id, t.pr_id,
+    hot AS (SELECT p.project_id, p.pr_id,
       count(DISTINCT CASE WHEN h.filename IS NOT NULL THEN t.sha END) AS n
-      FROM touch t LEFT JOIN hot_file h
+      FROM pull_request p LEFT JOIN touch t ON t.project_id=p.project_id AND t.pr_id=p.pr_id
+      LEFT JOIN hot_file h
         ON h.project_id=t.project_id AND h.pr_id=t.pr_id AND h.filename=t.filename
-      WHERE t.is_closed AND EXISTS (SELECT 1 FROM hot_file x WHERE x.project_id=t.project_id
-        AND x.pr_id=t.pr_id) GROUP BY 1, 2)
+      WHERE p.is_closed AND EXISTS (SELECT 1 FROM hot_file x WHERE x.project_id=p.project_id
+        AND x.pr_id=p.pr_id) GROUP BY 1, 2)
     SELECT p.project_id, p.url, s.n_prs, s.merged_ratio, e.mean_easiness, e.median_easiness,
       h.mean_hotness, c.social_ratio FROM project p
     LEFT JOIN (SELECT project_id, count(*) AS n_prs,

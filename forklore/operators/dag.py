@@ -70,14 +70,16 @@ def split_by_head_count(heads: DataFrame, limit: int = MAX_HEADS) -> tuple[DataF
 
 def _first_parents(edges: DataFrame) -> DataFrame:
     """``pair_id, sha, first``: the first parent if it is a commit of the graph."""
-    nodes = edges.select(*NODE).distinct()
-    known = nodes.withColumnRenamed("sha", "first")
-    first = (
-        edges.filter((F.col("parent_pos") == 0) & F.col("parent").isNotNull())
-        .select(*NODE, F.col("parent").alias("first"))
-        .join(known, ["pair_id", "first"], "left_semi")
+    nodes = edges.groupBy(*NODE).agg(
+        F.min(F.when(F.col("parent_pos") == 0, F.col("parent"))).alias("first")
     )
-    return nodes.join(first, NODE, "left")
+    known = nodes.select("pair_id", F.col("sha").alias("first"), F.lit(True).alias("_known"))
+    inner = (
+        nodes.filter(F.col("first").isNotNull())
+        .join(known, ["pair_id", "first"], "left")
+        .select(*NODE, F.when(F.col("_known"), F.col("first")).alias("first"))
+    )
+    return inner.unionByName(nodes.filter(F.col("first").isNull()))
 
 
 def _heights(first: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def names_inside_others(names: DataFrame, column: str = "name") -> DataFrame:
     is bounded by the squared length of a name and no two names are compared that do
     not match.
     """
-    distinct = names.select(F.col(column).alias("outer_name")).distinct()
+    distinct = names.filter(F.col(column) != "").select(F.col(column).alias("outer_name")).distinct()
     size = F.length("outer_name")
     starts = distinct.select("outer_name", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     parts = starts.select(

@@ -22,48 +22,65 @@ def _touches(prs: DataFrame, pr_commits: DataFrame, files: DataFrame) -> DataFra
     return pr_commits.join(facts, ["project_id", "pr_id"]).join(touched, "sha")
 
 
-def hot_touches(
-    prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90
-) -> DataFrame:
-    """Touches of closed pull requests, flagged.
+def _candidate():
+    return F.when(F.col("is_closed") & F.col("is_kept"), F.col("pr_id"))
+
 
-    ``is_hot``: the file was changed, not just removed, by a closed pull request of the
-    window that has a lower number. ``has_hot_files``: some file of the project was.
-    Both follow from the lowest candidate number per day window, so no pair of pull
-    requests is formed. The touches are written once: three readers with different
-    columns would otherwise repeat the joins behind them.
+def _flag_hot(touches: DataFrame, window: int) -> DataFrame:
+    """Touches of closed pull requests with ``is_hot``.
+
+    The file was changed, not just removed, by a closed pull request of the window that
+    has a lower number. That follows from the lowest candidate number per day window,
+    so no pair of pull requests is formed.
     """
-    touches = materialize(_touches(prs, pr_commits, files), "touches")
-    candidate = F.when(F.col("is_closed") & F.col("is_kept"), F.col("pr_id"))
-    per_file = lowest_prior_id(touches, ["project_id", "filename"], candidate, window)
-    per_project = lowest_prior_id(touches, ["project_id"], candidate, window).withColumnRenamed(
-        "lowest_id", "lowest_in_project"
-    )
+    lowest = lowest_prior_id(touches, ["project_id", "filename"], _candidate(), window)
     return (
         touches.filter("is_closed")
-        .join(per_file, ["project_id", "filename", "age_in_day"])
-        .join(per_project, ["project_id", "age_in_day"])
+        .join(lowest, ["project_id", "filename", "age_in_day"])
         .withColumn("is_hot", F.coalesce(F.col("lowest_id") < F.col("pr_id"), F.lit(False)))
-        .withColumn(
-            "has_hot_files",
-            F.coalesce(F.col("lowest_in_project") < F.col("pr_id"), F.lit(False)),
-        )
+    )
+
+
+def _with_hot_window(prs: DataFrame, touches: DataFrame, window: int) -> DataFrame:
+    """Closed pull requests whose window holds any hot file, whatever they touch themselves."""
+    days = touches.select("project_id", "age_in_day", _candidate().alias("_id")).unionByName(
+        prs.filter("is_closed").select("project_id", "age_in_day", F.lit(None).alias("_id"))
+    )
+    lowest = lowest_prior_id(days, ["project_id"], F.col("_id"), window)
+    return (
+        prs.filter("is_closed")
+        .join(lowest, ["project_id", "age_in_day"])
+        .filter(F.col("lowest_id") < F.col("pr_id"))
+        .select("project_id", "pr_id")
     )
 
 
 def hot_commits(
-    prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90
+    prs: DataFrame,
+    pr_commits: DataFrame,
+    files: DataFrame,
+    window: int = 90,
+    require_files: bool = False,
 ) -> DataFrame:
     """Commits of each closed pull request that touch a hot file.
 
     A pull request whose window holds no hot file gives no row; one that touches none
-    of them gives 0.
+    of them gives 0, and so does one without any file unless ``require_files``.
+
+    The touches are written once: readers with different columns would otherwise
+    repeat the joins behind them.
     """
+    keys = ["project_id", "pr_id"]
+    touches = materialize(_touches(prs, pr_commits, files), "touches")
+    counts = (
+        _flag_hot(touches, window)
+        .groupBy(*keys)
+        .agg(F.count_distinct(F.when(F.col("is_hot"), F.col("sha"))).alias("_n"))
+    )
     return (
-        hot_touches(prs, pr_commits, files, window)
-        .filter("has_hot_files")
-        .groupBy("project_id", "pr_id")
-        .agg(F.count_distinct(F.when(F.col("is_hot"), F.col("sha"))).alias("n_hot_commits"))
+        _with_hot_window(prs, touches, window)
+        .join(counts, keys, "inner" if require_files else "left")
+        .select(*keys, F.coalesce("_n", F.lit(0)).alias("n_hot_commits"))
     )
 
 
@@ -72,15 +89,16 @@ def hot_commits_local(
 ) -> DataFrame:
     """The same on the locally made change table, where removed files are no files at all."""
     kept = changed.filter(F.col("status") != "removed")
-    return hot_commits(prs, pr_commits, kept, window)
+    return hot_commits(prs, pr_commits, kept, window, require_files=True)
 
 
 def hot_files_per_commit(
     prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90
 ) -> DataFrame:
     """Hot files of each commit of a closed pull request; commits without any give no row."""
+    touches = materialize(_touches(prs, pr_commits, files), "touches")
     return (
-        hot_touches(prs, pr_commits, files, window)
+        _flag_hot(touches, window)
         .filter("is_hot")
         .groupBy("project_id", "pr_id", "sha")
         .agg(F.count(F.lit(1)).alias("n_hot_files"))
