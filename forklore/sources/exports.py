@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forklore import schemas
 from forklore.functions.dates import iso_timestamp
 
 # File-name patterns of the exports.
