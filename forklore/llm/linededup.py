@@ -19,6 +19,7 @@ from forklore.llm.common import BLANKS, lower_ascii, shuffle_partitions
 from forklore.session import materialize, new_path
 
 HASH = ["h1", "h2"]
+RUN = "h1 long, h2 long, docs long, fresh boolean, keeper long"
 
 
 class LineRuns:
@@ -28,6 +29,7 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self.paths: list[list[str]] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -48,35 +50,32 @@ class LineRuns:
 
     def merged(self) -> DataFrame:
         """One row per key over all runs."""
-        runs = self.runs()
-        if len(runs) == 1:
-            return runs[0]
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        # dealt anew by hand: a union of bucketed tables must not count as dealt by their buckets
-        return every.repartition(self.buckets, *HASH).groupBy(*HASH).agg(
+        # read as plain files: a union of bucketed tables would count as dealt by their buckets
+        every = self.spark.read.schema(RUN).parquet(*[p for level in self.paths for p in level])
+        return every.groupBy(*HASH).agg(
             F.sum("docs").alias("docs"), F.max("fresh").alias("fresh"), F.max("keeper").alias("keeper")
         )
 
     def _store(self, rows: DataFrame, level: int) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
+        name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "run")
         (
             rows.repartition(self.buckets, *HASH)
             .sortWithinPartitions(*HASH)
             .write.bucketBy(self.buckets, *HASH)
             .sortBy(*HASH)
-            .option("path", new_path(self.spark, "run"))
+            .option("path", path)
             .saveAsTable(name)
         )
         run = self.spark.table(name)
         while len(self.levels) <= level:
             self.levels.append([])
+            self.paths.append([])
         self.levels[level].append(run)
+        self.paths[level].append(path)
         if len(self.levels[level]) == self.fanout:
-            held, self.levels[level] = self.levels[level], []
             part = LineRuns(self.spark, self.fanout, self.buckets)
-            part.levels = [held]
+            part.paths = [self.paths[level]]
+            self.levels[level], self.paths[level] = [], []
             self._store(part.merged(), level + 1)
         return run
 
