@@ -129,7 +129,8 @@ def dedup_lines(
         keys = batch.select(*HASH, held.alias("doc")).distinct().groupBy(*HASH)
         runs.add(keys.agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")))
         above = edge
-    common = runs.merged().where(F.col("docs") >= min_docs).select(*HASH, "keeper")
+    # written, so that both sides of the join are plain shuffles and a line of very many documents is split
+    common = materialize(runs.merged().where(F.col("docs") >= min_docs).select(*HASH, "keeper"), "common")
     gone = (
         lines.join(common, HASH)
         .where(held != F.col("keeper"))
@@ -150,3 +151,19 @@ def dedup_lines(
         F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
     )
+
+
+def without_common_lines(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the kept text in place of ``text``, and ``n_chars``, if there, counted anew where lines went.
+
+    Rows that lose no line stay as they are, nulls included.
+    """
+    kept = dedup_lines(docs, **options)
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return kept.select(*[
+        F.when(changed, new[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")).alias(f.name)
+        if f.name in new
+        else F.col(f"row.`{f.name}`").alias(f.name)
+        for f in docs.schema.fields
+    ])
