@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forklore.llm import langid, linededup, mixing, packing, quality, simhash
+from forklore.llm import ann, langid, linededup, mixing, multiindex, packing, quality, simhash
 from forklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_nearest_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)

@@ -68,3 +68,45 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str) ->
     return ranked.join(offsets, same).select(
         *df.columns, (F.col("_before") + F.col("_inside")).alias(out)
     )
+
+
+def usable_vector(vector: Column) -> Column:
+    """True for arrays with a component other than zero, and no null, NaN or infinite one."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """(vec_id, v): the usable vectors in double precision; those of another length than most have no part."""
+    slim = rows.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
+    ).where(usable_vector(F.col("v")) & F.col("vec_id").isNotNull())
+    sizes = slim.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return slim.where(F.size("v") == (sizes["n"] if sizes else 0))
+
+
+def hashed_sample(df: DataFrame, key: Column, total: int, most: int) -> DataFrame:
+    """About ``most`` of ``total`` rows, the same ones in every run: those whose key hashes low."""
+    if total <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 20)) < int((1 << 20) * most / total))
+
+
+def in_blocks(dealt: DataFrame, shard: str, own: Column, crowd: int) -> DataFrame:
+    """Cut shards of more than ``crowd`` rows into blocks; adds ``block``.
+
+    ``dealt`` has ``home``: whether a row belongs to its shard or visits it. Rows at home meet each other and all visitors.
+    Block i holds its own rows as homes; the visitors and the homes of earlier blocks visit it.
+    So each pair still meets once, and no block grows with the shard's own pairs.
+    """
+    sizes = dealt.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    blocks = {r[shard]: -(-r["n"] // crowd) for r in sizes.collect()}
+    if not blocks:
+        return dealt.withColumn("block", F.lit(0))
+    cut = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
+    spread = dealt.withColumn("_n", F.coalesce(F.try_element_at(cut, F.col(shard)), F.lit(1)))
+    spread = spread.withColumn("_own", F.pmod(own, F.col("_n")).cast("int"))
+    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    spread = spread.where(~F.col("home") | (F.col("block") >= F.col("_own")))
+    home = F.col("home") & (F.col("block") == F.col("_own"))
+    return spread.withColumn("home", home).drop("_n", "_own")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forklore.llm.common import row_digest, shuffle_partitions
+from forklore.llm.common import hashed_sample, in_blocks, row_digest, shuffle_partitions
 from forklore.llm.components import connected_components
 from forklore.session import materialize, materialize_counted
 
@@ -120,7 +120,7 @@ class VantageTree:
         return who, leaf, home
 
 
-def _settle(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+def settle(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """Least index reachable from each of n nodes."""
     label = np.arange(n)
     while True:
@@ -174,7 +174,7 @@ def ring_links(points: np.ndarray, home: np.ndarray, mate: np.ndarray, reach: in
 
 
 def _fold(us: list[np.ndarray], vs: list[np.ndarray], n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    label = _settle(np.concatenate(us), np.concatenate(vs), n)
+    label = settle(np.concatenate(us), np.concatenate(vs), n)
     node = np.flatnonzero(label != np.arange(n))
     return [node], [label[node]]
 
@@ -188,8 +188,7 @@ def fingerprint_links(
     picked by hash. Shards with more than ``crowd`` fingerprints are cut into blocks.
     """
     spark = distinct.sparkSession
-    keep = min(1.0, sample / max(1, total))
-    picked = distinct.where(F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(1 << 20)) < int(keep * (1 << 20)))
+    picked = hashed_sample(distinct.select("fp"), F.col("fp"), total, sample)
     rows = np.array([r[0] for r in picked.sort("fp").collect()], np.int64).view(np.uint64)
     tree = VantageTree(rows, max(1, total // leaf))
 
@@ -203,21 +202,7 @@ def fingerprint_links(
         deal, "shard long, home boolean, fp long"
     )
     dealt = materialize(dealt, "shards")
-    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-    blocks = {r["shard"]: -(-r["n"] // crowd) for r in sizes.collect()}
-    if blocks:
-        # block i holds its own rows as homes and visits the blocks after it
-        cut = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
-        n = F.coalesce(F.try_element_at(cut, F.col("shard")), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), n)
-        spread = dealt.withColumn("n", n).withColumn("own", own)
-        spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        spread = spread.where(~F.col("home") | (F.col("block") >= F.col("own")))
-        dealt = spread.select(
-            "shard", "block", (F.col("home") & (F.col("block") == F.col("own"))).alias("home"), "fp"
-        )
-    else:
-        dealt = dealt.withColumn("block", F.lit(0))
+    dealt = in_blocks(dealt, "shard", F.xxhash64("fp"), crowd)
 
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         points = shard["fp"].to_numpy().view(np.uint64)
