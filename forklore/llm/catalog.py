@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forklore.llm import ann, langid, linededup, mixing, multiindex, packing, quality, simhash
+from forklore.llm import ann, langid, linededup, mixing, multiindex, packing, pii, quality, simhash, substring
 from forklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_embedding_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "text", "n_replaced", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
