@@ -27,8 +27,8 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the least doc_id of each group of near duplicates, linked as in the query of that operator."""
+    return simhash.keep_one(docs, width=3, reach=3)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

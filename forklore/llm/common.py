@@ -49,6 +49,7 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str) ->
     carried over. Ties in ``order`` must be rows that are interchangeable.
     """
     by = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    df = materialize(df, "unranked")  # read twice: to find the ranges and to deal the rows
     dealt = df.repartitionByRange(shuffle_partitions(df.sparkSession), *by)
     dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_range", *group).orderBy(*by[len(group):])
@@ -65,7 +66,7 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str) ->
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     ranked = dealt.withColumn("_inside", F.row_number().over(inside))
-    return ranked.join(offsets, same).select(
+    return ranked.join(offsets.hint("merge"), same).select(
         *df.columns, (F.col("_before") + F.col("_inside")).alias(out)
     )
 

@@ -9,6 +9,7 @@ depends on the number of lengths and not on the number of documents.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections import Counter
@@ -25,16 +26,17 @@ from pyspark.sql import functions as F
 from forklore.session import materialize
 
 END = (1).to_bytes(4, "little")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 800_000
+_STOP = re.compile(r"(?<=[^\W_])[.,](?=[ \n]|$)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer lower-cases, drops white space and never joins what it parts, and letters part from the
-    stops and commas after them. So a text's ids are those of its words between spaces and line feeds, one after the
-    other. Words repeat: their ids are kept in two stores; when the newer is full it
+    The tokenizer lower-cases, drops white space and never joins what it parts, and letters and digits part from
+    the stop or comma after them. So a text's ids are those of its words, stops and commas between spaces and line feeds, one
+    after the other. Words repeat: their ids are kept in two stores; when the newer is full it
     becomes the older, and what is still in use moves on.
     """
 
@@ -54,23 +56,20 @@ class WordEncoder:
         return _encoders[path]
 
     def _learn(self, new: set[str]) -> None:
-        parts = {}
+        need = []
         for word in new:
-            if (ids := self.older.get(word)) is not None:
+            if (ids := self.older.get(word)) is None:
+                need.append(word)
+            else:
                 self.known[word] = ids
-                continue
-            stem = word.rstrip(".,")
-            parts[word] = (stem, word[len(stem) :]) if stem != word and stem.isalpha() else (word, "")
-        need = list({x for pair in parts.values() for x in pair}.difference(self.known))
         found = self.tokenizer.encode_batch_fast(need, add_special_tokens=False)
-        fresh = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(need, found, strict=True)}
-        for word, pair in parts.items():
-            self.known[word] = b"".join(fresh[x] if x in fresh else self.known[x] for x in pair)
+        for word, e in zip(need, found, strict=True):
+            self.known[word] = struct.pack(f"<{len(e)}I", *e.ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = text.encode().lower().decode().replace("\n", " ").split(" ")
+        words = _STOP.sub(r" \g<0>", text.encode().lower().decode()).replace("\n", " ").split(" ")
         if len(self.known) > _CACHE_WORDS:
             self.known, self.older = {}, self.known
         try:
@@ -124,7 +123,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
         active[enters] = True
         while True:
             z = np.zeros_like(x)
-            z[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            some = a[:, active]
+            z[active] = np.linalg.solve(some.T @ some + 1e-9 * np.eye(some.shape[1]), some.T @ b)
             low = active & (z <= 0)
             if not low.any():
                 break
@@ -295,7 +295,8 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, **
         F.col("length").alias("_l"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"),
     )
-    ranked = cut.join(offsets, (F.col("part") == F.col("_p")) & (F.col("length") == F.col("_l")))
+    # merged and not broadcast: there is a row for each length in each part, and parts grow with the input
+    ranked = cut.join(offsets.hint("merge"), (F.col("part") == F.col("_p")) & (F.col("length") == F.col("_l")))
     ranked = ranked.withColumn("rank", F.col("earlier") + F.col("nth"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 3, **options)
     return each.join(named, "fp").select("doc_id", "fp", "component_id", "d1", "d2")
 
 
-def keep_one(docs: DataFrame, width: int = 5, reach: int = 3, **options) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, reach: int = 3, **options) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group of near duplicates, one row per group."""
     found = near_duplicates(docs, width, reach, **options)
     first = found.groupBy("component_id").agg(
