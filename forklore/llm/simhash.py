@@ -215,7 +215,7 @@ def fingerprint_links(
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 3, **options) -> DataFrame:
-    """``doc_id, fp, component_id`` (least doc_id reachable), and the row's digest ``d1, d2``.
+    """``doc_id, fp, component_id`` (least doc_id reachable), ``root`` (its least fingerprint) and the row's digest ``d1, d2``.
 
     Two documents are linked if their fingerprints differ in at most ``reach`` bits. Texts that are null,
     empty or blank have fingerprint zero and are linked like any other. Rows may repeat; a null doc_id is
@@ -234,14 +234,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, reach: int = 3, **options)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id", "d1", "d2")
+    named = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return each.join(named, "fp").select("doc_id", "fp", "component_id", "root", "d1", "d2")
 
 
 def keep_one(docs: DataFrame, width: int = 3, reach: int = 3, **options) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group of near duplicates, one row per group."""
     found = near_duplicates(docs, width, reach, **options)
-    first = found.groupBy("component_id").agg(
+    first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "d1", "d2")).alias("first")
     )
     first = first.select("first.d1", "first.d2")
