@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forklore.llm.common import hashed_sample, vectors
-from forklore.session import materialize_counted
+from forklore.session import materialize, materialize_counted
 
 _TIE = 1e-9
 
@@ -171,8 +171,8 @@ def search(
 
     Every row is in every table. A shard holds buckets of one table, about ``rows_a_shard`` rows in all; a bucket with more
     is cut into parts that lie in different shards, and a query goes to all of them. A shard
-    scores a block of queries at a time and sends each query's best k, which are merged over shards and
-    tables: rows found by several tables count once. Vectors that are null, zero or hold null or non-finite
+    scores a block of queries at a time and sends each query's best k, as far as they can still be among the k of all. They are
+    merged over shards and tables: rows found by several tables count once. Vectors that are null, zero or hold null or non-finite
     components, rows without a vec_id, and vectors of another length than most take no part. Rows that
     share a vec_id are one candidate, with its best score. An empty table gives an empty result.
     """
@@ -222,11 +222,16 @@ def search(
     counts = base.mapInPandas(hashed, deal).groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n"))
     crowded = counts.where(F.col("n") > rows_a_shard).collect()
     parts.update({(r["tab"], r["bucket"]): -(-r["n"] // rows_a_shard) for r in crowded})
-    members = base.mapInPandas(hashed, deal)
-    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # waves of 1, 2, 4 ... shards: each sends only what beats the k-th score of the waves before
+    index = F.col("tab") + tables * F.col("shard")
+    wave = F.floor(F.log2(index + 1)).cast("int")
+    waves = int(np.floor(np.log2(tables * n_shards))) + 1
+    members = base.mapInPandas(hashed, deal).withColumn("wave", wave)
+    members = materialize(members, "members").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     asked = base.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
     wanted = asked.mapInPandas(probing, "tab int, shard long, query_id long, q array<double>, buckets array<long>")
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+    wanted = materialize(wanted.withColumn("wave", wave), "wanted")
 
     def score(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asking):
@@ -236,17 +241,31 @@ def search(
         here, start = np.unique(held["bucket"].to_numpy(), return_index=True)
         sizes = np.diff(np.append(start, len(ids)))
         out = []
-        for name, q, buckets in zip(asking["query_id"], asking["q"], asking["buckets"], strict=True):
+        bars = asking["bar"].to_numpy()
+        for nth, (name, q, buckets) in enumerate(asking[["query_id", "q", "buckets"]].itertuples(index=False)):
             met = np.repeat(np.isin(here, buckets), sizes)
             some = rows[met]
             got, found = top(some @ q, ids[met], some, q, int(name), k)
-            out.append(pd.DataFrame({"query_id": name, "vec_id": got, "score": found}))
-        return pd.concat(out)
+            fair = found >= bars[nth]
+            out.append((np.full(fair.sum(), name), got[fair], found[fair]))
+        return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], map(np.concatenate, zip(*out)), strict=True)))
 
     keys = ["tab", "shard", "block"]
-    found = members.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(score, out)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+    kept = None
+    for n in range(waves):
+        now = wanted.where(F.col("wave") == n)
+        if kept is None:
+            now = now.withColumn("bar", F.lit(float("-inf")))
+        else:
+            bar = kept.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+            now = now.join(bar, "query_id", "left").fillna(float("-inf"), ["bar"])
+        here = members.where(F.col("wave") == n).select(*keys, "bucket", "vec_id", "v").groupBy(*keys)
+        now = now.select(*keys, "query_id", "q", "buckets", "bar").groupBy(*keys)
+        found = here.cogroup(now).applyInPandas(score, out)
+        if kept is not None:
+            found = found.unionByName(kept.select("query_id", "vec_id", "score"))
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        kept = materialize(ranked, "nearest")
+    return kept.select("query_id", "rank", "vec_id", "score")
