@@ -144,7 +144,7 @@ def p12(t: Tables):
 
 STALE = """stale AS (
   SELECT b.pair_id, b.branch, b.sha, b.head_at
-  FROM dag_branch b JOIN dag_fork_point f ON f.pair_id=b.pair_id
+  FROM dag_branch b LEFT JOIN dag_fork_point f ON f.pair_id=b.pair_id
   JOIN (SELECT pair_id, count(*) AS n FROM dag_branch GROUP BY 1) s ON s.pair_id=b.pair_id
   WHERE (s.n>1 AND b.head_at<f.forked_at) OR year(b.head_at) NOT BETWEEN 2000 AND 2099)"""
 

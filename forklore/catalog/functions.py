@@ -137,8 +137,8 @@ def f09(t: Tables):
 
 @query(
     "f10_issue_links",
-    """SELECT DISTINCT project_id, pr_id, comment_pos,
-      unnest(regexp_extract_all(body, '#([1-9][0-9]{1,4})([^0-9]|$)', 1))::BIGINT AS number
+    f"""SELECT DISTINCT project_id, pr_id, comment_pos,
+      unnest(regexp_extract_all(body, '{text.ISSUE_LINK}', 1))::BIGINT AS number
     FROM pr_comment""",
 )
 def f10(t: Tables):
@@ -330,7 +330,7 @@ def f21(t: Tables):
     FROM repository""",
 )
 def f22(t: Tables):
-    bucket = dates.year_bucket(F.col("created_on"), F.lit(SNAPSHOT).cast("date"))
+    bucket = dates.year_bucket(F.col("created_on"), F.lit(SNAPSHOT).cast("date"), cap=10)
     return t.repository.select("repo_id", bucket.alias("bucket"))
 
 

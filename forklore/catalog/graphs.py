@@ -16,13 +16,13 @@ DISTANCE = """walk AS (
       JOIN dag_edge e ON e.pair_id=w.pair_id AND e.sha=w.sha WHERE e.parent IS NOT NULL),
     near AS (SELECT pair_id, side, sha, min(d) AS d FROM walk GROUP BY 1, 2, 3),
     dist AS (SELECT g.pair_id, g.sha, g.commit_at, g.parent2 IS NOT NULL AS is_merge,
-      coalesce(f.d, 999)::INT AS distance_fork, coalesce(u.d, 999)::INT AS distance_upstream
+      f.d::INT AS distance_fork, u.d::INT AS distance_upstream
       FROM dag g LEFT JOIN near f ON f.pair_id=g.pair_id AND f.sha=g.sha AND f.side='fork'
       LEFT JOIN near u ON u.pair_id=g.pair_id AND u.sha=g.sha AND u.side='upstream'),
-    class AS (SELECT pair_id, sha, commit_at, CASE WHEN distance_upstream=999 THEN 'only_F'
-        WHEN distance_fork=999 THEN 'only_U' WHEN distance_fork<distance_upstream THEN 'F2U'
+    class AS (SELECT pair_id, sha, commit_at, CASE WHEN distance_upstream IS NULL THEN 'only_F'
+        WHEN distance_fork IS NULL THEN 'only_U' WHEN distance_fork<distance_upstream THEN 'F2U'
         WHEN distance_fork>distance_upstream THEN 'U2F' ELSE 'before' END AS category
-      FROM dist WHERE NOT is_merge AND (distance_fork<999 OR distance_upstream<999))"""
+      FROM dist WHERE NOT is_merge AND (distance_fork IS NOT NULL OR distance_upstream IS NOT NULL))"""
 
 ANCESTORS = """anc AS (
       SELECT pair_id, sha, sha AS up FROM dag
@@ -76,10 +76,22 @@ def g01(t: Tables):
 @query(
     "g02_head_distances",
     f"""WITH RECURSIVE {DISTANCE}
-    SELECT pair_id, sha, is_merge, distance_fork, distance_upstream FROM dist""",
+    SELECT pair_id, sha, is_merge, coalesce(distance_fork, 999) AS distance_fork,
+      coalesce(distance_upstream, 999) AS distance_upstream FROM dist""",
 )
 def g02(t: Tables):
-    return dag.head_distances(t.stored("dag_edge"), t.stored("dag_head"))
+    sides = ("distance_fork", "distance_upstream")
+    return dag.head_distances(t.stored("dag_edge"), t.stored("dag_head")).select(
+        "pair_id", "sha", "is_merge", *[dag.distance_label(s).alias(s) for s in sides]
+    )
+
+
+@query(
+    "g03_all_categories",
+    f"WITH RECURSIVE {DISTANCE} SELECT pair_id, sha, category FROM class",
+)
+def g03_all(t: Tables):
+    return classify.classify_commits(t.stored("dag_edge"), t.stored("dag_head"))
 
 
 @query(

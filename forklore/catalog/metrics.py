@@ -9,6 +9,7 @@ from forklore.catalog.views import Tables
 from forklore.catalog.functions import CHANGES, FLAGS
 from forklore.catalog.graphs import DISTANCE
 from forklore.operators.aggregates import external_contribution, status_ratios
+from forklore.operators.groups import grouped_medians
 from forklore.operators.joins import lookup, unmerged_commits
 from forklore.operators.windows import comments_around_close, last_closer
 from forklore.plans import (
@@ -27,6 +28,7 @@ from forklore.plans import (
 )
 from forklore.plans import easiness as ease
 from forklore.plans.social import social_connection
+from forklore.session import materialize
 
 # Suffixes taken as source code in the derived tables.
 SOURCE_SUFFIXES = [".java", ".py"]
@@ -217,20 +219,19 @@ def m09(t: Tables):
 VERDICT = rf"""tl AS (SELECT *, CASE WHEN event='closed' AND thread_id%4<>0 THEN NULL ELSE sha END AS s,
       CASE WHEN event='merged' AND thread_id%3<>0 THEN 'referenced' ELSE event END AS e
       FROM timeline_full),
-    known AS (SELECT DISTINCT unnest([s, left(s, 7)]) AS sha FROM (
-      SELECT CAST(event_id*100+1 AS STRING) AS s FROM events WHERE event_id%2=0
-      UNION ALL SELECT CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0)),
-    fullsha AS (SELECT CAST(event_id*100+1 AS STRING) AS sha FROM events WHERE event_id%2=0
-      UNION ALL SELECT CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0),
+    fullsha AS (
+      SELECT event_id%25 AS project_id, CAST(event_id*100+1 AS STRING) AS sha FROM events WHERE event_id%2=0
+      UNION ALL SELECT event_id%25, CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0),
+    known AS (SELECT DISTINCT project_id, unnest([sha, left(sha, 7)]) AS sha FROM fullsha),
     ev AS (SELECT thread_id, 1 AS rank, max_by(CASE WHEN e='merged' THEN 'merged-1' ELSE 'merged-2' END,
       event_pos) AS v FROM tl WHERE e='merged' OR (e='closed' AND s IS NOT NULL) GROUP BY 1),
     fc AS (SELECT thread_id, min(event_pos) AS pos FROM tl WHERE e='closed' GROUP BY 1),
-    c3 AS (SELECT t.thread_id, t.body, row_number() OVER (PARTITION BY t.thread_id
+    c3 AS (SELECT t.thread_id, t.project_id, t.body, row_number() OVER (PARTITION BY t.thread_id
       ORDER BY t.event_pos DESC) AS r FROM tl t LEFT JOIN fc ON fc.thread_id=t.thread_id
       WHERE t.e='commented' AND (fc.pos IS NULL OR t.event_pos<fc.pos)),
     c AS (SELECT x.*, m.sha IS NOT NULL AS merged FROM (SELECT *, nullif(trim(regexp_extract(body,
         '\b[0-9a-f]{{7}} |\b[0-9a-f]{{40}}\b', 0)), '') AS mention FROM c3 WHERE r<=3) x
-      LEFT JOIN known m ON m.sha=x.mention),
+      LEFT JOIN known m ON m.sha=x.mention AND m.project_id=x.project_id),
     f AS (SELECT *, regexp_matches(lower(body), '{REF}') AS names,
       regexp_matches(body, '{LOOSE}') AS dup FROM c),
     lastc AS (SELECT thread_id, 2 AS rank, CASE
@@ -243,12 +244,12 @@ VERDICT = rf"""tl AS (SELECT *, CASE WHEN event='closed' AND thread_id%4<>0 THEN
     three AS (SELECT thread_id, 3 AS rank, 'merged-3' AS v FROM f WHERE merged AND regexp_matches(
       lower(body), '(merg|apply|appl|pull|push|integrat|land|cherry(-|\s+)pick|squash|fix)(ing|i?ed)|fix(es|ed)|done|clos(e|ed|ing)')),
     ref AS (SELECT t.thread_id, 4 AS rank, 'merged-2ref' AS v FROM tl t
-      JOIN known k ON k.sha=CAST(t.s AS STRING) WHERE t.e='referenced'),
+      JOIN known k ON k.sha=CAST(t.s AS STRING) AND k.project_id=t.project_id WHERE t.e='referenced'),
     allc AS (SELECT * FROM ev UNION ALL SELECT * FROM lastc WHERE v IS NOT NULL
       UNION ALL SELECT * FROM three UNION ALL SELECT * FROM ref
       UNION ALL SELECT DISTINCT thread_id, 5, 'rejected' FROM tl),
     verdict AS (SELECT thread_id, min_by(v, rank) AS verdict FROM allc GROUP BY 1),
-    six AS (SELECT DISTINCT t.thread_id FROM tl t JOIN fullsha k ON k.sha=CAST(t.s AS STRING)
+    six AS (SELECT DISTINCT t.thread_id FROM tl t JOIN fullsha k ON k.sha=CAST(t.s AS STRING) AND k.project_id=t.project_id
       WHERE t.e='committed')"""
 
 
@@ -264,15 +265,16 @@ def _merge_inputs(t: Tables):
         .otherwise(F.col("event")),
     )
     known = t.sql(
-        """SELECT CAST(event_id*100+1 AS STRING) AS sha FROM events WHERE event_id%2=0
-        UNION ALL SELECT CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0"""
+        """SELECT event_id%25 AS project_id, CAST(event_id*100+1 AS STRING) AS sha
+        FROM events WHERE event_id%2=0
+        UNION ALL SELECT event_id%25, CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0"""
     )
     return timeline, known
 
 
 @query("m10_merge_verdicts", f"WITH {VERDICT} SELECT thread_id, verdict FROM verdict")
 def m10(t: Tables):
-    return merge_status.merge_verdicts(*_merge_inputs(t))
+    return merge_status.merge_verdicts(*_merge_inputs(t)).drop("project_id")
 
 
 @query(
@@ -290,7 +292,7 @@ def m10b(t: Tables):
     return merge_status.merge_flags(
         merge_status.merge_verdicts(timeline, known),
         merge_status.merged_by_own_commits(timeline, known),
-    )
+    ).drop("project_id")
 
 
 @query(
@@ -308,7 +310,7 @@ def m10b(t: Tables):
     FROM r GROUP BY 1""",
 )
 def m11(t: Tables):
-    return comments_around_close(t.timeline_full.filter("thread_type = 'pr'"))
+    return comments_around_close(t.timeline_full.filter("thread_type = 'pr'")).drop("project_id")
 
 
 @query(
@@ -414,7 +416,7 @@ LINKS = """texts AS (SELECT project_id, pr_id, body FROM pr_comment
       UNION ALL SELECT project_id, pr_id, concat(labels, ' #', pr_id+7) FROM pull_request),
     link AS (SELECT x.project_id, x.pr_id, x.issue_id, i.created_on AS issue_created_on FROM (
         SELECT DISTINCT project_id, pr_id,
-          unnest(regexp_extract_all(body, '#([1-9][0-9]{1,4})([^0-9]|$)', 1))::BIGINT AS issue_id
+          unnest(regexp_extract_all(body, '#([1-9][0-9]*)([^0-9]|$)', 1))::BIGINT AS issue_id
         FROM texts) x
       JOIN issue i ON i.project_id=x.project_id AND i.issue_id=x.issue_id
       WHERE x.issue_id<>x.pr_id)"""
@@ -492,7 +494,9 @@ def _modularity_sql(limit: int, scope: str) -> str:
 
 @query("m20_modularity", _modularity_sql(50, ""))
 def m20(t: Tables):
-    return modularity.modularity(t.commit_login, t.commit_file, members=t.member_login)
+    return modularity.modularity(
+        t.commit_login, t.commit_file, members=t.member_login, max_files=50, n_commits=50
+    )
 
 
 @query(
@@ -501,7 +505,8 @@ def m20(t: Tables):
 )
 def m20b(t: Tables):
     return modularity.modularity(
-        t.commit_login, t.commit_file, suffixes=SOURCE_SUFFIXES, members=t.member_login
+        t.commit_login, t.commit_file, suffixes=SOURCE_SUFFIXES, members=t.member_login,
+        max_files=50, n_commits=50,
     )
 
 
@@ -643,9 +648,12 @@ def m25(t: Tables):
       AS social_ratio FROM social GROUP BY 1) c ON c.project_id=p.project_id""",
 )
 def m26(t: Tables):
-    easy = _easiness(t).groupBy("project_id").agg(
-        F.round(F.avg("easiness"), 6).alias("mean_easiness"),
-        F.round(F.median("easiness"), 6).alias("median_easiness"),
+    per_pr = materialize(_easiness(t), "easiness")
+    easy = per_pr.groupBy("project_id").agg(F.round(F.avg("easiness"), 6).alias("mean_easiness")).join(
+        grouped_medians(per_pr, ["project_id"], {"median_easiness": "easiness"}).withColumn(
+            "median_easiness", F.round("median_easiness", 6)
+        ),
+        "project_id",
     )
     ratios = status_ratios(t.pull_request).select("project_id", "n_prs", "merged_ratio")
     return summary.join_metrics(

@@ -161,6 +161,15 @@ def _pr_commit_rows(t: Tables) -> DataFrame:
       HAVING count(*) BETWEEN 1 AND 49)""",
 )
 def s07(t: Tables):
+    return exports.pr_commits(_pr_commit_rows(t), exports.PUBLISHED_MAX_COMMITS)[1]
+
+
+@query(
+    "s07_pr_commit_export_map_all",
+    """SELECT DISTINCT concat('p', project_id) AS project, pr_id::STRING AS pr_id, sha::STRING AS sha
+    FROM pr_commit""",
+)
+def s07a(t: Tables):
     return exports.pr_commits(_pr_commit_rows(t))[1]
 
 

@@ -26,7 +26,39 @@ CLOSE_COUNTS = """last_close AS (
       participants_total-participants_before AS participants_after FROM counted""",
 )
 def w01(t: Tables):
-    return windows.comments_around_close(t.timeline)
+    return windows.comments_around_close(t.timeline, ["thread_id"])
+
+
+@query(
+    "w01_comments_around_close_by_project",
+    """WITH t AS (SELECT project_id, thread_id//25 AS number, event, event_pos, actor_id FROM timeline_full),
+    c AS (SELECT project_id, number, max(event_pos) AS pos FROM t WHERE event='closed' GROUP BY 1, 2),
+    r AS (SELECT t.*, c.pos IS NULL OR t.event_pos<=c.pos AS b FROM t
+      LEFT JOIN c ON c.project_id=t.project_id AND c.number=t.number)
+    SELECT project_id, number, count(*) FILTER (event='commented' AND b) AS comments_before,
+      count(*) FILTER (event='commented') AS comments_total,
+      count(*) FILTER (event='commented' AND NOT b) AS comments_after,
+      count(DISTINCT CASE WHEN b THEN actor_id END) AS participants_before,
+      count(DISTINCT actor_id) AS participants_total,
+      count(DISTINCT actor_id)-count(DISTINCT CASE WHEN b THEN actor_id END) AS participants_after
+    FROM r GROUP BY 1, 2""",
+)
+def w01b(t: Tables):
+    return windows.comments_around_close(_numbered(t), ["project_id", "number"])
+
+
+def _numbered(t: Tables):
+    """Threads by project and number; all projects use the same numbers."""
+    return t.timeline_full.withColumn("number", F.expr("thread_id div 25"))
+
+
+@query(
+    "w02_last_closer_by_project",
+    """SELECT project_id, thread_id//25 AS number, max_by(actor_id, event_pos) AS closer_id
+    FROM timeline_full WHERE event='closed' GROUP BY 1, 2""",
+)
+def w02b(t: Tables):
+    return windows.last_closer(_numbered(t), ["project_id", "number"])
 
 
 @query(
@@ -35,7 +67,7 @@ def w01(t: Tables):
     WHERE event='closed' GROUP BY 1""",
 )
 def w02(t: Tables):
-    return windows.last_closer(t.timeline)
+    return windows.last_closer(t.timeline, ["thread_id"])
 
 
 @query(
@@ -184,5 +216,5 @@ def o04(t: Tables):
 )
 def o05(t: Tables):
     return sampling.sample_prs(
-        t.pull_request.select("project_id", "is_merged", "pr_id"), seed=3
+        t.pull_request.select("project_id", "is_merged", "pr_id"), keep_all_up_to=100, share=3, seed=3
     )

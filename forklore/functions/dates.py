@@ -24,7 +24,7 @@ def months_before(moment: Column, months: int = 3) -> Column:
     return F.add_months(F.to_date(moment), -months)
 
 
-def year_bucket(first: Column, as_of: Column, cap: int = 10) -> Column:
+def year_bucket(first: Column, as_of: Column, cap: int) -> Column:
     """Full years of history, at most ``cap``."""
     return F.least(F.lit(cap), F.floor(F.months_between(as_of, first) / 12).cast("int"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 PR_REFERENCE = r"(#|http(s)?://github.com/([\w\.-]+/){2}(pull|issues)(#(\w)+)?/)(\d+)"
 PR_REFERENCE_NUMBER_GROUP = 7
 ISSUE_COMMENT_REFERENCE = PR_REFERENCE + "#issuecomment-"
-ISSUE_LINK = r"#([1-9][\d]{1,4})([^0-9]|$)"
+PUBLISHED_ISSUE_LINK = r"#([1-9][\d]{1,4})([^0-9]|$)"
 COMMIT_SHA = r"\b[0-9a-f]{7} |\b[0-9a-f]{40}\b"
 DUPLICATE_PR_STRICT = (
     r"(clos(e|ed|ing)|dup(licate(d)?|e)?|super(c|s)ee?ded?|obsoleted?|replaced?|redundant"
@@ -45,9 +45,12 @@ MERGE_KEYWORDS_BROAD = (
     r"clos(e|ed|ing)",
 )
 
+#: A link to an issue of any number.
+ISSUE_LINK = r"#([1-9]\d*)(?:[^0-9]|$)"
+
 
 def _any(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def ascii_fold(text: Column) -> Column:
@@ -125,10 +128,10 @@ def referenced_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda n: n.try_cast("bigint")))
 
 
-def issue_links(text: Column) -> Column:
-    """Distinct ``#n`` links of two to five digits."""
-    found = F.regexp_extract_all(text, F.lit(ISSUE_LINK), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: n.cast("bigint")))
+def issue_links(text: Column, published: bool = False) -> Column:
+    """Distinct ``#n`` links; with ``published`` only those of two to five digits."""
+    found = F.regexp_extract_all(text, F.lit(PUBLISHED_ISSUE_LINK if published else ISSUE_LINK), F.lit(1))
+    return F.array_compact(F.array_distinct(F.transform(found, lambda n: n.try_cast("bigint"))))
 
 
 def commit_sha_mention(text: Column) -> Column:

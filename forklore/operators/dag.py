@@ -18,15 +18,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forklore.session import materialize, materialize_counted
 
 # The distance printed for a commit that no head reaches, and the most
-# heads a side may have before its pair is left out.
+# heads a side had in the published counts. Neither limits a computation.
 UNREACHED = 999
-MAX_HEADS = 100
+PUBLISHED_MAX_HEADS = 100
 
 NODE = ["pair_id", "sha"]
 CHAIN = ["pair_id", "chain"]
@@ -56,7 +56,7 @@ def merge_commits(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("parent_pos") > 0).select(*NODE).distinct()
 
 
-def split_by_head_count(heads: DataFrame, limit: int = MAX_HEADS) -> tuple[DataFrame, DataFrame]:
+def split_by_head_count(heads: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Heads of pairs within the limit on every side, and the pairs left out."""
     rejected = (
         heads.groupBy("pair_id", "side")
@@ -111,12 +111,15 @@ def _heights(first: DataFrame) -> DataFrame:
         )
         # Commits that have reached a root do not take part in the second join: their
         # NULL keys would all meet in one task.
-        risen = state.join(above, NODE, "left").select(
-            *NODE,
-            "first",
-            "up",
-            "depth",
-            F.greatest("height", F.coalesce("_above", F.lit(0))).alias("height"),
+        risen = materialize(
+            state.join(above, NODE, "left").select(
+                *NODE,
+                "first",
+                "up",
+                "depth",
+                F.greatest("height", F.coalesce("_above", F.lit(0))).alias("height"),
+            ),
+            "risen",
         )
         moved = (
             risen.filter(F.col("up").isNotNull())
@@ -232,10 +235,15 @@ def _cover_from(
         places.select(*NODE, "chain", "height"), NODE
     )
     parts: list[DataFrame] = []
+    seen: list[DataFrame] = []
     distance = 0
 
     def covered() -> DataFrame | None:
-        return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+        """What is covered so far; put together every few rounds, so that no round reads all earlier ones."""
+        if len(seen) > 4:
+            every = reduce(lambda a, b: a.unionByName(b), seen)
+            seen[:] = [materialize(every.groupBy(*SIDE_CHAIN).agg(F.max("high").alias("high")), "seen")]
+        return reduce(lambda a, b: a.unionByName(b), seen) if seen else None
 
     while True:
         level: list[DataFrame] = []
@@ -247,13 +255,15 @@ def _cover_from(
             if not n_new:
                 break
             parts.append(frontier)
+            seen.append(frontier.select(*SIDE_CHAIN, "high"))
             level.append(frontier)
             onward = frontier.join(links, CHAIN).select(
                 "pair_id", "side", F.col("to_chain").alias("chain"), F.col("to_height").alias("height")
             )
             frontier = _new_cover(onward, covered())
         if not level:
-            return covered()
+            # no head in the graph leaves one empty frontier, which has the columns
+            return reduce(lambda a, b: a.unionByName(b), parts) if parts else frontier
         grown = reduce(lambda a, b: a.unionByName(b), level)
         entries = (
             grown.join(merges, CHAIN)
@@ -286,9 +296,9 @@ def reached(edges: DataFrame, heads: DataFrame) -> DataFrame:
 def head_distances(
     edges: DataFrame, heads: DataFrame, sides: tuple[str, ...] = ("fork", "upstream")
 ) -> DataFrame:
-    """One row per commit with a distance column per side; 999 where it is not reached.
+    """One row per commit with a distance column per side, NULL where it is not reached.
 
-    ``pair_id, sha, is_merge, distance_<side>...``
+    ``pair_id, sha, is_merge, distance_<side>...``; see :func:`distance_label` for print.
     """
     got = reached(edges, heads)
     wide = got.groupBy(*NODE).agg(
@@ -300,15 +310,15 @@ def head_distances(
     return parents.join(wide, NODE, "left").select(
         *NODE,
         "is_merge",
-        *[
-            F.least(F.coalesce(f"distance_{s}", F.lit(UNREACHED)), F.lit(UNREACHED)).alias(
-                f"distance_{s}"
-            )
-            for s in sides
-        ],
+        *[f"distance_{s}" for s in sides],
     )
 
 
+def distance_label(distance: str) -> Column:
+    """The distance as it is printed: 999 for a commit that is not reached."""
+    return F.coalesce(F.col(distance), F.lit(UNREACHED))
+
+
 def decompose_branches(edges: DataFrame, heads: DataFrame) -> DataFrame:
     """History of each branch (``side``), one row per commit, with its role.
 

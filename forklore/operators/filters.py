@@ -117,11 +117,12 @@ def stale_branches(branches: DataFrame, fork_points: DataFrame) -> DataFrame:
     """Fork branches to be ignored, of ``branches(pair_id, branch, sha, head_at)``.
 
     A branch is stale when its head lies before the fork point, provided the fork has
-    more than one branch, or when the head's year does not begin with ``20``.
+    more than one branch, or when the head's year does not begin with ``20``. Without a
+    known fork point only the year counts.
     """
     sizes = branches.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_branches"))
-    facts = sizes.join(fork_points.select("pair_id", "forked_at"), "pair_id")
-    old = (F.col("n_branches") > 1) & (F.col("head_at") < F.col("forked_at"))
+    facts = sizes.join(fork_points.select("pair_id", "forked_at"), "pair_id", "left")
+    old = (F.col("n_branches") > 1) & F.coalesce(F.col("head_at") < F.col("forked_at"), F.lit(False))
     odd_year = ~F.date_format("head_at", "yyyy").startswith("20")
     return (
         branches.join(facts, "pair_id")

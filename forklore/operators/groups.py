@@ -55,3 +55,30 @@ def shuffled_rank(df: DataFrame, keys: list[str], seed_key: Column, out: str) ->
         .withColumn(out, F.col("_offset") + F.col("_inside"))
         .drop("_hash", "_slice", "_inside", "_offset")
     )
+
+
+def grouped_medians(rows: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """Exact median of several columns per group: ``*keys`` and one column per entry of ``values`` (name to column).
+
+    Equal values are counted before the shuffle, and the middle is taken from running sums over the distinct
+    values, which Spark sorts and spills. No buffer holds a group's values. NULL values do not count; a group of
+    NULLs only, or a NULL key, has NULL medians.
+    """
+    stacked = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(column).cast("double").alias("value"))
+        for name, column in values.items()
+    ]))
+    each = rows.select(*keys, stacked.alias("_v")).select(*keys, "_v.*")
+    counts = each.groupBy(*keys, "name", "value").agg(F.count("value").alias("n"))
+    over = Window.partitionBy(*keys, "name").orderBy(F.col("value").asc_nulls_first())
+    whole = Window.partitionBy(*keys, "name")
+    placed = counts.withColumn("upto", F.sum("n").over(over)).withColumn("total", F.sum("n").over(whole))
+    low, high = F.expr("(total + 1) div 2"), F.expr("(total + 2) div 2")
+    before = F.col("upto") - F.col("n")
+    holds = lambda place: (before < place) & (place <= F.col("upto"))
+    middle = placed.groupBy(*keys, "name").agg(
+        ((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("median")
+    )
+    return middle.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("median"))).alias(name) for name in values]
+    )

@@ -9,7 +9,7 @@ from forklore.operators.groups import shuffled_rank
 from forklore.operators.windows import latest_per_group
 
 
-def first_forks(forks: DataFrame, n: int = 100, project: str = "project_id", by: str = "repo_id"):
+def first_forks(forks: DataFrame, n: int, project: str = "project_id", by: str = "repo_id"):
     """At most ``n`` forks of each project in a stable order."""
     return latest_per_group(forks, [project], [F.col(by)], n).drop("rank")
 
@@ -28,7 +28,7 @@ def sample_exactly(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFram
 
 
 def sample_prs(
-    prs: DataFrame, keep_all_up_to: int = 100, share: int = 3, seed: int = 0
+    prs: DataFrame, keep_all_up_to: int, share: int, seed: int = 0
 ) -> DataFrame:
     """Pull requests per project and verdict: all of a small group, else a third and one."""
     keys = ["project_id", "is_merged"]

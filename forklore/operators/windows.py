@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forklore.operators.groups import previous_value
 
+#: A thread is a number of one project; numbers repeat between projects.
+THREAD_KEYS = ("project_id", "thread_id")
+
 
-def comments_around_close(timeline: DataFrame, thread: str = "thread_id") -> DataFrame:
+def comments_around_close(timeline: DataFrame, keys: Sequence[str] = THREAD_KEYS) -> DataFrame:
     """Comments and participants before the last close, after it, and in total.
 
     Without a close everything counts as before. Actors of any event are participants,
@@ -17,13 +22,13 @@ def comments_around_close(timeline: DataFrame, thread: str = "thread_id") -> Dat
     """
     closes = (
         timeline.filter(F.col("event") == "closed")
-        .groupBy(thread)
+        .groupBy(*keys)
         .agg(F.max("event_pos").alias("_close"))
     )
-    rows = timeline.select(thread, "event", "event_pos", "actor_id").join(closes, thread, "left")
+    rows = timeline.select(*keys, "event", "event_pos", "actor_id").join(closes, list(keys), "left")
     before = F.col("_close").isNull() | (F.col("event_pos") <= F.col("_close"))
     comment = F.col("event") == "commented"
-    counted = rows.groupBy(thread).agg(
+    counted = rows.groupBy(*keys).agg(
         F.count_if(comment & before).alias("comments_before"),
         F.count_if(comment).alias("comments_total"),
         F.count_distinct(F.when(before, F.col("actor_id"))).alias("participants_before"),
@@ -36,11 +41,11 @@ def comments_around_close(timeline: DataFrame, thread: str = "thread_id") -> Dat
     )
 
 
-def last_closer(timeline: DataFrame, thread: str = "thread_id") -> DataFrame:
+def last_closer(timeline: DataFrame, keys: Sequence[str] = THREAD_KEYS) -> DataFrame:
     """Actor of the last ``closed`` event of each thread."""
     return (
         timeline.filter(F.col("event") == "closed")
-        .groupBy(thread)
+        .groupBy(*keys)
         .agg(F.max_by("actor_id", "event_pos").alias("closer_id"))
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from forklore.functions.commits import same_author
 from forklore.operators.aggregates import category_counts
 from forklore.operators.dag import (
-    UNREACHED,
     decompose_branches,
     head_distances,
     merge_contributions,
@@ -20,10 +19,10 @@ from forklore.session import materialize
 
 
 def category_of(fork: Column, upstream: Column) -> Column:
-    """Category from the distance to the fork's and the upstream's heads."""
+    """Category from the distance to the fork's and the upstream's heads, NULL for not reached."""
     return (
-        F.when(upstream == UNREACHED, "only_F")
-        .when(fork == UNREACHED, "only_U")
+        F.when(upstream.isNull(), "only_F")
+        .when(fork.isNull(), "only_U")
         .when(fork < upstream, "F2U")
         .when(fork > upstream, "U2F")
         .otherwise("before")
@@ -49,7 +48,7 @@ def classify_commits(
 
 
 def _categories(distances: DataFrame) -> DataFrame:
-    both = (F.col("distance_fork") == UNREACHED) & (F.col("distance_upstream") == UNREACHED)
+    both = F.col("distance_fork").isNull() & F.col("distance_upstream").isNull()
     return distances.filter(~both).select(
         "pair_id",
         "sha",
@@ -65,11 +64,12 @@ def four_way(classified: DataFrame) -> DataFrame:
 def override_by_date(classified: DataFrame, dates: DataFrame, forked: DataFrame) -> DataFrame:
     """A commit of the fork's birthday or older is from before the fork, whatever the graph says.
 
-    ``dates(pair_id, sha, committed_at)``, ``forked(pair_id, forked_on)``.
+    ``dates(pair_id, sha, committed_at)``, ``forked(pair_id, forked_on)``. A commit or fork
+    without a date keeps its category.
     """
     old = F.to_date("committed_at") <= F.col("forked_on")
     return (
-        classified.join(dates, ["pair_id", "sha"])
+        classified.join(dates, ["pair_id", "sha"], "left")
         .join(forked, "pair_id", "left")
         .withColumn(
             "category",
@@ -80,10 +80,17 @@ def override_by_date(classified: DataFrame, dates: DataFrame, forked: DataFrame)
 
 
 def fork_commit_counts(edges: DataFrame, heads: DataFrame) -> DataFrame:
-    """The five counts per pair; pairs with too many heads are left out."""
-    usable, _ = split_by_head_count(heads)
+    """The five counts per pair, however many heads a side has."""
+    return category_counts(classify_commits(edges, heads), "pair_id")
+
+
+def limited_fork_commit_counts(
+    edges: DataFrame, heads: DataFrame, max_heads: int
+) -> tuple[DataFrame, DataFrame]:
+    """The counts of pairs within ``max_heads`` heads on every side, and the pairs left out."""
+    usable, rejected = split_by_head_count(heads, max_heads)
     graph = edges.join(usable.select("pair_id").distinct(), "pair_id", "left_semi")
-    return category_counts(classify_commits(graph, usable), "pair_id")
+    return fork_commit_counts(graph, usable), rejected
 
 
 def graph_result_lines(counts: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def contribution_table(classified: DataFrame, project: str = "parent_id") -> Dat
     )
 
 
-def commits_to_ingest(own: DataFrame, files: DataFrame, below: int = 100) -> DataFrame:
+def commits_to_ingest(own: DataFrame, files: DataFrame, below: int) -> DataFrame:
     """Own commits that change at least one and fewer than ``below`` files, with the number."""
     sizes = files.groupBy("sha").agg(F.count(F.lit(1)).alias("n_files"))
     return own.join(sizes.filter(F.col("n_files") < below), "sha")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from forklore.functions.text import ends_with_any
 from forklore.operators.aggregates import geometric_mean
+from forklore.operators.groups import grouped_medians
 from forklore.operators.joins import pr_changed_files
+from forklore.session import materialize
 
 
 def easiness(
@@ -62,16 +64,23 @@ def project_easiness(prs: DataFrame, per_pr: DataFrame) -> DataFrame:
     rows = per_pr.join(prs, ["project_id", "pr_id"]).select(
         "project_id", verdict.alias("verdict"), "easiness", "easiness_filtered"
     )
+    rows = materialize(rows, "easiness")  # read for the means and for the medians
+    both = rows.withColumn(
+        "verdict", F.explode(F.array_compact(F.array(F.lit("all"), F.col("verdict"))))
+    )
+    medians = grouped_medians(
+        both,
+        ["project_id", "verdict"],
+        {"median_easiness": "easiness", "median_filtered": "easiness_filtered"},
+    )
     grouped = rows.groupingSets(
         [["project_id"], ["project_id", "verdict"]], "project_id", "verdict"
     ).agg(
         F.grouping("verdict").alias("_all"),
         F.count(F.lit(1)).alias("n_prs"),
         F.round(F.avg("easiness"), 6).alias("mean_easiness"),
-        F.round(F.median("easiness"), 6).alias("median_easiness"),
         F.round(geometric_mean(F.col("easiness")), 6).alias("geomean_easiness"),
         F.round(F.avg("easiness_filtered"), 6).alias("mean_filtered"),
-        F.round(F.median("easiness_filtered"), 6).alias("median_filtered"),
         F.round(geometric_mean(F.col("easiness_filtered")), 6).alias("geomean_filtered"),
     )
     return (
@@ -80,6 +89,8 @@ def project_easiness(prs: DataFrame, per_pr: DataFrame) -> DataFrame:
         )
         .filter(F.col("verdict").isNotNull())
         .drop("_all")
+        .join(medians, ["project_id", "verdict"])
+        .withColumns({c: F.round(c, 6) for c in ("median_easiness", "median_filtered")})
     )
 
 
@@ -108,11 +119,16 @@ def change_sizes(
 
 
 def project_change_sizes(per_pr: DataFrame) -> DataFrame:
-    return per_pr.groupBy("project_id").agg(
+    per_pr = materialize(per_pr, "sizes")  # read for the means and for the medians
+    medians = grouped_medians(
+        per_pr,
+        ["project_id"],
+        {"median_loc": "loc", "median_files": "n_files", "median_easiness_loc": "easiness_loc"},
+    )
+    means = per_pr.groupBy("project_id").agg(
         F.round(F.avg("loc"), 6).alias("mean_loc"),
-        F.round(F.median("loc"), 6).alias("median_loc"),
         F.round(F.avg("n_files"), 6).alias("mean_files"),
-        F.round(F.median("n_files"), 6).alias("median_files"),
         F.round(F.avg("easiness_loc"), 6).alias("mean_easiness_loc"),
-        F.round(F.median("easiness_loc"), 6).alias("median_easiness_loc"),
     )
+    rounded = {c: F.round(c, 6) for c in medians.columns[1:]}
+    return means.join(medians, "project_id").withColumns(rounded)

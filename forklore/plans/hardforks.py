@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forklore.functions.text import names_differ, same_description, url_repo, unordered_pair_key
 from forklore.operators.joins import absent, forks_with_upstream
+from forklore.sources.sinks import least_per_key
 
 
 def renamed_forks(pairs: DataFrame, threshold: int = 2) -> DataFrame:
@@ -23,7 +24,7 @@ def says_fork_of(description: Column) -> Column:
 def unchecked_pairs(pairs: DataFrame, checked: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs, whichever way round, that were not looked at before; each once."""
     keyed = pairs.withColumn("pair_key", unordered_pair_key(F.col(a), F.col(b)))
-    return absent(keyed.dropDuplicates(["pair_key"]), checked, ["pair_key"])
+    return absent(least_per_key(keyed, ["pair_key"]), checked, ["pair_key"])
 
 
 def hard_fork_signs(

@@ -7,6 +7,8 @@ comment, then the last three, then referenced commits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +19,26 @@ from forklore.functions.text import (
     is_duplicate_comment,
     names_other_pr,
 )
-from forklore.operators.windows import last_comments_before_close
+from forklore.operators.windows import THREAD_KEYS, last_comments_before_close
 
 VERDICTS = ["merged-1", "merged-2", "merged-5", "duplicate", "rejected", "merged-4", "merged-3",
             "merged-2ref"]
 
 
 def merge_verdicts(
-    timeline: DataFrame, known_shas: DataFrame, key: str = "thread_id", prefix: int = 7
+    timeline: DataFrame, known_shas: DataFrame, keys: Sequence[str] = THREAD_KEYS, prefix: int = 7
 ) -> DataFrame:
-    """One verdict per thread: ``key, verdict``.
+    """One verdict per thread: ``*keys, verdict``.
 
-    ``known_shas(sha)`` are the commits in the repository, as text. A mention of seven
-    characters matches a known commit by its first seven.
+    ``known_shas(project_id, sha)`` are the commits of each repository, as text; only those of the
+    thread's own project count. A mention of seven characters matches a known commit by its first seven.
     """
-    threads = timeline.select(key).distinct()
+    keys = list(keys)
+    at = ["project_id", "mention"]
+    threads = timeline.select(*keys).distinct()
     known = (
-        known_shas.select(F.substring("sha", 1, prefix).alias("mention"))
-        .unionByName(known_shas.select(F.col("sha").alias("mention")))
+        known_shas.select("project_id", F.substring("sha", 1, prefix).alias("mention"))
+        .unionByName(known_shas.select("project_id", F.col("sha").alias("mention")))
         .distinct()
     )
 
@@ -43,21 +47,21 @@ def merge_verdicts(
     ) | (F.col("event") == "merged")
     by_event = (
         timeline.filter(closing)
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.max_by("event", "event_pos").alias("event"))
         .select(
-            key,
+            *keys,
             F.lit(1).alias("rank"),
             F.when(F.col("event") == "merged", "merged-1").otherwise("merged-2").alias("verdict"),
         )
     )
 
     comments = (
-        last_comments_before_close(timeline, 3, (key,))
+        last_comments_before_close(timeline, 3, keys)
         .withColumn("sha_named", commit_sha_mention(F.col("body")))
         # Most comments name no commit; a key of their own keeps them apart in the join.
-        .withColumn("mention", F.coalesce("sha_named", F.concat(F.lit(" "), F.col(key))))
-        .join(known.withColumn("_known", F.lit(True)), "mention", "left")
+        .withColumn("mention", F.coalesce("sha_named", F.concat_ws(" ", F.lit(""), *keys)))
+        .join(known.withColumn("_known", F.lit(True)), at, "left")
         .withColumn("sha_merged", F.coalesce("_known", F.lit(False)))
     )
     names_pr = names_other_pr(F.col("body"))
@@ -71,40 +75,45 @@ def merge_verdicts(
     )
     by_last = (
         comments.filter(F.col("rank") == 1)
-        .select(key, F.lit(2).alias("rank"), of_last.alias("verdict"))
+        .select(*keys, F.lit(2).alias("rank"), of_last.alias("verdict"))
         .filter(F.col("verdict").isNotNull())
     )
     by_three = comments.filter(has_broad_merge_keyword(F.col("body")) & F.col("sha_merged")).select(
-        key, F.lit(3).alias("rank"), F.lit("merged-3").alias("verdict")
+        *keys, F.lit(3).alias("rank"), F.lit("merged-3").alias("verdict")
     )
     referenced = timeline.filter((F.col("event") == "referenced") & (F.col("sha") != "")).select(
-        key, F.col("sha").alias("mention")
+        *dict.fromkeys(["project_id", *keys]), F.col("sha").alias("mention")
     )
-    by_reference = referenced.join(known, "mention", "left_semi").select(
-        key, F.lit(4).alias("rank"), F.lit("merged-2ref").alias("verdict")
+    by_reference = referenced.join(known, at, "left_semi").select(
+        *keys, F.lit(4).alias("rank"), F.lit("merged-2ref").alias("verdict")
     )
-    otherwise = threads.select(key, F.lit(5).alias("rank"), F.lit("rejected").alias("verdict"))
+    otherwise = threads.select(*keys, F.lit(5).alias("rank"), F.lit("rejected").alias("verdict"))
     candidates = (
         by_event.unionByName(by_last)
         .unionByName(by_three)
         .unionByName(by_reference)
         .unionByName(otherwise)
     )
-    return candidates.groupBy(key).agg(F.min_by("verdict", "rank").alias("verdict"))
+    return candidates.groupBy(*keys).agg(F.min_by("verdict", "rank").alias("verdict"))
 
 
 def merged_by_own_commits(
-    timeline: DataFrame, known_shas: DataFrame, key: str = "thread_id"
+    timeline: DataFrame, known_shas: DataFrame, keys: Sequence[str] = THREAD_KEYS
 ) -> DataFrame:
-    """Threads with a ``committed`` event whose commit is in the repository (type 6)."""
-    own = timeline.filter((F.col("event") == "committed") & (F.col("sha") != "")).select(key, "sha")
-    return own.join(known_shas.select("sha"), "sha", "left_semi").select(key).distinct()
+    """Threads with a ``committed`` event whose commit is in the project's repository (type 6)."""
+    own = timeline.filter((F.col("event") == "committed") & (F.col("sha") != "")).select(
+        *dict.fromkeys(["project_id", *keys]), "sha"
+    )
+    known = known_shas.select("project_id", "sha")
+    return own.join(known, ["project_id", "sha"], "left_semi").select(*keys).distinct()
 
 
-def merge_flags(verdicts: DataFrame, own_commits: DataFrame, key: str = "thread_id") -> DataFrame:
+def merge_flags(
+    verdicts: DataFrame, own_commits: DataFrame, keys: Sequence[str] = THREAD_KEYS
+) -> DataFrame:
     """Boolean columns per merge type, and whether any of them holds."""
-    six = own_commits.select(key, F.lit(True).alias("merge_6"))
-    rows = verdicts.join(six, key, "left")
+    six = own_commits.select(*keys, F.lit(True).alias("merge_6"))
+    rows = verdicts.join(six, list(keys), "left")
     flags = {
         name: F.coalesce(F.col("verdict") == f"merged-{name}", F.lit(False))
         for name in ("1", "2", "2ref", "3", "4", "5")
@@ -113,7 +122,7 @@ def merge_flags(verdicts: DataFrame, own_commits: DataFrame, key: str = "thread_
     for flag in flags.values():
         any_flag = any_flag | flag
     return rows.select(
-        key,
+        *keys,
         *[flag.alias(f"merge_{name}") for name, flag in flags.items()],
         F.coalesce("merge_6", F.lit(False)).alias("merge_6"),
         any_flag.alias("merge_any"),

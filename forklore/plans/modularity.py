@@ -30,8 +30,9 @@ def modularity(
     files: DataFrame,
     suffixes: Sequence[str] | None = None,
     stop_names: Sequence[str] = (),
-    max_files: int = 50,
-    n_commits: int = 50,
+    *,
+    max_files: int,
+    n_commits: int,
     members: DataFrame | None = None,
     since: Column | None = None,
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forklore.operators.aggregates import ratio
+from forklore.operators.groups import grouped_medians
 
 
 def issue_before_pr(links: DataFrame, prs: DataFrame) -> DataFrame:
@@ -36,9 +37,7 @@ def merge_experience(prs: DataFrame) -> DataFrame:
     per_author = prs.groupBy("project_id", "author_id").agg(
         F.count_if("is_merged").alias("n_merged")
     )
-    return per_author.groupBy("project_id").agg(
-        F.median("n_merged").alias("median_merge_experience")
-    )
+    return grouped_medians(per_author, ["project_id"], {"median_merge_experience": "n_merged"})
 
 
 def mean_hotness(hot: DataFrame, value: str = "n_hot_commits") -> DataFrame:

@@ -53,7 +53,8 @@ def participants(timeline: DataFrame) -> DataFrame:
     """Distinct people per thread, with the attributes first seen in the project."""
     people = timeline.filter(F.col("actor_id").isNotNull())
     attributes = first_seen_attributes(
-        people, ["project_id", "actor_id"], ["association", "user_type"], ["event_pos"]
+        people, ["project_id", "actor_id"], ["association", "user_type"],
+        ["thread_type", "thread_id", "event_pos"],
     )
     return people.select(*THREAD, "actor_id").distinct().join(
         attributes, ["project_id", "actor_id"]

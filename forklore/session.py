@@ -38,11 +38,14 @@ def build_session(app: str = "forklore", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local one made, once
-    per session.
+    Only where a local session names none (tests, a laptop) is a local one made, once
+    per session. On a cluster each executor would write to its own disk, so there it is an error.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors reach")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="forklore-")

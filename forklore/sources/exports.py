@@ -13,7 +13,8 @@ THREAD_FILE = r"get_(pr|issue)_timeline\.(.+?)_(\d+)(\.0)?\.csv"
 KEYED_FILE = r"get_[a-z_A-Z]+?\.(.+?)_([0-9a-f]+)(\.0)?\.csv"
 PROJECT_FILE = r"get_(?:prs|issues)\.([^/]+?)\.csv"
 
-MIN_PR_COMMITS, MAX_PR_COMMITS = 1, 49
+#: The most commits of a request in the published map.
+PUBLISHED_MAX_COMMITS = 49
 
 
 def read_csv(
@@ -87,16 +88,18 @@ def issues(raw: DataFrame) -> DataFrame:
     )
 
 
-def pr_commits(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pr_commits(raw: DataFrame, max_commits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Commits, the map of pull requests to commits, and the number of commits of each.
 
-    The first two are for pull requests with 1 to 49 commits; the number is for all.
+    With ``max_commits`` the first two leave out pull requests with more; the number is for all.
     """
     rows = raw.select(*keyed(F.col("path"), "pr_id"), "*").drop("path").filter(_filled("sha"))
     keys = ["project", "pr_id"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_commit"))
-    usual = counts.filter(F.col("num_commit").between(MIN_PR_COMMITS, MAX_PR_COMMITS))
-    kept = rows.join(usual.select(*keys), keys, "left_semi")
+    kept = rows
+    if max_commits is not None:
+        usual = counts.filter(F.col("num_commit") <= max_commits)
+        kept = rows.join(usual.select(*keys), keys, "left_semi")
     commits = kept.groupBy("project", "sha").agg(
         F.min_by(F.struct("login", "email", "author_name", "created_at"), "pr_id").alias("_c")
     ).select("project", "sha", "_c.*")

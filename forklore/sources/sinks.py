@@ -57,8 +57,17 @@ def write_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = BATCH_ROWS
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows to insert: one per key, and only keys that are not there yet."""
-    return absent(rows.dropDuplicates(list(keys)), existing, keys)
+    """Rows to insert: one per key, the least by its other columns, and only keys that are not there yet."""
+    return absent(least_per_key(rows, keys), existing, keys)
+
+
+def least_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, the least by its other columns in their order."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    least = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select(*[f"_least.{c}" if c in rest else c for c in rows.columns])
 
 
 def insert_absent(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -114,9 +123,8 @@ def active_fork_rows(forks: DataFrame, repositories: DataFrame) -> DataFrame:
     ``forks(fork_url, upstream_url, project_id)``; an upstream that is unknown or the
     project itself resolves to the project.
     """
-    fresh = forks.join(
-        repositories.select(F.col("url").alias("fork_url")), "fork_url", "left_anti"
-    ).dropDuplicates(["fork_url"])
+    known = repositories.select(F.col("url").alias("fork_url"))
+    fresh = least_per_key(forks.join(known, "fork_url", "left_anti"), ["fork_url"])
     ids = repositories.select(
         F.col("url").alias("upstream_url"), F.col("repo_id").alias("_upstream_id")
     )

@@ -33,7 +33,7 @@ def test_worked_graph_distances(spark):
 
 
 def test_categories(spark):
-    pairs = [(0, 999, "only_F"), (999, 0, "only_U"), (0, 1, "F2U"), (1, 0, "U2F"), (0, 0, "before")]
+    pairs = [(0, None, "only_F"), (None, 0, "only_U"), (998, 999, "F2U"), (0, 1, "F2U"), (1, 0, "U2F"), (0, 0, "before")]
     df = spark.createDataFrame(pairs, "f int, u int, want string")
     got = df.select("want", classify.category_of(F.col("f"), F.col("u")).alias("got"))
     assert all(r.want == r.got for r in got.collect())
@@ -60,12 +60,12 @@ def test_comments_around_close(spark):
         (2, 0, "commented", "a"), (2, 1, "labeled", "z"),
     ]
     df = spark.createDataFrame(events, TIMELINE)
-    got = {r.thread_id: r for r in windows.comments_around_close(df).collect()}
+    got = {r.thread_id: r for r in windows.comments_around_close(df, ["thread_id"]).collect()}
     one, two = got[1], got[2]
     assert (one.comments_before, one.participants_before) == (3, 3)
     assert (one.comments_total, one.participants_total, one.comments_after) == (4, 3, 1)
     assert (two.comments_before, two.participants_before) == (1, 2)
-    assert rows(windows.last_closer(df), "thread_id", "closer_id") == {(1, "b")}
+    assert rows(windows.last_closer(df, ["thread_id"]), "thread_id", "closer_id") == {(1, "b")}
 
 
 def test_core_team(spark):
@@ -131,10 +131,10 @@ def test_modularity(spark):
         [("x", "A"), ("x", "B"), ("y", "B"), ("y", "C"), ("z", "D"), ("w", "E")],
         "sha string, filename string",
     ).withColumn("status", F.lit("modified"))
-    got = {r.project_id: r for r in modularity.modularity(commits, files).collect()}
+    got = {r.project_id: r for r in modularity.modularity(commits, files, max_files=50, n_commits=50).collect()}
     assert (got[1].n_files, got[1].n_pairs, got[1].modularity) == (4, 2, 33.3333)
     assert got[2].modularity is None
-    grid = modularity.modularity_grid(commits, files, ["a"], thresholds=(1, 2)).collect()
+    grid = modularity.modularity_grid(commits, files, ["a"], thresholds=(1, 2), n_commits=50).collect()
     source = [r for r in grid if r.scope == "source_only"]
     assert [(r.max_files, r.project_id, r.n_files) for r in source] == [(2, 1, 1)]
     assert {(r.max_files, r.project_id) for r in grid if r.scope == "all_files"} == {
