@@ -75,7 +75,7 @@ def j05(t: Tables):
 
 @query("j06_open_window_join", PAIRS.format(extra="", low=1))
 def j06(t: Tables):
-    return _per_pr(intervals.prior_window_pairs(t.pull_request, low=1, lower_id_only=False))
+    return intervals.prior_window_summary(t.pull_request, low=1)
 
 
 @query(

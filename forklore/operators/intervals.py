@@ -62,6 +62,21 @@ def lowest_prior_id(
     return days.select(*keys, "age_in_day", F.min("_low_of_day").over(span).alias("lowest_id"))
 
 
+def prior_window_summary(prs: DataFrame, window: int = 90, low: int = 1) -> DataFrame:
+    """Number and lowest id of the closed pull requests in the window of each: ``n_prior, lowest_prior``.
+
+    For windows without the lower-id rule. Rows are reduced to one per project and day; no pair is formed. Pull
+    requests with an empty window have no row.
+    """
+    closed = F.when(F.col("is_closed"), F.col("pr_id"))
+    days = prs.groupBy("project_id", "age_in_day").agg(F.count(closed).alias("_closed"), F.min(closed).alias("_low"))
+    span = Window.partitionBy("project_id").orderBy("age_in_day").rangeBetween(low, window)
+    rolled = days.select(
+        "project_id", "age_in_day", F.sum("_closed").over(span).alias("n_prior"), F.min("_low").over(span).alias("lowest_prior")
+    ).filter(F.col("n_prior") > 0)
+    return prs.select("project_id", "pr_id", "age_in_day").join(rolled, ["project_id", "age_in_day"]).drop("age_in_day")
+
+
 def prior_window_counts(prs: DataFrame, window: int = 90, low: int = 1) -> DataFrame:
     """Closed pull requests in the window of each pull request, by day histogram."""
     days = prs.groupBy("project_id", "age_in_day").agg(F.count_if("is_closed").alias("_closed"))

@@ -65,6 +65,10 @@ def pr_listing(documents: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
+#: Elements that are never closed.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
 def search_hits(
     pages: DataFrame, key: str = "page_id", html: str = "html", item_class: str = SEARCH_ITEM_CLASS
 ) -> DataFrame:
@@ -75,24 +79,31 @@ def search_hits(
     key_type = pages.schema[key].dataType.simpleString()
 
     class Hits(HTMLParser):
-        """Text of the first link inside each element of a class."""
+        """Text of the first link inside each element of a class; an element without a link has none."""
 
         def __init__(self):
             super().__init__()
             self.found = []
-            self.waiting = self.inside = False
+            self.open, self.item, self.inside = [], None, False
 
         def handle_starttag(self, tag, attrs):
             given = dict(attrs)
             if item_class in (given.get("class") or "").split():
-                self.waiting = True
-            elif tag == "a" and self.waiting and "href" in given:
-                self.waiting, self.inside = False, True
+                self.item = len(self.open)
+            elif tag == "a" and self.item is not None and "href" in given:
+                self.item, self.inside = None, True
                 self.found.append("")
+            if tag not in VOID_TAGS:
+                self.open.append(tag)
 
         def handle_endtag(self, tag):
             if tag == "a":
                 self.inside = False
+            if tag in self.open:
+                while self.open.pop() != tag:
+                    pass
+            if self.item is not None and len(self.open) <= self.item:
+                self.item = None
 
         def handle_data(self, data):
             if self.inside:

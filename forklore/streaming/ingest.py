@@ -6,14 +6,17 @@ which files were read, so calling it again from a scheduler is the refresh loop.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from forklore.sources.sinks import new_rows
+from forklore.operators.joins import absent
+from forklore.sources.sinks import least_per_key
 
 
 def csv_stream(
@@ -48,20 +51,27 @@ def append_new(stream: DataFrame, out: str, checkpoint: str) -> None:
 def insert_new(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str]) -> None:
     """Insert rows whose key the table lacks, each once, however often a batch is repeated.
 
-    Every batch writes its own folder, overwriting what a failed attempt left there, and
-    is compared with the folders of the batches before it.
+    Every batch writes its own folder, named by the query's id (kept in the checkpoint) and the batch, overwriting what
+    a failed attempt left there. It is compared with all other folders, so a new checkpoint on an existing
+    table neither repeats nor replaces a row.
     """
-    schema = stream.schema
+    parts = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
+    schema = T.StructType([*stream.schema.fields, *parts])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema(
-            T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-        ).parquet(out) if batch_id else None
-        rows = batch.dropDuplicates(list(keys))
-        if known is not None:
-            rows = new_rows(batch, known.filter(F.col("batch") < batch_id), keys)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        kept = spark.read.text(f"{checkpoint}/metadata").first()[0]
+        run_id = json.loads(kept)["id"]
+        rows = least_per_key(batch, keys)
+        try:
+            known = spark.read.schema(schema).parquet(out)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            own = (F.col("run") == run_id) & (F.col("batch") == batch_id)
+            rows = absent(rows, known.filter(~own), keys)
+        rows.write.mode("overwrite").parquet(f"{out}/run={run_id}/batch={batch_id}")
 
     run(
         stream.writeStream.foreachBatch(write)

@@ -125,6 +125,30 @@ def test_the_least_row_of_a_key_is_inserted(spark):
     assert {tuple(r) for r in sinks.new_rows(rows.repartition(3), none, ["k"]).collect()} == {(1, "a", 9), (2, "c", 3)}
 
 
+def test_a_new_checkpoint_keeps_what_is_there(spark, tmp_path):
+    from forklore.streaming import ingest
+
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for turn, rows in enumerate([[(1, "a"), (1, "b")], [(1, "z"), (2, "c")], [(3, "d")]]):
+        batch = spark.createDataFrame(rows, "k int, x string")
+        batch.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        ingest.insert_new(stream, out, f"{tmp_path}/marks{turn // 2}", ["k"])
+    got = {tuple(r) for r in spark.read.parquet(out).select("k", "x").collect()}
+    assert got == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_a_hit_without_a_link_takes_no_other(spark):
+    from forklore.sources.documents import search_hits
+
+    html = (
+        "<ul><li class='hit'><div>no link<br></div></li><li><a href='x'>else</a></li>"
+        "<li class='hit'><p><a href='y'>one</a><a href='z'>two</a></p></li></ul>"
+    )
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert [r["name"] for r in search_hits(df, item_class="hit").collect()] == ["one"]
+
+
 def test_grouped_medians(spark):
     rows = [(k % 3, float(v) if v % 7 else None, v % 4) for k, v in zip(range(90), range(5, 95), strict=True)]
     df = spark.createDataFrame([*rows, (9, None, 1)], "k int, v double, w int")
