@@ -8,21 +8,12 @@ from forklore.catalog.registry import query
 from forklore.catalog.views import SNAPSHOT, Tables
 from forklore.functions import commits, dates, text
 
-REF = r"(#|http(s)?://github.com/([\w\.-]+/){2}(pull|issues)(#(\w)+)?/)(\d+)"
-LOOSE = (
-    r"(dup(licate(d)?|e)?|super(c|s)(ee)?(ded)?(edes)?|obsoleted?|replaced?|redundant"
-    r"|better (implementation|solution)|solved|going|addressed|already)[ ]{1,}"
-    r"|(better (implementation|solution)|dup(licate(d)?|e)?|obsolete(d|s)?|replace(d|s)?)"
-)
-STRICT_1 = (
-    r"(clos(e|ed|ing)|dup(licate(d)?|e)?|super(c|s)ee?ded?|obsoleted?|replaced?|redundant"
-    r"|better (implementation|solution)|solved|fixed|done|going|addressed|already)[ ]+"
-    r"(by|in|with|as|of|in favor of|at|since|via)?[ ]+" + REF
-)
-STRICT_2 = (
-    REF + r".+(better (implementation|solution)|dup(licate(d)?|e)?"
-    r"|(fixe(d|s)?|obsolete(d|s)?|replace(d|s)?))"
-)
+REF = text.PR_REFERENCE
+
+
+def any_match(column: str, patterns) -> str:
+    """SQL: one of the published patterns is found."""
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
 
 
 @query(
@@ -98,9 +89,8 @@ def f06(t: Tables):
 
 @query(
     "f07_duplicate_pr_text",
-    f"""SELECT project_id, pr_id, comment_pos, body, regexp_matches(body, '{STRICT_1}')
-      OR regexp_matches(body, '{STRICT_2}')
-      OR regexp_matches(body, 'dup(licated?)?:?[ ]+{REF}') AS is_duplicate FROM pr_comment""",
+    f"""SELECT project_id, pr_id, comment_pos, body, 
+      {any_match("body", text.DUPLICATE_PR_STRICT)} AS is_duplicate FROM pr_comment""",
 )
 def f07(t: Tables):
     return t.pr_comment.select(
@@ -111,8 +101,8 @@ def f07(t: Tables):
 
 @query(
     "f08_duplicate_comment",
-    f"""SELECT conv_id, turn, regexp_matches(text, '{LOOSE}') AS is_duplicate FROM conversations
-    UNION ALL SELECT pr_id, comment_pos, regexp_matches(body, '{LOOSE}') FROM pr_comment""",
+    f"""SELECT conv_id, turn, {any_match("text", text.DUPLICATE_COMMENT_LOOSE)} AS is_duplicate FROM conversations
+    UNION ALL SELECT pr_id, comment_pos, {any_match("body", text.DUPLICATE_COMMENT_LOOSE)} FROM pr_comment""",
 )
 def f08(t: Tables):
     talk = t.conversations.select("conv_id", "turn", "text")
@@ -150,8 +140,8 @@ def f10(t: Tables):
 
 @query(
     "f11_commit_sha_mention",
-    r"""SELECT project_id, pr_id, nullif(trim(regexp_extract(body,
-      '\b[0-9a-f]{7} |\b[0-9a-f]{40}\b', 0)), '') AS sha FROM pr_text""",
+    f"""SELECT project_id, pr_id, nullif(trim(regexp_extract(body,
+      '{text.COMMIT_SHA}', 0)), '') AS sha FROM pr_text""",
 )
 def f11(t: Tables):
     return t.pr_text.select(
@@ -166,7 +156,7 @@ def f11(t: Tables):
         ELSE concat(body, ' https://github.com/o/r/issues/', pr_id, '#issuecomment-1') END AS b
       FROM pr_text),
     y AS (SELECT *, regexp_extract(lower(b), '{REF}', 0) AS link,
-      regexp_extract(lower(b), '{REF}#issuecomment-', 0) AS comment FROM x)
+      regexp_extract(lower(b), '{text.ISSUE_COMMENT_REFERENCE}', 0) AS comment FROM x)
     SELECT project_id, pr_id, link<>'' AND (comment='' OR
       NOT contains(comment, replace(link, '#', ''))) AS names_pr FROM y""",
 )
@@ -189,11 +179,9 @@ def f12(t: Tables):
 
 @query(
     "f13_merge_keywords",
-    r"""SELECT thread_id, event_pos,
-      regexp_matches(lower(body),
-        '(merg|apply|appl|pull|push|integrat|land|cherry(-|\s+)pick|squash)(ing|i?ed)') AS type_4,
-      regexp_matches(lower(body),
-        '(merg|apply|appl|pull|push|integrat|land|cherry(-|\s+)pick|squash|fix)(ing|i?ed)|fix(es|ed)|done|clos(e|ed|ing)')
+    f"""SELECT thread_id, event_pos,
+      regexp_matches(lower(body), '{text.MERGE_KEYWORDS_TYPE_4}') AS type_4,
+      {any_match("lower(body)", text.MERGE_KEYWORDS_BROAD)}
         AS broad FROM timeline_full""",
 )
 def f13(t: Tables):

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from forklore.catalog.registry import query
 from forklore.catalog.views import Tables
-from forklore.catalog.functions import CHANGES, FLAGS
+from forklore.catalog.functions import CHANGES, FLAGS, any_match
 from forklore.catalog.graphs import DISTANCE
+from forklore.functions import text
 from forklore.operators.aggregates import external_contribution, status_ratios
 from forklore.operators.groups import grouped_medians
 from forklore.operators.joins import lookup, unmerged_commits
@@ -147,11 +148,10 @@ def m05(t: Tables):
     return _easiness(t)
 
 
-LOOSE = r"(dup(licate(d)?|e)?|super(c|s)(ee)?(ded)?(edes)?|obsoleted?|replaced?|redundant|better (implementation|solution)|solved|going|addressed|already)[ ]{1,}|(better (implementation|solution)|dup(licate(d)?|e)?|obsolete(d|s)?|replace(d|s)?)"
-REF = r"(#|http(s)?://github.com/([\w\.-]+/){2}(pull|issues)(#(\w)+)?/)(\d+)"
+REF = text.PR_REFERENCE
 NOTICE = f"""notice AS (SELECT project_id, pr_id, min(comment_pos) AS comment_pos,
       min_by(commenter_id, comment_pos) AS commenter_id, min_by(body, comment_pos) AS body
-    FROM pr_comment WHERE regexp_matches(lower(body), '{LOOSE}') GROUP BY 1, 2),
+    FROM pr_comment WHERE {any_match("lower(body)", text.DUPLICATE_COMMENT_LOOSE)} GROUP BY 1, 2),
     pair AS (SELECT DISTINCT n.project_id, n.pr_id, n.commenter_id,
       unnest(regexp_extract_all(n.body, '{REF}', 7))::BIGINT AS dup_pr_id
       FROM notice n JOIN pull_request p ON p.project_id=n.project_id AND p.pr_id=n.pr_id
@@ -192,11 +192,11 @@ def m07(t: Tables):
 
 @query(
     "m08_duplicate_by_commit",
-    r"""WITH n AS (SELECT project_id, pr_id, concat(body, ' see 89abcde ', pr_id) AS body
+    f"""WITH n AS (SELECT project_id, pr_id, concat(body, ' see 89abcde ', pr_id) AS body
       FROM pr_text WHERE NOT is_merged)
     SELECT project_id, pr_id,
-      trim(regexp_extract(body, '\b[0-9a-f]{7} |\b[0-9a-f]{40}\b', 0)) AS dup_sha FROM n
-    WHERE regexp_matches(body, '\b[0-9a-f]{7} |\b[0-9a-f]{40}\b')""",
+      trim(regexp_extract(body, '{text.COMMIT_SHA}', 0)) AS dup_sha FROM n
+    WHERE regexp_matches(body, '{text.COMMIT_SHA}')""",
 )
 def m08(t: Tables):
     notices = t.pr_text.withColumn("body", F.concat("body", F.lit(" see 89abcde "), "pr_id"))
@@ -230,19 +230,19 @@ VERDICT = rf"""tl AS (SELECT *, CASE WHEN event='closed' AND thread_id%4<>0 THEN
       ORDER BY t.event_pos DESC) AS r FROM tl t LEFT JOIN fc ON fc.thread_id=t.thread_id
       WHERE t.e='commented' AND (fc.pos IS NULL OR t.event_pos<fc.pos)),
     c AS (SELECT x.*, m.sha IS NOT NULL AS merged FROM (SELECT *, nullif(trim(regexp_extract(body,
-        '\b[0-9a-f]{{7}} |\b[0-9a-f]{{40}}\b', 0)), '') AS mention FROM c3 WHERE r<=3) x
+        '{text.COMMIT_SHA}', 0)), '') AS mention FROM c3 WHERE r<=3) x
       LEFT JOIN known m ON m.sha=x.mention AND m.project_id=x.project_id),
     f AS (SELECT *, regexp_matches(lower(body), '{REF}') AS names,
-      regexp_matches(body, '{LOOSE}') AS dup FROM c),
+      {any_match("body", text.DUPLICATE_COMMENT_LOOSE)} AS dup FROM c),
     lastc AS (SELECT thread_id, 2 AS rank, CASE
       WHEN mention IS NOT NULL AND NOT dup AND merged THEN 'merged-5'
       WHEN mention IS NOT NULL AND dup AND (names OR merged) THEN 'duplicate'
       WHEN names THEN 'rejected'
       WHEN regexp_matches(lower(body),
-        '(merg|apply|appl|pull|push|integrat|land|cherry(-|\s+)pick|squash)(ing|i?ed)')
+        '{text.MERGE_KEYWORDS_TYPE_4}')
         THEN 'merged-4' END AS v FROM f WHERE r=1),
-    three AS (SELECT thread_id, 3 AS rank, 'merged-3' AS v FROM f WHERE merged AND regexp_matches(
-      lower(body), '(merg|apply|appl|pull|push|integrat|land|cherry(-|\s+)pick|squash|fix)(ing|i?ed)|fix(es|ed)|done|clos(e|ed|ing)')),
+    three AS (SELECT thread_id, 3 AS rank, 'merged-3' AS v FROM f WHERE merged
+      AND {any_match("lower(body)", text.MERGE_KEYWORDS_BROAD)}),
     ref AS (SELECT t.thread_id, 4 AS rank, 'merged-2ref' AS v FROM tl t
       JOIN known k ON k.sha=CAST(t.s AS STRING) AND k.project_id=t.project_id WHERE t.e='referenced'),
     allc AS (SELECT * FROM ev UNION ALL SELECT * FROM lastc WHERE v IS NOT NULL
@@ -412,11 +412,12 @@ def m17b(t: Tables):
     return timeline.participants(t.timeline_full)
 
 
-LINKS = """texts AS (SELECT project_id, pr_id, body FROM pr_comment
-      UNION ALL SELECT project_id, pr_id, concat(labels, ' #', pr_id+7) FROM pull_request),
+LINKS = f"""texts AS (SELECT project_id, pr_id, body FROM pr_comment
+      UNION ALL SELECT project_id, pr_id, concat(labels, ' #', pr_id+7) FROM pull_request
+      UNION ALL SELECT project_id, pr_id, concat('fix #', sha%1000, ', see #', pr_id+3) FROM pr_commit),
     link AS (SELECT x.project_id, x.pr_id, x.issue_id, i.created_on AS issue_created_on FROM (
         SELECT DISTINCT project_id, pr_id,
-          unnest(regexp_extract_all(body, '#([1-9][0-9]*)([^0-9]|$)', 1))::BIGINT AS issue_id
+          unnest(regexp_extract_all(body, '{text.ISSUE_LINK}', 1))::BIGINT AS issue_id
         FROM texts) x
       JOIN issue i ON i.project_id=x.project_id AND i.issue_id=x.issue_id
       WHERE x.issue_id<>x.pr_id)"""
@@ -426,7 +427,9 @@ def _links(t: Tables):
     titles = t.pull_request.select(
         "project_id", "pr_id", F.concat("labels", F.lit(" #"), F.col("pr_id") + 7).alias("body")
     )
-    return links.pr_issue_links(t.issue, t.pr_comment, titles)
+    message = F.concat(F.lit("fix #"), F.col("sha") % 1000, F.lit(", see #"), F.col("pr_id") + 3)
+    messages = t.pr_commit.select("project_id", "pr_id", message.alias("body"))
+    return links.pr_issue_links(t.issue, t.pr_comment, titles, messages)
 
 
 @query("m18_pr_issue_links", f"WITH {LINKS} SELECT * FROM link")
