@@ -374,13 +374,12 @@ def f25(t: Tables):
 
 @query(
     "f26_sha_cells",
-    """SELECT pair_id, sha, unnest([parent1, parent2]) AS parent FROM dag
-    WHERE parent2 IS NOT NULL""",
+    """SELECT pair_id, sha, parent1 AS parent FROM dag
+    UNION ALL SELECT pair_id, sha, parent2 FROM dag WHERE parent2 IS NOT NULL""",
 )
 def f26(t: Tables):
     cell = F.concat(F.lit("["), F.concat_ws("/ ", "parent1", "parent2"), F.lit("]"))
     return (
-        t.dag.filter("parent2 IS NOT NULL")
-        .select("pair_id", "sha", F.explode(text.parse_sha_cell(cell)).alias("parent"))
+        t.dag.select("pair_id", "sha", F.explode_outer(text.parse_sha_cell(cell)).alias("parent"))
         .withColumn("parent", F.col("parent").cast("bigint"))
     )

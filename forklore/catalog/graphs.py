@@ -188,7 +188,7 @@ def g08(t: Tables):
     "g08_shortest_paths",
     """WITH RECURSIVE request AS (
       SELECT h.pair_id, h.sha AS descendant, min_by(d.sha, row(d.commit_at, d.sha)) AS ancestor
-      FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id WHERE h.side='upstream' GROUP BY 1, 2),
+      FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id GROUP BY 1, 2),
     walk AS (
       SELECT *, descendant AS sha, 0 AS step FROM request
       UNION
@@ -210,7 +210,7 @@ def g08b(t: Tables):
     requests = t.sql(
         """SELECT h.pair_id, h.sha AS descendant,
         min_by(d.sha, struct(d.commit_at, d.sha)) AS ancestor
-        FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id WHERE h.side='upstream' GROUP BY 1, 2"""
+        FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id GROUP BY 1, 2"""
     )
     return dag.shortest_paths(t.stored("dag_edge"), requests)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forklore import schemas
 from forklore.catalog.registry import query
 from forklore.catalog.views import Tables
-from forklore.session import new_path
+from forklore.session import materialize, new_path
 from forklore.sources import documents, exports, logs, sinks
 
 
@@ -80,8 +80,8 @@ def s02(t: Tables):
 
 @query(
     "s03_list_lines",
-    """SELECT sha::STRING AS key, unnest([parent1, parent2])::STRING AS item FROM dag
-    WHERE parent2 IS NOT NULL""",
+    """SELECT sha::STRING AS key, parent1::STRING AS item FROM dag
+    UNION ALL SELECT sha::STRING, parent2::STRING FROM dag WHERE parent2 IS NOT NULL""",
 )
 def s03(t: Tables):
     text = t.dag.select(
@@ -91,7 +91,7 @@ def s03(t: Tables):
         ).alias("value")
     )
     scanned = logs.list_lines(logs.lines(t.spark, _write_lines(text)))
-    return scanned.filter(F.size("items") == 2).select("key", F.explode("items").alias("item"))
+    return scanned.select("key", F.explode_outer("items").alias("item"))
 
 
 @query(
@@ -236,17 +236,17 @@ def s09(t: Tables):
 
 @query(
     "s10_file_changes_from_logs",
-    """SELECT DISTINCT l_orderkey AS sha, l_partkey*1000+l_suppkey AS pos,
+    """SELECT l_orderkey AS sha, row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)::INT AS pos,
       l_linenumber AS added, l_quantity::INT AS deleted, concat('src/f', l_partkey) AS filename,
-      CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'R' ELSE 'M' END AS status FROM lineitem
-    QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey)=1""",
+      CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'R' ELSE 'M' END AS status FROM lineitem""",
 )
 def s10(t: Tables):
-    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
-    rows = t.lineitem.join(
-        t.lineitem.groupBy(*keys).count().filter("count = 1").select(*keys), keys, "left_semi"
+    within = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
     )
-    pos = (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos")
+    rows = materialize(t.lineitem.withColumn("pos", F.row_number().over(within)), "log_lines")
+    pos = "pos"
     file = F.concat(F.lit("src/f"), "l_partkey")
     numstat = rows.select(
         F.col("l_orderkey").alias("sha"),
