@@ -334,3 +334,20 @@ def g12b(t: Tables):
 )
 def g13(t: Tables):
     return dag.decompose_branches(t.stored("side_edge"), t.stored("dag_head")).drop("depth")
+
+
+@query(
+    "g04_printed_results",
+    f"""WITH RECURSIVE {DISTANCE}, counts AS (
+      SELECT pair_id, count(*) FILTER (category='only_F') AS f, count(*) FILTER (category='only_U') AS u,
+        count(*) FILTER (category='F2U') AS fu, count(*) FILTER (category='U2F') AS uf FROM class GROUP BY 1)
+    SELECT concat('f', pair_id, ',u', pair_id, ',', f, ',', u, ',', fu, ',', uf, ',') AS line FROM counts""",
+)
+def g04_lines(t: Tables):
+    counts = classify.fork_commit_counts(t.stored("dag_edge"), t.stored("dag_head"))
+    named = counts.select(
+        "*",
+        F.concat(F.lit("f"), "pair_id").alias("fork_url"),
+        F.concat(F.lit("u"), "pair_id").alias("upstream_url"),
+    )
+    return classify.graph_result_lines(named)

@@ -9,6 +9,7 @@ from forklore.catalog.views import Tables
 from forklore.catalog.functions import CHANGES, FLAGS, any_match
 from forklore.catalog.graphs import DISTANCE
 from forklore.functions import text
+from forklore.functions.text import unordered_pair_key
 from forklore.operators.aggregates import external_contribution, status_ratios
 from forklore.operators.groups import grouped_medians
 from forklore.operators.joins import lookup, unmerged_commits
@@ -513,6 +514,23 @@ def m20b(t: Tables):
     )
 
 
+GRID = " UNION ALL ".join(
+    f"""SELECT {limit} AS max_files, '{scope}' AS scope, g{limit}{i}.* FROM (
+      {_modularity_sql(limit, where)}) g{limit}{i}"""
+    for limit in (10, 30)
+    for i, (scope, where) in enumerate(
+        [("all_files", ""), ("source_only", "AND (filename LIKE '%.java' OR filename LIKE '%.py')")]
+    )
+)
+
+
+@query("m20_modularity_grid", GRID)
+def m20c(t: Tables):
+    return modularity.modularity_grid(
+        t.commit_login, t.commit_file, SOURCE_SUFFIXES, members=t.member_login, n_commits=50
+    )
+
+
 @query(
     "m21_commit_change_profile",
     f"""WITH change AS ({CHANGES}), flag AS ({FLAGS})
@@ -627,6 +645,56 @@ def m25(t: Tables):
     )
 
 
+@query(
+    "m24_commits_to_ingest",
+    """SELECT f.repo_id, f.sha, s.n AS n_files FROM (
+      SELECT DISTINCT repo_id, sha FROM fork_commit WHERE category IN ('only_F', 'F2U')) f
+    JOIN (SELECT sha, count(*) AS n FROM commit_file GROUP BY 1 HAVING count(*)<100) s ON s.sha=f.sha""",
+)
+def m24c(t: Tables):
+    own = t.fork_commit.filter(F.col("category").isin("only_F", "F2U")).select("repo_id", "sha").distinct()
+    return contribution.commits_to_ingest(own, t.commit_file, below=100)
+
+
+@query(
+    "m25_renamed_forks",
+    """SELECT repo_id, fork_url, upstream_url FROM fork_pair
+    WHERE levenshtein(split_part(fork_url, '/', 2), split_part(upstream_url, '/', 2))>0""",
+)
+def m25b(t: Tables):
+    return hardforks.renamed_forks(t.fork_pair, 0).select("repo_id", "fork_url", "upstream_url")
+
+
+UNCHECKED = """checked AS (SELECT fork_url, upstream_url FROM fork_pair WHERE repo_id%3=0),
+    seen AS (SELECT least(fork_url, upstream_url) || ',' || greatest(fork_url, upstream_url) AS pair_key FROM checked),
+    turned AS (SELECT fork_url AS a, upstream_url AS b FROM fork_pair
+      UNION ALL SELECT upstream_url, fork_url FROM fork_pair WHERE repo_id%2=0)"""
+
+
+@query(
+    "m25_unchecked_pairs",
+    f"""WITH {UNCHECKED} SELECT DISTINCT least(a, b) || ',' || greatest(a, b) AS pair_key FROM turned
+    WHERE least(a, b) || ',' || greatest(a, b) NOT IN (SELECT pair_key FROM seen)""",
+)
+def m25c(t: Tables):
+    pair = [F.col("fork_url").alias("a"), F.col("upstream_url").alias("b")]
+    pairs = t.fork_pair.select(*pair)
+    pairs = pairs.unionByName(t.fork_pair.filter("repo_id % 2 = 0").select(pair[1].alias("a"), pair[0].alias("b")))
+    checked = t.fork_pair.filter("repo_id % 3 = 0").select(
+        unordered_pair_key(F.col("fork_url"), F.col("upstream_url")).alias("pair_key")
+    )
+    return hardforks.unchecked_pairs(pairs, checked, "a", "b").select("pair_key")
+
+
+@query(
+    "m25_upstreams_with_hard_forks",
+    """SELECT upstream_id, count(DISTINCT repo_id) AS n_hard_forks, count(DISTINCT repo_id)>1 AS has_many
+    FROM fork_pair WHERE repo_id%3<>0 GROUP BY 1""",
+)
+def m25d(t: Tables):
+    return hardforks.hard_forks_per_upstream(t.fork_pair.filter("repo_id % 3 <> 0"))
+
+
 @query(
     "m26_project_summary",
     f"""WITH {EASINESS}, {TOUCHES}, {SOCIAL},

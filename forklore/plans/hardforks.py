@@ -27,6 +27,12 @@ def unchecked_pairs(pairs: DataFrame, checked: DataFrame, a: str, b: str) -> Dat
     return absent(least_per_key(keyed, ["pair_key"]), checked, ["pair_key"])
 
 
+def hard_forks_per_upstream(hard_forks: DataFrame) -> DataFrame:
+    """Hard forks of each upstream, of ``hard_forks(repo_id, upstream_id)``, and whether there are several."""
+    counts = hard_forks.groupBy("upstream_id").agg(F.count_distinct("repo_id").alias("n_hard_forks"))
+    return counts.withColumn("has_many", F.col("n_hard_forks") > 1)
+
+
 def hard_fork_signs(
     repositories: DataFrame, unmerged: DataFrame, contribution: DataFrame
 ) -> DataFrame:
