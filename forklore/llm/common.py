@@ -100,12 +100,10 @@ def in_blocks(dealt: DataFrame, shard: str, own: Column, crowd: int) -> DataFram
     Block i holds its own rows as homes; the visitors and the homes of earlier blocks visit it.
     So each pair still meets once, and no block grows with the shard's own pairs.
     """
-    sizes = dealt.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-    blocks = {r[shard]: -(-r["n"] // crowd) for r in sizes.collect()}
-    if not blocks:
-        return dealt.withColumn("block", F.lit(0))
-    cut = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
-    spread = dealt.withColumn("_n", F.coalesce(F.try_element_at(cut, F.col(shard)), F.lit(1)))
+    sizes = dealt.groupBy(shard).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > crowd)
+    sizes = sizes.select(shard, F.ceil(F.col("_rows") / crowd).cast("int").alias("_n"))
+    # a row of two numbers for each crowded shard; how many shards there are is fixed when the index is fitted
+    spread = dealt.join(F.broadcast(sizes), shard, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     spread = spread.withColumn("_own", F.pmod(own, F.col("_n")).cast("int"))
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     spread = spread.where(~F.col("home") | (F.col("block") >= F.col("_own")))

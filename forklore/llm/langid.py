@@ -84,14 +84,17 @@ def learn(
     """
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.char_length("text").between(1, max_chars)
-    )
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    picked = usable.select("lang", "text").withColumn("nth", F.row_number().over(first))
+    ).select("lang", "text", F.xxhash64("text").alias("h"))
+    # picked by hash alone, each text once however often it is there; then the few texts are fetched
+    first = Window.partitionBy("lang").orderBy("h")
+    picked = usable.select("lang", "h").distinct().withColumn("nth", F.row_number().over(first))
+    picked = picked.where(F.col("nth") <= per_language)
+    rows = usable.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for row in sorted(picked.where(F.col("nth") <= per_language).collect(), key=lambda r: r["nth"]):
+    for row in sorted(rows.collect(), key=lambda r: r["nth"]):
         texts.setdefault(row["lang"], []).append(row["text"])
     # the most telling place is a dictionary's end, so all are cut to one length from there
-    joined = {lang: "\n".join(dict.fromkeys(found)).lower().encode("utf-8", "replace") for lang, found in texts.items()}
+    joined = {lang: "\n".join(found).lower().encode("utf-8", "replace") for lang, found in texts.items()}
     least = min([size, *map(len, joined.values())])
     return Languages({lang: raw[-max(least, 2048) :] for lang, raw in joined.items()}, **options)
 
