@@ -56,6 +56,23 @@ def a03(t: Tables):
     )
 
 
+@query(
+    "a03_upstream_totals",
+    """WITH pair AS (SELECT repo_id, upstream_id, repo_id%50 AS owner_id FROM fork_pair),
+    p AS (SELECT project_id*5 AS upstream_id, count(*) AS n FROM pull_request GROUP BY 1),
+    c AS (SELECT pair.upstream_id, count(*) AS n, count(*) FILTER (login_id%50=owner_id) AS o
+      FROM commit x JOIN pair ON pair.repo_id=x.repo_id GROUP BY 1)
+    SELECT u.upstream_id, coalesce(p.n, 0) AS n_prs, coalesce(c.n, 0) AS n_commits,
+      coalesce(c.o, 0) AS n_by_owner FROM (SELECT DISTINCT upstream_id FROM pair) u
+    LEFT JOIN p ON p.upstream_id=u.upstream_id LEFT JOIN c ON c.upstream_id=u.upstream_id""",
+)
+def a03b(t: Tables):
+    pairs = t.fork_pair.select("repo_id", "upstream_id", (F.col("repo_id") % 50).alias("owner_id"))
+    prs = t.pull_request.select((F.col("project_id") * 5).alias("upstream_id"), "pr_id")
+    commits = t.commit.select("repo_id", "sha", (F.col("login_id") % 50).alias("author_id"))
+    return agg.upstream_totals(pairs, prs, commits)
+
+
 @query(
     "a04_pr_states_per_fork",
     """WITH s AS (SELECT repo_id, pr_id, bool_or(action='merged') AS m, bool_or(action='closed') AS c

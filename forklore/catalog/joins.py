@@ -153,6 +153,28 @@ def j12(t: Tables):
     )
 
 
+@query(
+    "j12_fork_pr_history_by_base",
+    """WITH pr AS (SELECT DISTINCT repo_id AS head, pr_id,
+      CASE WHEN pr_id%3=0 THEN repo_id-1 ELSE repo_id-repo_id%5 END AS base FROM pr_history)
+    SELECT f.fork_url, f.upstream_url, pr.pr_id, h.action FROM fork_pair f
+    JOIN pr ON pr.head=f.repo_id AND pr.base=f.upstream_id
+    LEFT JOIN (SELECT repo_id, pr_id, action FROM pr_history WHERE action<>'opened') h
+      ON h.pr_id=pr.pr_id AND h.repo_id=pr.head""",
+)
+def j12b(t: Tables):
+    head = F.concat_ws("-", "repo_id", "pr_id").alias("pr_id")  # numbers are those of a fork here
+    base = F.when(F.col("pr_id") % 3 == 0, F.col("repo_id") - 1).otherwise(F.col("repo_id") - F.col("repo_id") % 5)
+    prs = t.pr_history.select(
+        head, F.col("repo_id").alias("head_repo_id"), base.alias("base_repo_id"), F.col("pr_id").alias("number")
+    ).distinct()
+    history = t.pr_history.filter("action <> 'opened'").select(head, "action")
+    found = joins.fork_pull_requests(joins.forks_with_upstream(t.repository), prs, history)
+    return found.join(prs.select("pr_id", "number"), "pr_id").select(
+        "fork_url", "upstream_url", F.col("number").alias("pr_id"), "action"
+    )
+
+
 COPIES = """copy AS (SELECT DISTINCT l_suppkey AS repo_id, l_partkey AS sha FROM lineitem),
     mine AS (SELECT repo_id, repo_id - repo_id%5 AS parent_id, sha FROM copy)"""
 
@@ -203,6 +225,19 @@ def j14(t: Tables):
     ).withColumn("stars", F.coalesce("stars", F.lit(-1)))
 
 
+@query(
+    "j14_stars_or_default",
+    """SELECT f.fork_url, CASE WHEN r.url IS NULL THEN -1 ELSE coalesce(r.stars, 0) END AS stars
+    FROM fork_pair f LEFT JOIN (SELECT url, CASE WHEN repo_id%4<>0 THEN stars END AS stars
+      FROM repository WHERE repo_id%6<>0) r ON r.url=f.fork_url""",
+)
+def j14b(t: Tables):
+    known = t.repository.filter(F.col("repo_id") % 6 != 0).withColumn(
+        "stars", F.when(F.col("repo_id") % 4 != 0, F.col("stars"))
+    )
+    return joins.stars_or_default(t.fork_pair.select("fork_url"), known, "fork_url")
+
+
 @query(
     "j15_keyed_result_join",
     """SELECT r.repo_id, r.stars, c.n_commits, h.n_prs FROM repository r

@@ -94,6 +94,22 @@ def co_change_support(files: DataFrame, commit: str = "sha") -> DataFrame:
     )
 
 
+def upstream_totals(pairs: DataFrame, prs: DataFrame, commits: DataFrame) -> DataFrame:
+    """Per upstream: pull requests, commits of its forks, and those by the owner of the fork.
+
+    ``pairs(repo_id, upstream_id, owner_id)``, ``prs(upstream_id, pr_id)``, ``commits(repo_id, sha, author_id)``.
+    Each total is its own aggregate, joined on the upstream; none is formed over a joined table.
+    """
+    n_prs = prs.groupBy("upstream_id").agg(F.count(F.lit(1)).alias("n_prs"))
+    made = commits.join(pairs.select("repo_id", "upstream_id", "owner_id"), "repo_id").groupBy("upstream_id").agg(
+        F.count(F.lit(1)).alias("n_commits"),
+        F.count_if(F.col("author_id") == F.col("owner_id")).alias("n_by_owner"),
+    )
+    counts = ["n_prs", "n_commits", "n_by_owner"]
+    every = pairs.select("upstream_id").distinct().join(n_prs, "upstream_id", "left").join(made, "upstream_id", "left")
+    return every.fillna(0, counts)
+
+
 # The five categories of a classified commit.
 CATEGORIES = ["only_F", "only_U", "F2U", "U2F", "before"]
 

@@ -66,6 +66,28 @@ def forks_with_upstream(repositories: DataFrame) -> DataFrame:
     )
 
 
+def fork_pull_requests(
+    pairs: DataFrame, prs: DataFrame, history: DataFrame
+) -> DataFrame:
+    """History of the pull requests from each fork to its own upstream, one left row per request without history.
+
+    ``pairs(repo_id, upstream_id, ...)``, ``prs(pr_id, head_repo_id, base_repo_id)``, ``history(pr_id, ...)``. A
+    request of the fork to any other repository is none of the pair's.
+    """
+    named = prs.select(
+        "pr_id", F.col("head_repo_id").alias("repo_id"), F.col("base_repo_id").alias("upstream_id")
+    )
+    return pairs.join(named, ["repo_id", "upstream_id"]).join(history, "pr_id", "left")
+
+
+def stars_or_default(rows: DataFrame, repositories: DataFrame, url: str) -> DataFrame:
+    """Add ``stars``: 0 for a known repository without any, -1 for an unknown one."""
+    known = repositories.select(
+        F.col("url").alias(url), F.coalesce("stars", F.lit(0)).alias("stars")
+    )
+    return rows.join(known, url, "left").withColumn("stars", F.coalesce("stars", F.lit(-1)))
+
+
 def follower_names(followers: DataFrame, users: DataFrame) -> DataFrame:
     """Follow edges with both logins."""
     followee = users.select("user_id", F.col("login").alias("user_login"))
