@@ -68,6 +68,19 @@ def t03(t: Tables):
     return t.spark.read.parquet(out)
 
 
+@query(
+    "t03_deduplicated_within_watermark",
+    "SELECT event_id, user_id FROM events",
+)
+def t03b(t: Tables):
+    out, marks, source = [new_path(t.spark, n) for n in ("unique", "marks", "feed")]
+    events = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.unionByName(events).write.parquet(source)  # every event is delivered twice
+    stream = t.spark.readStream.schema(events.schema).parquet(source)
+    ingest.append_new(ingest.first_within(stream, ["event_id"], "ts", "1 hour"), out, marks)
+    return t.spark.read.parquet(out).select("event_id", "user_id")
+
+
 @query(
     "t04_known_users_stream",
     """SELECT t.thread_id, t.actor_id, t.event_pos FROM timeline t

@@ -36,6 +36,15 @@ def csv_stream(
     return reader.csv(path).withColumn("path", F.url_decode(F.col("_metadata.file_path")))
 
 
+def first_within(stream: DataFrame, keys: Sequence[str], moment: str, delay: str) -> DataFrame:
+    """One row per key, of copies that arrive within ``delay`` of each other.
+
+    The state holds the keys of the last ``delay`` only. Use it for feeds that deliver a row again soon; a key that may come back at
+    any time needs :func:`insert_new`.
+    """
+    return stream.withWatermark(moment, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def append_new(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Append the rows of new files to parquet; the file sink's log makes it exactly once."""
     run(
