@@ -180,7 +180,7 @@ def _fold(us: list[np.ndarray], vs: list[np.ndarray], n: int) -> tuple[list[np.n
 
 
 def fingerprint_links(
-    distinct: DataFrame, total: int, reach: int = 3, leaf: int = 4096, sample: int = 1 << 17, crowd: int = 50_000
+    distinct: DataFrame, total: int, reach: int = 3, leaf: int = 16_384, sample: int = 1 << 17, crowd: int = 100_000
 ) -> DataFrame:
     """(u, v): links that connect all distinct fingerprints (``fp``) within ``reach`` bits of another.
 
