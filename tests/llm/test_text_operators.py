@@ -337,5 +337,27 @@ def test_repeated_passages(spark, odd, none):
     assert substring.repeated_passages(none).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_short_passages_with_a_word_more_or_less(spark):
+    rng = random.Random(11)
+    rows, alike = [], set()
+    for i in range(200):
+        passage = words(rng, 52)
+        # an edit a third of the way from either end lies between most centres and the token half a passage away
+        near, far = (17, 35) if i % 2 else (rng.randrange(8, 26), rng.randrange(26, 44))
+        edited = [*passage[:near], "more", *passage[near:]] if i % 4 < 2 else [*passage[:far], *passage[far + 1 :]]
+        rows.append((2 * i, " ".join(words(rng, 20) + passage + words(rng, 20))))
+        rows.append((2 * i + 1, " ".join(words(rng, 20) + edited + words(rng, 20))))
+        if jaccard(passage, edited) >= 0.8:
+            alike.add(2 * i + 1)
+    got = {r["doc_id"] for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alike) > 100
+    assert len(got & alike) >= 0.95 * len(alike)
+
+
 def test_hash_of_kept_text_is_of_the_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
