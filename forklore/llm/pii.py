@@ -109,20 +109,29 @@ def _like(value: Column, hexes: Column, lower: str = "abcdefghijklmnopqrstuvwxyz
     return F.array_join(F.transform(F.split(value, ""), drawn), "")
 
 
-def _name(hexes: Column, kind: Column, value: Column) -> Column:
-    """Syllables in the script of the value; a given name ends as its gender does."""
+def _name(hexes: Column, kind: Column, value: Column, attempt: int) -> Column:
+    """Syllables in the script of the value, one more with each attempt; a given name ends as its gender does."""
 
     def spelled(syllables: str, male: str, female: str) -> Column:
         all_ = F.array(*[F.lit(s) for s in syllables.split()])
-        parts = [F.get(all_, F.pmod(_number(hexes, i, 4), F.lit(len(syllables.split())))) for i in range(3)]
+        parts = [F.get(all_, F.pmod(_number(hexes, i, 4), F.lit(len(syllables.split())))) for i in range(3 + attempt)]
         end = F.when(kind == "given_m", male).when(kind == "given_f", female).otherwise("")
         return F.initcap(F.concat(*parts, end))
 
     return F.when(value.rlike(r"^\p{IsCyrillic}"), spelled(_CYRILLIC, "н", "я")).otherwise(spelled(_LATIN, "n", "a"))
 
 
-def surrogate(kind: Column, value: Column, hexes: Column) -> Column:
-    """The value that stands for an entity, made from what :func:`_draw` drew for it."""
+def _secret(hexes: Column, value: Column, attempt: int) -> Column:
+    """A secret of the same length and classes; from the eighth attempt on longer, for those of few or no letters and digits."""
+    more = [_pick("abcdefghijklmnopqrstuvwxyz", _number(hexes, 64 + i)) for i in range(attempt // 8)]
+    return F.concat(_like(value, hexes), *more)
+
+
+def surrogate(kind: Column, value: Column, hexes: Column, attempt: int = 0) -> Column:
+    """The value that stands for an entity, made from what :func:`_draw` drew for it in this attempt.
+
+    Names and secrets grow with the attempts, so that their number is not bounded by three syllables or a short format.
+    """
     # a country code and an issuer's leading digit are kept, and a card's check digit is right again
     phone = _like(value, hexes, keep=1)
     card = F.substr(_like(value, hexes, keep=1), F.lit(1), F.char_length(value) - 1)
@@ -138,7 +147,8 @@ def surrogate(kind: Column, value: Column, hexes: Column) -> Column:
         .when(kind == "iban", _like(value, hexes, keep=2))
         .when(kind == "email", F.concat(_like(F.substring_index(value, "@", 1), hexes), F.lit("@"), _host(value, hexes)))
         .when(kind.isin("ssn"), _like(value, hexes))
-        .otherwise(_name(hexes, kind, value))
+        .when(kind == "secret", _secret(hexes, value, attempt))
+        .otherwise(_name(hexes, kind, value, attempt))
     )
 
 
@@ -163,7 +173,7 @@ def assign(entities: DataFrame, secret: str, rounds: int = 40) -> DataFrame:
     for attempt in range(rounds):
         kind, value = F.col("kind"), F.col("value")
         drawn = todo.withColumn("drawn", _draw(secret, kind, value, attempt))
-        drawn = drawn.withColumn("surrogate", surrogate(kind, value, F.col("drawn")))
+        drawn = drawn.withColumn("surrogate", surrogate(kind, value, F.col("drawn"), attempt))
         turn = Window.partitionBy("kind", "surrogate").orderBy(F.xxhash64("value"), "value")
         taken = known.select("kind", "surrogate", F.lit(True).alias("taken")).distinct()
         judged = drawn.withColumn("turn", F.row_number().over(turn)).join(taken, ["kind", "surrogate"], "left")

@@ -309,6 +309,22 @@ def test_surrogates_stay_distinct(spark):
         pii.assign(crowded, "k", rounds=3).collect()
 
 
+def test_more_names_than_three_syllables_spell(spark):
+    n = 39**3 + 1000
+    named = spark.range(n).select(F.lit("family").alias("kind"), F.concat(F.lit("Q"), F.col("id").cast("string")).alias("value"))
+    got = pii.assign(named, "key", rounds=8)
+    assert got.count() == got.select("surrogate").distinct().count() == n
+
+
+def test_secrets_keep_their_format(spark):
+    secrets = ["aB3_x9", "hunter2", "A-0000-zz", "______"]
+    df = spark.createDataFrame([("secret", s) for s in secrets], "kind string, value string")
+    got = {r["value"]: r["surrogate"] for r in pii.assign(df, "key").collect()}
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+    assert len(set(got.values()) - set(secrets)) == 4
+    assert all(shape(got[s]) == shape(s) for s in secrets[:3])
+
+
 def test_compact_windows_hold_every_stretch():
     rng = np.random.default_rng(3)
     for values in (rng.integers(0, 1 << 60, 60), rng.integers(0, 4, 60), np.zeros(60, np.int64)):
