@@ -375,5 +375,19 @@ def test_short_passages_with_a_word_more_or_less(spark):
     assert len(got & alike) >= 0.95 * len(alike)
 
 
+def test_near_copies_behind_unlike_documents(spark):
+    rng = random.Random(13)
+    passage, rows = words(rng, 60), []
+    for i in range(0, 120, 2):
+        # each pair has words of its own in a passage that all share in part, so that most min-hashes lead to unlike documents
+        own = list(passage)
+        for at in (rng.randrange(8, 20), rng.randrange(22, 38), rng.randrange(40, 52)):
+            own[at] = words(rng, 1)[0]
+        rows += [(j, " ".join(words(rng, 30) + own + words(rng, 30))) for j in (i, i + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.repeated_passages(df, first_partners=2).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+
+
 def test_hash_of_kept_text_is_of_the_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
