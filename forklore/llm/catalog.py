@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forklore.llm import ann, langid, linededup, mixing, multiindex, packing, pii, quality, simhash, substring
+from forklore.llm import ann, langid, linededup, merkle, mixing, multiindex, packing, pii, quality, simhash, substring
 from forklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,62 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of the text ``{0}`` of plain ASCII, byte by byte and bit by bit; no engine function gives it.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(ch)::BIGINT FOR ch IN string_split({0}, '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE part AS (
+  SELECT doc_id, source, text, concat(strlen(doc_id::VARCHAR), ':', doc_id) AS a,
+    coalesce(concat(strlen(source), ':') || source, '-') || coalesce(concat(strlen(lang), ':') || lang, '-')
+      || coalesce(concat(strlen(n_chars::VARCHAR), ':') || n_chars::VARCHAR, '-') AS b,
+    CASE WHEN {CRC_SQL.format("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut
+  FROM documents),
+leaf AS (
+  SELECT doc_id, source, sha256(a || b || coalesce(concat(strlen(text), ':') || text, '-')) AS leaf,
+    sha256(a || b || coalesce(concat(strlen(cut), ':') || cut, '-')) AS seen,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM part),
+node AS (
+  SELECT source, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaf
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM node WHERE n > 1 GROUP BY source, lvl + 1, pos // 3),
+sub AS (SELECT source, h AS subroot, lvl AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+  FROM node WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, place AS pos, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM top WHERE n > 1 GROUP BY lvl + 1, pos // 3),
+near AS (
+  SELECT l.doc_id, m.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < m.pos), '') AS before,
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > m.pos), '') AS after
+  FROM leaf l JOIN node m ON m.source IS NOT DISTINCT FROM l.source AND m.n > 1 AND m.pos = l.pos // (3 ** m.lvl)::BIGINT
+  JOIN node s ON s.source IS NOT DISTINCT FROM l.source AND s.lvl = m.lvl AND s.pos // 3 = m.pos // 3
+  GROUP BY l.doc_id, m.lvl
+  UNION ALL
+  SELECT l.doc_id, b.height + m.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < m.pos), ''),
+    coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > m.pos), '')
+  FROM leaf l JOIN sub b ON b.source IS NOT DISTINCT FROM l.source
+  JOIN top m ON m.n > 1 AND m.pos = b.place // (3 ** m.lvl)::BIGINT
+  JOIN top s ON s.lvl = m.lvl AND s.pos // 3 = m.pos // 3
+  GROUP BY l.doc_id, b.height, m.lvl),
+proof AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY lvl)) AS proof_sha256, count(*) AS levels
+  FROM near GROUP BY doc_id),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS lvl, seen AS h FROM leaf
+  UNION ALL
+  SELECT f.doc_id, f.lvl + 1, sha256(s.before || f.h || s.after) FROM fold f JOIN near s ON s.doc_id = f.doc_id AND s.lvl = f.lvl),
+folded AS (SELECT doc_id, max_by(h, lvl) AS folded_root FROM fold GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, b.subroot, r.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root,
+  f.folded_root = r.h AS verified
+FROM leaf l JOIN sub b ON b.source IS NOT DISTINCT FROM l.source JOIN top r ON r.n = 1
+JOIN folded f ON f.doc_id = l.doc_id LEFT JOIN proof p ON p.doc_id = l.doc_id"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
