@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forklore.llm import ann, langid, linededup, merkle, mixing, multiindex, packing, pii, quality, simhash, substring
+from forklore.llm import ann, langid, linededup, merkle, mixing, multiindex, packing, pii, quality, simhash, substring, winnow
 from forklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,34 @@ JOIN folded f ON f.doc_id = l.doc_id LEFT JOIN proof p ON p.doc_id = l.doc_id"""
 @query("op12_merkle_manifest", MERKLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+WORDS_SQL = r"""coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"""
+
+WINNOW_SQL = f"""
+WITH doc AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+item AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, n, array_to_string(w[i + 1:i + n], ' ') AS span
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(len(w) - least(len(w), 10) + 1)) AS i
+    FROM item WHERE len(w) > 0)),
+run AS (
+  SELECT doc_id, i, n, array_to_string(w[i + 1:i + n], ' ') AS span
+  FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i
+    FROM doc CROSS JOIN (SELECT DISTINCT n FROM win))),
+hit AS (SELECT r.doc_id, r.i, r.n, w.item FROM run r JOIN win w ON w.n = r.n AND w.span = r.span),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id"""
+
+
+@query("op13_benchmark_decontamination", WINNOW_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
