@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forklore.llm import ann, langid, linededup, merkle, mixing, multiindex, packing, pii, quality, simhash, substring, winnow
+from forklore.llm import ann, langid, linededup, merkle, mixing, multiindex, packing, pii, quality, repair, simhash, substring, winnow
 from forklore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,59 @@ FROM doc d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc
 @query("op13_benchmark_decontamination", WINNOW_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC_SQL.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS nth
+  FROM src WHERE k <> 0),
+counted AS (
+  SELECT *, left(role, 1) AS initial, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i FROM counted),
+row AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS near FROM placed),
+stats AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (near NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM row GROUP BY conv_id),
+ins(state, way, cost, letters, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 5, 'I', ['user:']),
+  (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+  (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:'])),
+step(way, letter, initial, cost, role, goal) AS (VALUES (0, 'D', '', 2, '', 0), (1, 'D', '', 2, '', 1), (2, 'D', '', 2, '', 2),
+  (3, 'D', '', 2, '', 3), (0, 'K', 's', 0, '', 1), (0, 'K', 'u', 0, '', 2), (1, 'K', 'u', 0, '', 2), (2, 'K', 'a', 0, '', 3),
+  (3, 'K', 'u', 0, '', 2), (0, 'R', '', 1, 'user', 2), (1, 'R', '', 1, 'user', 2), (2, 'R', '', 1, 'assistant', 3),
+  (3, 'R', '', 1, 'user', 2)),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS at FROM stats
+  UNION ALL
+  SELECT b.conv_id, r.i, s.goal, min({{'cost': (b.at.cost + n.cost + s.cost
+      + CASE WHEN r.fault = 'truncated' AND s.letter <> 'D' THEN 5 ELSE 0 END)::BIGINT, 'audit': b.at.audit || n.letters || s.letter,
+    'lines': b.at.lines || n.lines || CASE s.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [r.role || ':' || r.text]
+      ELSE [s.role || ':' || r.text] END}})
+  FROM best b JOIN ins n ON n.state = b.state JOIN step s ON s.way = n.way
+  JOIN row r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1
+  WHERE s.letter = 'D' OR ((r.fault IS NULL OR r.fault = 'truncated') AND (s.letter = 'R' OR s.initial = r.initial))
+  GROUP BY b.conv_id, r.i, s.goal),
+done AS (
+  SELECT t.conv_id, min({{'cost': (b.at.cost + n.cost)::BIGINT, 'audit': b.at.audit || n.letters, 'lines': b.at.lines || n.lines}}) AS at
+  FROM best b JOIN stats t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.n = b.i
+  JOIN ins n ON n.state = b.state AND n.way IN (0, 3) GROUP BY t.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(d.at.cost, 0)::BIGINT AS cost,
+  coalesce(d.at.audit, '') AS audit, sha256(coalesce(array_to_string(d.at.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))
