@@ -6,12 +6,8 @@ Tables are keyed by ``pair_id`` and ``sha``:
 * ``heads(pair_id, side, sha)``; ``side`` is any label, such as fork and upstream, or a
   branch name, and has one or more heads.
 
-A first parent costs nothing to follow, any other parent costs one. First-parent lines
-are long (ten thousands of commits), so following them commit by commit would need as
-many rounds. They are therefore cut into chains once, by pointer doubling, in
-``log2(length)`` rounds; after that the search runs on chains, where a head or a merge
-covers "this chain from here down" in one row. Each round is written to the shared
-folder (:func:`forklore.session.materialize`), so a lost executor costs one round.
+A first parent costs nothing to follow, any other parent costs one. Searches run block by block
+(:mod:`forklore.operators.search`), so rounds do not grow with the length of first-parent lines.
 """
 
 from __future__ import annotations
@@ -21,6 +17,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forklore.operators.search import (
+    BLOCK,
+    NODE,
+    depths,
+    each_step,
+    free_first_parent,
+    graph_blocks,
+    least_costs,
+    no_cost,
+    traced,
+)
 from forklore.session import materialize, materialize_counted
 
 # The distance printed for a commit that no head reaches, and the most
@@ -28,9 +35,6 @@ from forklore.session import materialize, materialize_counted
 UNREACHED = 999
 PUBLISHED_MAX_HEADS = 100
 
-NODE = ["pair_id", "sha"]
-CHAIN = ["pair_id", "chain"]
-SIDE_CHAIN = ["pair_id", "side", "chain"]
 
 
 def edges_from_history(history: DataFrame) -> DataFrame:
@@ -68,229 +72,29 @@ def split_by_head_count(heads: DataFrame, limit: int) -> tuple[DataFrame, DataFr
     return heads.join(rejected.select("pair_id"), "pair_id", "left_anti"), rejected
 
 
-def _first_parents(edges: DataFrame) -> DataFrame:
-    """``pair_id, sha, first``: the first parent if it is a commit of the graph."""
-    nodes = edges.groupBy(*NODE).agg(
-        F.min(F.when(F.col("parent_pos") == 0, F.col("parent"))).alias("first")
-    )
-    known = nodes.select("pair_id", F.col("sha").alias("first"), F.lit(True).alias("_known"))
-    inner = (
-        nodes.filter(F.col("first").isNotNull())
-        .join(known, ["pair_id", "first"], "left")
-        .select(*NODE, F.when(F.col("_known"), F.col("first")).alias("first"))
-    )
-    return inner.unionByName(nodes.filter(F.col("first").isNull()))
-
-
-def _heights(first: DataFrame) -> DataFrame:
-    """Add ``depth`` (first parents below a commit) and ``height`` (longest line above it).
-
-    Round k knows for each commit its ancestor 2^k steps down and the longest line of
-    less than 2^k steps that ends in it.
-    """
-    state = first.select(
-        *NODE,
-        "first",
-        F.col("first").alias("up"),
-        F.when(F.col("first").isNull(), 0).otherwise(1).cast("long").alias("depth"),
-        F.lit(0).cast("long").alias("height"),
-    )
-    step = 1
-    while True:
-        above = (
-            state.filter(F.col("up").isNotNull())
-            .groupBy("pair_id", "up")
-            .agg((F.max("height") + step).alias("_above"))
-            .withColumnRenamed("up", "sha")
-        )
-        below = state.select(
-            "pair_id",
-            F.col("sha").alias("up"),
-            F.col("up").alias("_up"),
-            F.col("depth").alias("_depth"),
-        )
-        # Commits that have reached a root do not take part in the second join: their
-        # NULL keys would all meet in one task.
-        risen = materialize(
-            state.join(above, NODE, "left").select(
-                *NODE,
-                "first",
-                "up",
-                "depth",
-                F.greatest("height", F.coalesce("_above", F.lit(0))).alias("height"),
-            ),
-            "risen",
-        )
-        moved = (
-            risen.filter(F.col("up").isNotNull())
-            .join(below, ["pair_id", "up"])
-            .select(
-                *NODE,
-                "first",
-                F.col("_up").alias("up"),
-                (F.col("depth") + F.col("_depth")).alias("depth"),
-                "height",
-            )
-        )
-        state = moved.unionByName(risen.filter(F.col("up").isNull()))
-        state, n_open = materialize_counted(state, "heights", F.col("up").isNotNull())
-        step *= 2
-        if not n_open:
-            return state.drop("up")
-
-
-def first_parent_chains(edges: DataFrame) -> DataFrame:
-    """``pair_id, sha, first, depth, chain, height``: each commit's place on its chain.
-
-    Of the children that share a first parent, the one with the longest line above it
-    continues the chain. ``chain`` is the chain's lowest commit and ``height`` the steps
-    down to it.
-    """
-    nodes = _heights(_first_parents(edges))
-    heir = (
-        nodes.filter(F.col("first").isNotNull())
-        .groupBy("pair_id", "first")
-        .agg(F.max_by("sha", F.struct("height", "sha")).alias("sha"))
-        .withColumn("_heir", F.lit(True))
-    )
-    state = nodes.join(heir, ["pair_id", "first", "sha"], "left").select(
-        *NODE,
-        "first",
-        "depth",
-        F.when(F.col("_heir"), F.col("first")).otherwise(F.col("sha")).alias("chain"),
-        F.when(F.col("_heir"), 1).otherwise(0).cast("long").alias("height"),
-        F.col("_heir").isNull().alias("done"),
-    )
-    while True:
-        state, n_open = materialize_counted(state, "chains", ~F.col("done"))
-        if not n_open:
-            return state.drop("done")
-        target = state.select(
-            "pair_id",
-            F.col("sha").alias("chain"),
-            F.col("chain").alias("_chain"),
-            F.col("height").alias("_height"),
-            F.col("done").alias("_done"),
-        )
-        moved = state.filter(~F.col("done")).join(target, CHAIN).select(
-            *NODE,
-            "first",
-            "depth",
-            F.col("_chain").alias("chain"),
-            (F.col("height") + F.col("_height")).alias("height"),
-            F.col("_done").alias("done"),
-        )
-        state = state.filter("done").unionByName(moved)
-
-
-def _contract(edges: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chain links (end of a chain to the next chain) and merge jumps (chain to chain)."""
-    target = places.select(
-        "pair_id",
-        F.col("sha").alias("parent"),
-        F.col("chain").alias("to_chain"),
-        F.col("height").alias("to_height"),
-    )
-    links = (
-        places.filter((F.col("height") == 0) & F.col("first").isNotNull())
-        .select(*CHAIN, F.col("first").alias("parent"))
-        .join(target, ["pair_id", "parent"])
-        .select(*CHAIN, "to_chain", "to_height")
-    )
-    merges = (
-        edges.filter((F.col("parent_pos") > 0) & F.col("parent").isNotNull())
-        .select(*NODE, "parent")
-        .distinct()
-        .join(places.select(*NODE, "first", "chain", "height"), NODE)
-        .filter(F.col("first").isNull() | (F.col("first") != F.col("parent")))
-        .join(target, ["pair_id", "parent"])
-        .select(*CHAIN, "height", "to_chain", "to_height")
-    )
-    return materialize(links, "links"), materialize(merges, "merges")
-
-
-def _new_cover(entries: DataFrame, cover: DataFrame | None) -> DataFrame:
-    """Highest entry per side and chain where it lies above what is covered already.
+def reached(edges: DataFrame, heads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Commits each side's heads reach, with the least number of non-first parents followed.
 
-    ``low`` is the height up to which the chain was covered before (-1 for none), so the
-    rows of a chain are disjoint intervals ``(low, high]``.
+    ``pair_id, side, sha, distance``. Distance 0 is the first-parent line.
     """
-    best = entries.groupBy(*SIDE_CHAIN).agg(F.max("height").alias("high"))
-    if cover is None:
-        return best.withColumn("low", F.lit(-1).cast("long"))
-    seen = cover.groupBy(*SIDE_CHAIN).agg(F.max("high").alias("_seen"))
-    return (
-        best.join(seen, SIDE_CHAIN, "left")
-        .withColumn("low", F.coalesce("_seen", F.lit(-1).cast("long")))
-        .filter(F.col("high") > F.col("low"))
-        .drop("_seen")
-    )
-
-
-def _cover_from(
-    places: DataFrame, links: DataFrame, merges: DataFrame, heads: DataFrame
-) -> DataFrame:
-    """Chain intervals with their distance: ``pair_id, side, chain, low, high, distance``."""
-    entries = heads.select("pair_id", "side", "sha").distinct().join(
-        places.select(*NODE, "chain", "height"), NODE
-    )
-    parts: list[DataFrame] = []
-    seen: list[DataFrame] = []
-    distance = 0
-
-    def covered() -> DataFrame | None:
-        """What is covered so far; put together every few rounds, so that no round reads all earlier ones."""
-        if len(seen) > 4:
-            every = reduce(lambda a, b: a.unionByName(b), seen)
-            seen[:] = [materialize(every.groupBy(*SIDE_CHAIN).agg(F.max("high").alias("high")), "seen")]
-        return reduce(lambda a, b: a.unionByName(b), seen) if seen else None
-
-    while True:
-        level: list[DataFrame] = []
-        frontier = _new_cover(entries, covered())
-        while True:
-            frontier, n_new = materialize_counted(
-                frontier.withColumn("distance", F.lit(distance)), "cover"
-            )
-            if not n_new:
-                break
-            parts.append(frontier)
-            seen.append(frontier.select(*SIDE_CHAIN, "high"))
-            level.append(frontier)
-            onward = frontier.join(links, CHAIN).select(
-                "pair_id", "side", F.col("to_chain").alias("chain"), F.col("to_height").alias("height")
-            )
-            frontier = _new_cover(onward, covered())
-        if not level:
-            # no head in the graph leaves one empty frontier, which has the columns
-            return reduce(lambda a, b: a.unionByName(b), parts) if parts else frontier
-        grown = reduce(lambda a, b: a.unionByName(b), level)
-        entries = (
-            grown.join(merges, CHAIN)
-            .filter((F.col("height") > F.col("low")) & (F.col("height") <= F.col("high")))
-            .select(
-                "pair_id", "side", F.col("to_chain").alias("chain"), F.col("to_height").alias("height")
-            )
-        )
-        distance += 1
-
-
-def _spread(places: DataFrame, cover: DataFrame) -> DataFrame:
-    return (
-        places.join(cover, CHAIN)
-        .filter((F.col("height") > F.col("low")) & (F.col("height") <= F.col("high")))
-        .select("pair_id", "side", "sha", "distance", "depth")
-    )
+    seeds = heads.select(
+        "pair_id", "side", "sha", F.lit(0).alias("value"), F.lit(None).cast("string").alias("tag")
+    ).distinct()
+    found = least_costs(graph_blocks(edges, block=block), seeds, ["pair_id"], ["side"], free_first_parent)
+    return found.select("pair_id", "side", "sha", F.col("value").alias("distance"))
 
 
-def reached(edges: DataFrame, heads: DataFrame) -> DataFrame:
-    """Commits each side's heads reach, with the least number of non-first parents followed.
+def nearest_heads(edges: DataFrame, heads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The head of each side that is nearest to each commit it reaches: ``pair_id, side, sha, head, distance``.
 
-    ``pair_id, side, sha, distance, depth``. Distance 0 is the first-parent line.
+    Nearest by the non-first parents followed, the least hash of equal ones. All heads of a side are searched at
+    once; a commit passes on only the nearest.
     """
-    places = first_parent_chains(edges)
-    links, merges = _contract(edges, places)
-    return _spread(places, _cover_from(places, links, merges, heads))
+    seeds = heads.select(
+        "pair_id", "side", "sha", F.lit(0).alias("value"), F.col("sha").alias("tag")
+    ).distinct()
+    found = least_costs(graph_blocks(edges, block=block), seeds, ["pair_id"], ["side"], free_first_parent)
+    return found.select("pair_id", "side", "sha", F.col("tag").alias("head"), F.col("value").alias("distance"))
 
 
 def head_distances(
@@ -319,7 +123,7 @@ def distance_label(distance: str) -> Column:
     return F.coalesce(F.col(distance), F.lit(UNREACHED))
 
 
-def decompose_branches(edges: DataFrame, heads: DataFrame) -> DataFrame:
+def decompose_branches(edges: DataFrame, heads: DataFrame, block: int = BLOCK) -> DataFrame:
     """History of each branch (``side``), one row per commit, with its role.
 
     ``on_line``: on the first-parent line. ``role``: ``origin`` (on the line, no merge),
@@ -334,14 +138,11 @@ def decompose_branches(edges: DataFrame, heads: DataFrame) -> DataFrame:
         .when(~F.col("is_merge"), "contribution")
         .otherwise("inner_merge")
     )
-    return (
-        reached(edges, heads)
-        .join(parents, NODE)
-        .select(
-            "pair_id", "side", "sha", on_line.alias("on_line"), "is_merge", role.alias("role"),
-            "depth",
-        )
+    places = parents.join(depths(edges, block), NODE)
+    branches = reached(edges, heads, block).join(places, NODE).select(
+        "pair_id", "side", "sha", on_line.alias("on_line"), "is_merge", role.alias("role"), "depth"
     )
+    return materialize(branches, "branches")
 
 
 def two_parents(edges: DataFrame) -> DataFrame:
@@ -356,39 +157,27 @@ def two_parents(edges: DataFrame) -> DataFrame:
     )
 
 
-def merge_contributions(edges: DataFrame, branches: DataFrame) -> DataFrame:
+def merge_contributions(edges: DataFrame, branches: DataFrame, block: int = BLOCK) -> DataFrame:
     """Commits each merge on a first-parent line brought in: ``pair_id, side, merge_sha, sha``.
 
     ``branches`` comes from :func:`decompose_branches` with one head per side. What a
     merge adds to its first parent's history belongs to the lowest commit of the line
     that reaches it, so the lowest ``depth`` is passed down from the line to all commits
-    off it; every commit gets one merge and no closure per merge is built. Rounds are
-    bounded by the longest side branch.
+    off it, in a search without costs; every commit gets one merge and no closure per merge is built.
     """
     side = ["pair_id", "side", "sha"]
     off_line = branches.filter(~F.col("on_line")).select(*side)
     line = branches.filter("on_line").select(*side, "depth")
-    steps = edges.filter(F.col("parent").isNotNull()).select(*NODE, "parent").distinct()
-
-    def down(front: DataFrame) -> DataFrame:
-        return (
-            front.join(steps, NODE)
-            .select("pair_id", "side", F.col("parent").alias("sha"), "depth")
-            .join(off_line, side, "left_semi")
-            .groupBy(*side)
-            .agg(F.min("depth").alias("depth"))
-        )
-
-    labels, n_new = materialize_counted(down(line), "labels")
-    front = labels
-    while n_new:
-        found = down(front).join(
-            labels.withColumnRenamed("depth", "_depth"), side, "left"
-        ).filter(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth"))).drop("_depth")
-        front, n_new = materialize_counted(found, "front")
-        labels = materialize(
-            labels.unionByName(front).groupBy(*side).agg(F.min("depth").alias("depth")), "labels"
-        )
+    seeds = (
+        line.join(edges.filter(F.col("parent").isNotNull()).select(*NODE, "parent"), NODE)
+        .groupBy("pair_id", "side", F.col("parent").alias("sha"))
+        .agg(F.min("depth").alias("value"))
+        .join(off_line, side, "left_semi")
+        .withColumn("tag", F.lit(None).cast("string"))
+    )
+    steps = off_line.join(edges.select(*NODE, "parent", "parent_pos"), NODE)
+    labels = least_costs(graph_blocks(steps, ["side"], block, edges), seeds, ["pair_id", "side"], [], no_cost)
+    labels = labels.select(*side, F.col("value").alias("depth"))
     merges = branches.filter(F.col("role") == "merge_point").select(
         "pair_id", "side", F.col("sha").alias("merge_sha"), "depth"
     )
@@ -434,49 +223,21 @@ def merge_sources(edges: DataFrame) -> DataFrame:
         )
 
 
-def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, requests: DataFrame, block: int = BLOCK) -> DataFrame:
     """Explicit ancestor paths for ``requests(pair_id, descendant, ancestor)``.
 
-    ``pair_id, descendant, ancestor, step, sha`` with step 0 the descendant: breadth
-    first from the descendant, lesser hash first among equals. Rounds are the path
-    length; a request leaves the search once it is answered.
+    ``pair_id, descendant, ancestor, step, sha`` with step 0 the descendant. Of the shortest paths the one
+    whose commits, read from the ancestor, have the least hashes. No row where there is no path.
     """
-    key = ["pair_id", "descendant", "ancestor"]
-    steps = edges.filter(F.col("parent").isNotNull()).select(*NODE, "parent").distinct()
-    front = requests.select(*key).distinct().withColumn("sha", F.col("descendant")).withColumn(
-        "via", F.lit(None).cast(edges.schema["sha"].dataType)
-    ).withColumn("step", F.lit(0))
-    front = materialize(front, "paths")
-    seen = front
-    while True:
-        done = seen.filter(F.col("sha") == F.col("ancestor")).select(*key)
-        grown = (
-            front.join(done, key, "left_anti")
-            .join(steps, NODE)
-            .groupBy(*key, F.col("parent").alias("_parent"))
-            .agg(F.min("sha").alias("via"), F.max("step").alias("step"))
-            .select(*key, F.col("_parent").alias("sha"), "via", (F.col("step") + 1).alias("step"))
-            .join(seen.select(*key, "sha"), [*key, "sha"], "left_anti")
-        )
-        front, n_new = materialize_counted(grown, "paths")
-        if not n_new:
-            break
-        seen = materialize(seen.unionByName(front), "seen")
-    back = seen.filter(F.col("sha") == F.col("ancestor"))
-    walked = [materialize(back, "walk")]
-    while True:
-        nxt = (
-            walked[-1]
-            .filter(F.col("via").isNotNull())
-            .select(*key, F.col("via").alias("sha"))
-            .join(seen, [*key, "sha"])
-            .select(*seen.columns)
-        )
-        nxt, n_new = materialize_counted(nxt, "walk")
-        if not n_new:
-            break
-        walked.append(nxt)
-    return reduce(lambda a, b: a.unionByName(b), walked).select(*key, "step", "sha")
+    labels = ["descendant", "ancestor"]
+    asked = requests.select("pair_id", *labels).distinct()
+    seeds = asked.select(
+        "pair_id", *labels, F.col("descendant").alias("sha"), F.lit(0).alias("value"),
+        F.lit(None).cast(edges.schema["sha"].dataType).alias("tag"),
+    )
+    found = least_costs(graph_blocks(edges, block=block), seeds, ["pair_id"], labels, each_step, trace=True)
+    path = traced(found, asked.withColumn("sha", F.col("ancestor")), ["pair_id"], labels)
+    return path.select("pair_id", *labels, F.col("value").alias("step"), "sha")
 
 
 def fork_tree(repositories: DataFrame) -> DataFrame:

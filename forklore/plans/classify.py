@@ -111,7 +111,7 @@ def compare_histories(edges: DataFrame, heads: DataFrame) -> DataFrame:
     from the upstream if the line it merges begins on the upstream's own line
     (``U2F``) or anywhere in its history (``U2F_with_prs``), and the other way round.
     """
-    branches = materialize(decompose_branches(edges, heads), "branches")
+    branches = decompose_branches(edges, heads)
     moved = merge_contributions(edges, branches)
     sources = merge_sources(edges).withColumnRenamed("sha", "merge_sha")
     other = F.when(F.col("side") == "fork", "upstream").otherwise("fork")
