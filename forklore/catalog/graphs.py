@@ -184,9 +184,7 @@ def g08(t: Tables):
     return dag.reached(t.stored("dag_edge"), t.stored("dag_head")).select("pair_id", "side", "sha")
 
 
-@query(
-    "g08_shortest_paths",
-    """WITH RECURSIVE request AS (
+PATHS = """WITH RECURSIVE request AS (
       SELECT h.pair_id, h.sha AS descendant, min_by(d.sha, row(d.commit_at, d.sha)) AS ancestor
       FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id GROUP BY 1, 2),
     walk AS (
@@ -204,15 +202,59 @@ def g08(t: Tables):
       UNION
       SELECT p.pair_id, p.descendant, p.ancestor, v.via, p.step-1 FROM path p
       JOIN prev v ON v.pair_id=p.pair_id AND v.descendant=p.descendant AND v.sha=p.sha)
-    SELECT pair_id, descendant, ancestor, sha, step FROM path""",
-)
+    SELECT pair_id, descendant, ancestor, sha, step FROM path"""
+
+
+def _on_deep_lines(sql: str) -> str:
+    """The same SQL on few graphs with lines of thousands of commits."""
+    return sql.replace("dag_edge", "deep_edge").replace("dag_head", "deep_head").replace(" dag ", " deep_dag ")
+
+
+@query("g08_shortest_paths", PATHS)
 def g08b(t: Tables):
-    requests = t.sql(
-        """SELECT h.pair_id, h.sha AS descendant,
+    return dag.shortest_paths(t.stored("dag_edge"), _oldest(t, "dag", "dag_head"))
+
+
+def _oldest(t: Tables, graph: str, head: str):
+    """Each head and the oldest commit of its pair."""
+    return t.sql(
+        f"""SELECT h.pair_id, h.sha AS descendant,
         min_by(d.sha, struct(d.commit_at, d.sha)) AS ancestor
-        FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id GROUP BY 1, 2"""
+        FROM {head} h JOIN {graph} d ON d.pair_id=h.pair_id GROUP BY 1, 2"""
     )
-    return dag.shortest_paths(t.stored("dag_edge"), requests)
+
+
+@query("g08_deep_history", _on_deep_lines(PATHS))
+def g08_deep(t: Tables):
+    return dag.shortest_paths(t.stored("deep_edge"), _oldest(t, "deep_dag", "deep_head"))
+
+
+@query(
+    "g06_deep_history",
+    """WITH RECURSIVE line AS (
+      SELECT pair_id, side, sha, 0 AS below FROM deep_head
+      UNION ALL
+      SELECT l.pair_id, l.side, d.parent1, l.below+1 FROM line l
+      JOIN deep_dag d ON d.pair_id=l.pair_id AND d.sha=l.sha WHERE d.parent1 IS NOT NULL),
+    walk AS (
+      SELECT l.pair_id, l.side, l.below, e.parent AS sha FROM line l
+      JOIN deep_edge e ON e.pair_id=l.pair_id AND e.sha=l.sha
+      LEFT JOIN line n ON n.pair_id=l.pair_id AND n.side=l.side AND n.sha=e.parent
+      WHERE e.parent IS NOT NULL AND n.sha IS NULL
+      UNION
+      SELECT w.pair_id, w.side, w.below, e.parent FROM walk w
+      JOIN deep_edge e ON e.pair_id=w.pair_id AND e.sha=w.sha
+      LEFT JOIN line n ON n.pair_id=w.pair_id AND n.side=w.side AND n.sha=e.parent
+      WHERE e.parent IS NOT NULL AND n.sha IS NULL),
+    first AS (SELECT pair_id, side, sha, max(below) AS below FROM walk GROUP BY 1, 2, 3)
+    SELECT f.pair_id, f.side, l.sha AS merge_sha, f.sha FROM first f
+    JOIN line l ON l.pair_id=f.pair_id AND l.side=f.side AND l.below=f.below
+    JOIN deep_dag m ON m.pair_id=l.pair_id AND m.sha=l.sha AND m.parent2 IS NOT NULL
+    JOIN deep_dag c ON c.pair_id=f.pair_id AND c.sha=f.sha AND c.parent2 IS NULL""",
+)
+def g06_deep(t: Tables):
+    edges = t.stored("deep_edge")
+    return dag.merge_contributions(edges, dag.decompose_branches(edges, t.stored("deep_head")))
 
 
 @query(

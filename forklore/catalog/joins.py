@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from forklore.catalog.registry import query
 from forklore.catalog.views import Tables
 from forklore.operators import intervals, joins
+from forklore.operators.dag import nearest_heads
 
 
 @query(
@@ -265,19 +266,27 @@ def j16(t: Tables):
 
 @query(
     "j17_nearest_head_membership",
-    """SELECT h.pair_id, d.sha, min(date_diff('day', CAST(d.commit_at AS DATE),
-      CAST(h.head_at AS DATE))) AS days_to_head
-    FROM dag_head h JOIN dag d ON d.pair_id=h.pair_id AND d.commit_at<=h.head_at
-    GROUP BY 1, 2""",
+    """WITH RECURSIVE walk AS (
+      SELECT pair_id, side, sha AS head, sha, 0 AS d FROM side_head
+      UNION
+      SELECT w.pair_id, w.side, w.head, e.parent, w.d+e.parent_pos FROM walk w
+      JOIN dag_edge e ON e.pair_id=w.pair_id AND e.sha=w.sha WHERE e.parent IS NOT NULL),
+    near AS (SELECT pair_id, side, sha, min(row(d, head)) AS best FROM walk GROUP BY 1, 2, 3)
+    SELECT n.pair_id, n.side, n.sha, h.sha AS head, n.best[1]::INT AS distance,
+      date_diff('day', CAST(c.commit_at AS DATE), CAST(h.head_at AS DATE)) AS days_to_head
+    FROM near n JOIN side_head h ON h.pair_id=n.pair_id AND h.side=n.side AND h.sha=n.best[2]
+    JOIN dag c ON c.pair_id=n.pair_id AND c.sha=n.sha""",
 )
 def j17(t: Tables):
-    days = F.datediff("head_at", "commit_at").cast("long")
+    heads = t.stored("side_head")
+    near = nearest_heads(t.stored("dag_edge"), heads)
+    dates = t.dag.select("pair_id", "sha", "commit_at")
+    known = heads.select("pair_id", "side", F.col("sha").alias("head"), "head_at")
+    days = F.datediff("head_at", "commit_at").cast("long").alias("days_to_head")
     return (
-        t.dag_head.select("pair_id", "head_at")
-        .join(t.dag.select("pair_id", "sha", "commit_at"), "pair_id")
-        .filter(F.col("commit_at") <= F.col("head_at"))
-        .groupBy("pair_id", "sha")
-        .agg(F.min(days).alias("days_to_head"))
+        near.join(known, ["pair_id", "side", "head"])
+        .join(dates, ["pair_id", "sha"])
+        .select("pair_id", "side", "sha", "head", "distance", days)
     )
 
 

@@ -116,6 +116,27 @@ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
 SELECT pair_id, sha, parent1 AS parent, 0 AS parent_pos FROM side_dag
 UNION ALL
 SELECT pair_id, sha, parent2, 1 FROM side_dag WHERE parent2 IS NOT NULL""",
+    "deep_commit": """
+SELECT o_custkey%15 AS pair_id, o_orderkey AS sha, o_orderdate AS commit_at,
+  row_number() OVER (PARTITION BY o_custkey%15 ORDER BY o_orderdate, o_orderkey) AS place
+FROM orders""",
+    "deep_dag": """
+SELECT pair_id, sha, commit_at, place,
+  CASE place%7 WHEN 3 THEN coalesce(lag(sha,5) OVER w, lag(sha,1) OVER w)
+    WHEN 5 THEN coalesce(lag(sha,3) OVER w, lag(sha,1) OVER w) ELSE lag(sha,1) OVER w END AS parent1,
+  CASE WHEN place%7=6 THEN lag(sha,2) OVER w END AS parent2
+FROM deep_commit WINDOW w AS (PARTITION BY pair_id ORDER BY place)""",
+    "deep_edge": """
+SELECT pair_id, sha, parent1 AS parent, 0 AS parent_pos FROM deep_dag
+UNION ALL
+SELECT pair_id, sha, parent2, 1 FROM deep_dag WHERE parent2 IS NOT NULL""",
+    "deep_head": """
+SELECT pair_id, CASE place%7 WHEN 0 THEN 'fork' ELSE 'upstream' END AS side, max_by(sha, place) AS sha
+FROM deep_commit WHERE place%7=0 OR place%28=6 GROUP BY pair_id, CASE place%7 WHEN 0 THEN 'fork' ELSE 'upstream' END""",
+    "side_head": """
+SELECT pair_id, CASE WHEN sha%2=0 THEN 'upstream' ELSE 'fork' END AS side,
+  max_by(sha, @STRUCT(commit_at|sha)@) AS sha, max(commit_at) AS head_at
+FROM dag GROUP BY pair_id, CASE WHEN sha%2=0 THEN 'upstream' ELSE 'fork' END, sha%5""",
     "dag_head": """
 SELECT pair_id, CASE WHEN sha%2=0 THEN 'upstream' ELSE 'fork' END AS side,
   max_by(sha, @STRUCT(commit_at|sha)@) AS sha, max(commit_at) AS head_at
