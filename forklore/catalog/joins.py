@@ -63,15 +63,9 @@ PAIRS = """SELECT a.project_id, a.pr_id, count(*) AS n_prior, min(b.pr_id) AS lo
     GROUP BY 1, 2"""
 
 
-def _per_pr(pairs):
-    return pairs.groupBy("project_id", "pr_id").agg(
-        F.count(F.lit(1)).alias("n_prior"), F.min("prior_pr_id").alias("lowest_prior")
-    )
-
-
 @query("j05_prior_window_join", PAIRS.format(extra="b.pr_id<a.pr_id AND", low=0))
 def j05(t: Tables):
-    return _per_pr(intervals.prior_window_pairs(t.pull_request))
+    return intervals.prior_window_lower(t.pull_request)
 
 
 @query("j06_open_window_join", PAIRS.format(extra="", low=1))

@@ -6,9 +6,14 @@ greater age. The window of a pull request of age ``a`` is ``[a + low, a + window
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forklore.operators.search import in_groups
+
 
 def prior_window_pairs(
     prs: DataFrame, window: int = 90, low: int = 0, lower_id_only: bool = True
@@ -77,6 +82,86 @@ def prior_window_summary(prs: DataFrame, window: int = 90, low: int = 1) -> Data
     return prs.select("project_id", "pr_id", "age_in_day").join(rolled, ["project_id", "age_in_day"]).drop("age_in_day")
 
 
+def _count_lower(low: int, window: int):
+    """Requests of a chunk in order of their number, after the closed ones of lower chunks by day (kind 0)."""
+
+    def each(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        project, _ = key
+        days: list[int] = []
+        tree: list[int] = []
+        waiting: list[int] = []
+        now = None
+
+        def add(age: int, n: int) -> None:
+            at = bisect_left(days, age) + 1
+            while at < len(tree):
+                tree[at] += n
+                at += at & -at
+
+        def upto(at: int) -> int:
+            total = 0
+            while at:
+                total += tree[at]
+                at -= at & -at
+            return total
+
+        for _, _, kind, pr_id, age, closed, n in rows:
+            if kind == 0:
+                days.append(age)
+                waiting.append(n)
+                continue
+            if not tree:
+                tree = [0] * (len(days) + 1)
+                for day, count in zip(days, waiting):
+                    add(day, count)
+                waiting = []
+            if pr_id != now:
+                for day in waiting:
+                    add(day, 1)
+                waiting, now = [], pr_id
+            n_prior = upto(bisect_right(days, age + window)) - upto(bisect_left(days, age + low))
+            if closed:
+                waiting.append(age)
+            if n_prior:
+                yield project, pr_id, n_prior
+
+    return each
+
+
+def prior_window_lower(prs: DataFrame, window: int = 90, low: int = 0, chunk: int = 1 << 16) -> DataFrame:
+    """Number and lowest id of the closed, lower-numbered pull requests in the window of each: ``n_prior, lowest_prior``.
+
+    Counts how many points lie below and beside each, without forming a pair. Requests are cut by number into
+    chunks; the closed ones of all lower chunks come to a chunk as one row per day, and inside it requests pass in order
+    of their number over a tree of day counts. So a project of any size is dealt to many tasks. Pull requests
+    with an empty window have no row. A NULL age is in no window.
+    """
+    slim = prs.where(F.col("age_in_day").isNotNull()).select(
+        "project_id", F.floor(F.col("pr_id") / chunk).alias("chunk"), "pr_id",
+        F.col("age_in_day").cast("int").alias("age"), F.coalesce("is_closed", F.lit(False)).alias("closed"),
+    )
+    by_day = slim.groupBy("project_id", "chunk", "age").agg(F.count_if("closed").alias("n"))
+    # every day of a project in each of its chunks: a row per day and chunk of requests
+    grid = by_day.select("project_id", "age").distinct().join(by_day.select("project_id", "chunk").distinct(), "project_id")
+    below = Window.partitionBy("project_id", "age").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.join(by_day, ["project_id", "chunk", "age"], "left").select(
+        "project_id", "chunk", F.lit(0).alias("kind"), F.lit(None).cast(prs.schema["pr_id"].dataType).alias("pr_id"), "age",
+        F.lit(False).alias("closed"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("n"),
+    )
+    rows = carried.unionByName(slim.select("*", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n")))
+    schema = f"project_id {prs.schema['project_id'].dataType.simpleString()}, pr_id {prs.schema['pr_id'].dataType.simpleString()}"
+    counts = in_groups(
+        rows.select("project_id", "chunk", "kind", "pr_id", "age", "closed", "n"), ["project_id", "chunk"],
+        ["kind", "pr_id", "age"], _count_lower(low, window), f"{schema}, n_prior long",
+    )
+    closed_id = F.when(F.col("is_closed"), F.col("pr_id"))
+    lowest = lowest_prior_id(prs, ["project_id"], closed_id, window, low)
+    facts = prs.select("project_id", "pr_id", "age_in_day").distinct().join(lowest, ["project_id", "age_in_day"])
+    return counts.join(facts, ["project_id", "pr_id"]).select(
+        "project_id", "pr_id", "n_prior", F.col("lowest_id").alias("lowest_prior")
+    )
+
+
 def prior_window_counts(prs: DataFrame, window: int = 90, low: int = 1) -> DataFrame:
     """Closed pull requests in the window of each pull request, by day histogram."""
     days = prs.groupBy("project_id", "age_in_day").agg(F.count_if("is_closed").alias("_closed"))

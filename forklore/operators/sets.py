@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forklore.operators.groups import shuffled_rank
+from forklore.session import materialize
+
 
 def union_distinct(*sets: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), sets).distinct()
@@ -98,12 +101,13 @@ def pr_commit_sets(rows: DataFrame, keys: list[str], precedence: str = "merged")
 def contained_branches(branches: DataFrame, repo: str = "repo_id") -> DataFrame:
     """Branches whose commits all are in a longer branch (of equal ones all but the last name).
 
-    ``branches(repo, branch, sha)``. Equal branches are first compared with one of their
-    kind only, found by a fingerprint and then checked commit by commit. The rest is
-    compared with the branches that hold its rarest commit, instead of with every branch
-    that shares any: a containing branch must hold that commit, so none is missed.
+    ``branches(repo, branch, sha)``. Equal branches are compared with one of their
+    kind only, found by a fingerprint and then checked commit by commit. For the rest, each commit has
+    a bitmap of the branches that hold it; the branches that hold all commits of a branch are the intersection of its
+    commits' bitmaps. So a row is formed per commit of a branch and 32,768 branches, never per pair of branches. A branch
+    with a commit of its own is left out before.
     """
-    members = branches.select(repo, "branch", "sha").distinct()
+    members = materialize(branches.select(repo, "branch", "sha").distinct(), "members")
     prints = members.groupBy(repo, "branch").agg(
         F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("sha")).alias("_xor"),
@@ -120,25 +124,32 @@ def contained_branches(branches: DataFrame, repo: str = "repo_id") -> DataFrame:
     outer = members.withColumnRenamed("branch", "outer_branch")
     equal = _fully_shared(twins, members, outer, repo)
     members = members.join(equal, [repo, "branch"], "left_anti")
-    outer = members.withColumnRenamed("branch", "outer_branch")
-    sizes = prints.select(repo, "branch", "size")
-    spread = members.groupBy(repo, "sha").agg(F.count(F.lit(1)).alias("spread"))
-    rarest = (
-        members.join(spread, [repo, "sha"])
-        .groupBy(repo, "branch")
-        .agg(F.min_by("sha", F.struct("spread", "sha")).alias("sha"))
+    numbers = shuffled_rank(members.select(repo, "branch").distinct(), [repo], F.col("branch"), "_no")
+    at = F.bitmap_bit_position("_no")
+    holders = (
+        members.join(numbers, [repo, "branch"])
+        .groupBy(repo, "sha", F.bitmap_bucket_number("_no").alias("_block"))
+        .agg(
+            F.bitmap_construct_agg(at).alias("_bits"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n")
+        )
+        .select(repo, "sha", "_block", "_n", F.expr("substring(_bits, 1, int(_last div 8) + 1)").alias("_bits"))
     )
-    outer_size = sizes.select(
-        repo, F.col("branch").alias("outer_branch"), F.col("size").alias("outer_size")
-    )
-    candidates = (
-        rarest.join(outer, [repo, "sha"])
-        .join(sizes, [repo, "branch"])
-        .join(outer_size, [repo, "outer_branch"])
-        .filter(F.col("outer_size") > F.col("size"))
-        .select(repo, "branch", "outer_branch", "size")
+    own = holders.groupBy(repo, "sha").agg(F.sum("_n").alias("_n")).filter(F.col("_n") == 1).select(repo, "sha")
+    alone = members.join(own, [repo, "sha"], "left_semi").select(repo, "branch").distinct()
+    # beyond the shortest bitmap of a branch's commits none has a bit in common
+    common = (
+        members.join(alone, [repo, "branch"], "left_anti")
+        .join(holders, [repo, "sha"])
+        .groupBy(repo, "branch", "_block")
+        .agg(
+            F.count(F.lit(1)).alias("size"), F.bitmap_and_agg("_bits").alias("_bits"),
+            F.min(F.length("_bits")).alias("_width"),
+        )
+        .join(prints.select(repo, "branch", "size"), [repo, "branch", "size"])
+        .groupBy(repo, "branch")
+        .agg(F.sum(F.bitmap_count(F.expr("substring(_bits, 1, _width)"))).alias("_holders"))
     )
-    return equal.unionByName(_fully_shared(candidates, members, outer, repo)).distinct()
+    return equal.unionByName(common.filter(F.col("_holders") > 1).select(repo, "branch"))
 
 
 def _fully_shared(

@@ -68,6 +68,23 @@ def test_contained_branches_against_all_pairs(spark):
     assert got == want
 
 
+def test_contained_branches_of_nested_and_of_many_branches(spark):
+    """Branches that continue each other, equal ones, and more of them than one bitmap holds."""
+    nested = [(1, f"v{i:03}", s) for i in range(60) for s in range(i + 1)]
+    equal = [(2, b, s) for b in ("x", "y", "z") for s in (1, 2, 3)] + [(2, "w", 9)]
+    many = [(3, f"m{i}", s) for i in range(40_000) for s in (i % 3, 100 + i % 2)] + [(3, "all", s) for s in (0, 1, 2, 100, 101)]
+    few = [(3, "out", 0), (3, "out", 7)]
+    df = spark.createDataFrame(nested + equal + many + few, "repo_id int, branch string, sha int")
+    got = {(r.repo_id, r.branch) for r in sets.contained_branches(df).collect()}
+    want = {(1, f"v{i:03}") for i in range(59)} | {(2, "x"), (2, "y")} | {(3, f"m{i}") for i in range(40_000)}
+    assert got == want
+    apart = spark.createDataFrame(
+        [(4, f"p{i}", s) for i in range(40_000) for s in (i, 50_000)] + [(4, "q", 7), (4, "q", 50_000), (4, "q", 8)],
+        "repo_id int, branch string, sha int",
+    )
+    assert {r.branch for r in sets.contained_branches(apart).collect()} == {"p7", "p8"}
+
+
 def test_sample_is_exact_and_reproducible(spark):
     df = spark.range(1000).withColumnRenamed("id", "pr_id")
     one = {r.pr_id for r in sampling.sample_exactly(df, 37, "pr_id", 4).collect()}
