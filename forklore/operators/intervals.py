@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forklore.operators.search import in_groups
+from forklore.session import materialize
 
 
 def prior_window_pairs(
@@ -128,7 +129,7 @@ def _count_lower(low: int, window: int):
     return each
 
 
-def prior_window_lower(prs: DataFrame, window: int = 90, low: int = 0, chunk: int = 1 << 16) -> DataFrame:
+def prior_window_lower(prs: DataFrame, window: int = 90, low: int = 0, chunk: int = 1 << 20) -> DataFrame:
     """Number and lowest id of the closed, lower-numbered pull requests in the window of each: ``n_prior, lowest_prior``.
 
     Counts how many points lie below and beside each, without forming a pair. Requests are cut by number into
@@ -140,6 +141,7 @@ def prior_window_lower(prs: DataFrame, window: int = 90, low: int = 0, chunk: in
         "project_id", F.floor(F.col("pr_id") / chunk).alias("chunk"), "pr_id",
         F.col("age_in_day").cast("int").alias("age"), F.coalesce("is_closed", F.lit(False)).alias("closed"),
     )
+    slim = materialize(slim, "requests")  # read by days, by numbers and for the result
     by_day = slim.groupBy("project_id", "chunk", "age").agg(F.count_if("closed").alias("n"))
     # every day of a project in each of its chunks: a row per day and chunk of requests
     grid = by_day.select("project_id", "age").distinct().join(by_day.select("project_id", "chunk").distinct(), "project_id")
@@ -154,9 +156,9 @@ def prior_window_lower(prs: DataFrame, window: int = 90, low: int = 0, chunk: in
         rows.select("project_id", "chunk", "kind", "pr_id", "age", "closed", "n"), ["project_id", "chunk"],
         ["kind", "pr_id", "age"], _count_lower(low, window), f"{schema}, n_prior long",
     )
-    closed_id = F.when(F.col("is_closed"), F.col("pr_id"))
-    lowest = lowest_prior_id(prs, ["project_id"], closed_id, window, low)
-    facts = prs.select("project_id", "pr_id", "age_in_day").distinct().join(lowest, ["project_id", "age_in_day"])
+    aged = slim.withColumnRenamed("age", "age_in_day")
+    lowest = lowest_prior_id(aged, ["project_id"], F.when(F.col("closed"), F.col("pr_id")), window, low)
+    facts = aged.select("project_id", "pr_id", "age_in_day").join(lowest, ["project_id", "age_in_day"])
     return counts.join(facts, ["project_id", "pr_id"]).select(
         "project_id", "pr_id", "n_prior", F.col("lowest_id").alias("lowest_prior")
     )

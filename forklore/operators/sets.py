@@ -134,6 +134,7 @@ def contained_branches(branches: DataFrame, repo: str = "repo_id") -> DataFrame:
         )
         .select(repo, "sha", "_block", "_n", F.expr("substring(_bits, 1, int(_last div 8) + 1)").alias("_bits"))
     )
+    holders = materialize(holders, "holders")
     own = holders.groupBy(repo, "sha").agg(F.sum("_n").alias("_n")).filter(F.col("_n") == 1).select(repo, "sha")
     alone = members.join(own, [repo, "sha"], "left_semi").select(repo, "branch").distinct()
     # beyond the shortest bitmap of a branch's commits none has a bit in common

@@ -6,11 +6,17 @@ pr_id, sha)`` and ``files(sha, filename, status)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forklore.operators.intervals import lowest_prior_id
-from forklore.session import materialize
+from forklore.operators.search import in_groups
+from forklore.session import materialize, materialize_counted
 
 
 def _touches(prs: DataFrame, pr_commits: DataFrame, files: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def hot_files_per_commit(
 
 
 def commit_hotness(
-    prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90
+    prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90, block: int = 8192
 ) -> DataFrame:
     """Earlier commits that touch any file of the pull request.
 
@@ -114,25 +120,98 @@ def commit_hotness(
     share a file; removed files do not count. A pull request without files gives no
     row, one without such commits gives 0.
 
-    The join is on (project, file, time bucket), so only commits that do share a file
-    within the window meet. What is formed is the counted set itself.
+    Commits are dealt by day into blocks of about ``block`` changed files. In a block each file has a bitmap of the commits that touch it; a
+    pull request unites those of its files, cuts the union by window and number, and counts bits. What is shuffled is
+    one row per pull request, file and block of its window; rows of request and commit are formed only for commits that
+    several pull requests hold, which may not be counted twice.
     """
     kept = files.filter(F.col("status") != "removed").select("sha", "filename").distinct()
     facts = prs.filter("is_closed").select("project_id", "pr_id", "age_in_day")
-    touched = materialize(
-        pr_commits.join(facts, ["project_id", "pr_id"]).join(kept, "sha"), "touched"
+    touched = materialize(pr_commits.join(facts, ["project_id", "pr_id"]).join(kept, "sha"), "touched")
+    held = touched.select("project_id", "pr_id", "sha").distinct().groupBy("project_id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    several, n_several = materialize_counted(held.filter(F.col("n") > 1).select("project_id", "sha"), "several")
+    single = touched.join(several, ["project_id", "sha"], "left_anti") if n_several else touched
+    parts = _shared_by_bitmaps(single, touched, window, block)
+    if n_several:
+        shared = touched.join(several, ["project_id", "sha"], "left_semi")
+        parts = parts.unionByName(_shared_by_pairs(shared, touched, window))
+    none = touched.select("project_id", "pr_id", F.lit(0).cast("long").alias("n"))
+    return (
+        parts.unionByName(none)
+        .groupBy("project_id", "pr_id")
+        .agg(F.sum("n").alias("n_prior_commits"))
+    )
+
+
+def _shared_by_bitmaps(single: DataFrame, touched: DataFrame, window: int, block: int) -> DataFrame:
+    """``project_id, pr_id, n``, block by block; a commit of ``single`` belongs to one pull request."""
+    per_day = touched.groupBy("project_id", "age_in_day").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("project_id").orderBy("age_in_day").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block)
+    wide = F.ceil(F.col("n") / block)  # a crowded day is dealt by hash
+    days = per_day.select("project_id", "age_in_day", first.alias("first"), wide.alias("wide"))
+    span = Window.partitionBy("project_id").orderBy("age_in_day").rangeBetween(0, window)
+    days = days.withColumn("last", F.max(F.col("first") + F.col("wide") - 1).over(span))
+    requests = touched.join(days, ["project_id", "age_in_day"]).withColumn("block", F.explode(F.sequence("first", "last")))
+    dealt = single.join(days, ["project_id", "age_in_day"]).withColumn(
+        "block", F.col("first") + F.pmod(F.xxhash64("sha"), F.col("wide"))
+    )
+    columns = ["project_id", "block", "kind", "age_in_day", "pr_id", "sha", "filename"]
+    rows = dealt.withColumn("kind", F.lit(0)).select(*columns).unionByName(
+        requests.withColumn("kind", F.lit(1)).withColumn("sha", F.lit(None).cast(touched.schema["sha"].dataType)).select(*columns)
     )
+    kinds = ", ".join(f"{n} {touched.schema[n].dataType.simpleString()}" for n in ("project_id", "pr_id"))
+    return in_groups(
+        rows, ["project_id", "block"], ["kind", "age_in_day", "pr_id", "sha"], _count_bits(window), f"{kinds}, n long"
+    )
+
+
+def _count_bits(window: int):
+    """Commits of a block in order of day (kind 0), then its requests, file by file."""
+
+    def each(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        by_file: dict = {}
+        by_request: dict = {}
+        ages: list[int] = []
+        last = None
+        numbers: list = []
+        lower = [0]
+        for (kind, age, pr_id), part in groupby(rows, itemgetter(2, 3, 4)):
+            if kind == 0:
+                for *_, sha, filename in part:
+                    if sha != last:
+                        by_request[pr_id] = by_request.get(pr_id, 0) | 1 << len(ages)
+                        ages.append(age)
+                        last = sha
+                    by_file[filename] = by_file.get(filename, 0) | 1 << len(ages) - 1
+                continue
+            if not numbers:
+                numbers = sorted(by_request)
+                for number in numbers:
+                    lower.append(lower[-1] | by_request[number])
+            union = 0
+            for *_, filename in part:
+                union |= by_file.get(filename, 0)
+            union &= lower[bisect_left(numbers, pr_id)]
+            union &= (1 << bisect_right(ages, age + window)) - (1 << bisect_left(ages, age))
+            if union:
+                yield key[0], pr_id, union.bit_count()
+
+    return each
+
+
+def _shared_by_pairs(shared: DataFrame, touched: DataFrame, window: int) -> DataFrame:
+    """The same for commits that several pull requests hold, by an equi-join on project, file and time bucket."""
     width = window + 1
     bucket = F.floor(F.col("age_in_day") / width)
-    mine = touched.select("project_id", "pr_id", "filename", "age_in_day").distinct()
-    probes = mine.select(
+    probes = touched.select("project_id", "pr_id", "filename", "age_in_day").distinct().select(
         "project_id",
         "pr_id",
         "filename",
         F.col("age_in_day").alias("age"),
         F.explode(F.array(bucket, bucket + 1)).alias("bucket"),
     )
-    earlier = touched.select(
+    earlier = shared.select(
         "project_id",
         "filename",
         bucket.alias("bucket"),
@@ -140,7 +219,7 @@ def commit_hotness(
         F.col("age_in_day").alias("prior_age"),
         "sha",
     )
-    counts = (
+    return (
         probes.join(earlier, ["project_id", "filename", "bucket"])
         .filter(
             F.col("prior_age").between(F.col("age"), F.col("age") + window)
@@ -149,9 +228,3 @@ def commit_hotness(
         .groupBy("project_id", "pr_id")
         .agg(F.count_distinct("sha").alias("n"))
     )
-    return (
-        mine.select("project_id", "pr_id")
-        .distinct()
-        .join(counts, ["project_id", "pr_id"], "left")
-        .select("project_id", "pr_id", F.coalesce("n", F.lit(0)).alias("n_prior_commits"))
-    )

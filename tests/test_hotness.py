@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from forklore.operators import intervals
 from forklore.plans import hotness
 
 
@@ -84,3 +85,48 @@ def test_hotness_grows_with_the_window(spark, history):
     )
     both = small.join(large, ["project_id", "pr_id"], "left")
     assert both.filter("n_large IS NULL OR n_large < n_hot_commits").isEmpty()
+
+
+def test_commit_hotness_and_prior_counts_equal_pairs(spark):
+    """Commits of one and of several requests, crowded days, blocks and chunks of few rows."""
+    rng = random.Random(6)
+    prs, commits, files = [], [], []
+    for project in (1, 2):
+        for pr in range(120):
+            prs.append((project, pr, rng.choice([5, 5, rng.randint(0, 300)]), rng.random() < 0.8))
+            commits += [(project, pr, rng.choice([rng.randrange(30), 1000 * pr + i])) for i in range(rng.randint(0, 6))]
+    for sha in {c[2] for c in commits}:
+        files += [(sha, f"f{rng.randrange(12)}", rng.choice(["added", "modified", "removed"])) for _ in range(rng.randint(0, 4))]
+    by_sha = {}
+    for sha, name, status in files:
+        if status != "removed":
+            by_sha.setdefault(sha, set()).add(name)
+    facts = {(p, n): (age, closed) for p, n, age, closed in prs}
+    held = {}
+    for project, pr, sha in commits:
+        if facts[project, pr][1] and by_sha.get(sha):
+            held.setdefault((project, pr), set()).add(sha)
+    want = set()
+    for (project, pr), shas in held.items():
+        mine = set().union(*(by_sha[s] for s in shas))
+        age = facts[project, pr][0]
+        prior = {
+            s for (q, other), theirs in held.items() for s in theirs
+            if q == project and other < pr and age <= facts[q, other][0] <= age + 90 and by_sha[s] & mine
+        }
+        want.add((project, pr, len(prior)))
+    frames = (
+        spark.createDataFrame(prs, "project_id int, pr_id long, age_in_day int, is_closed boolean"),
+        spark.createDataFrame(commits + commits[:9], "project_id int, pr_id long, sha long"),
+        spark.createDataFrame(files, "sha long, filename string, status string"),
+    )
+    for block in (8192, 8):
+        assert {tuple(r) for r in hotness.commit_hotness(*frames, block=block).collect()} == want
+    counted = set()
+    for project, pr, age, _ in prs:
+        prior = [n for q, n, a, closed in prs if q == project and closed and n < pr and age <= a <= age + 90]
+        if prior:
+            counted.add((project, pr, len(prior), min(prior)))
+    for chunk in (1 << 20, 16):
+        got = intervals.prior_window_lower(frames[0], chunk=chunk).collect()
+        assert {tuple(r) for r in got} == counted
