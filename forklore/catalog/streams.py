@@ -101,9 +101,7 @@ def t04(t: Tables):
     WHERE event='closed' AND p='merged'""",
 )
 def t04b(t: Tables):
-    out, state, marks, source = [
-        new_path(t.spark, n) for n in ("closes", "state", "marks", "parts")
-    ]
+    out, marks, source = [new_path(t.spark, n) for n in ("closes", "marks", "parts")]
     half = "(SELECT max(event_id)/2 FROM events)"
     for rule in (f"event_pos < {half}", f"event_pos >= {half}"):
         events = t.sql(
@@ -111,8 +109,8 @@ def t04b(t: Tables):
         )
         events.write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(events.schema).parquet(source)
-        threads.closes_after_merge(stream, out, state, marks)
-    return t.spark.read.parquet(out).select("thread_id", "actor_id", "event_pos")
+        ingest.append_new(threads.closes_after_merge(stream), out, marks)
+    return t.spark.read.parquet(out)
 
 
 @query(

@@ -18,6 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from forklore.operators.joins import absent
 from forklore.sources.sinks import least_per_key
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def csv_stream(
     spark: SparkSession,
@@ -45,16 +48,27 @@ def first_within(stream: DataFrame, keys: Sequence[str], moment: str, delay: str
     return stream.withWatermark(moment, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def append_new(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Append the rows of new files to parquet; the file sink's log makes it exactly once."""
-    run(
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def append_new(stream: DataFrame, out: str, checkpoint: str) -> dict | None:
+    """Append the rows of new files to parquet; the file sink's log makes it exactly once.
+
+    State, if the stream has any, lies in RocksDB. Returns the progress of the last batch, None if there was none.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(STATE_STORE, before)
+    run(query)
+    return query.lastProgress
 
 
 def insert_new(stream: DataFrame, out: str, checkpoint: str, keys: Sequence[str]) -> None:
