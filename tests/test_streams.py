@@ -70,3 +70,41 @@ def test_keys_expire_within_the_watermark(spark, tmp_path):
     hour = lambda h: START + dt.timedelta(hours=h)
     assert added == [{(1, hour(0))}, {(2, hour(30))}, {(1, hour(60))}]
     assert sizes[-1] == 1
+
+
+def test_inserts_read_only_the_buckets_of_their_keys(spark, tmp_path, monkeypatch):
+    """Eight batches of equal size over ever more keys: what a batch reads does not grow with the table."""
+    import glob
+    import os
+
+    schema = "k long, v string"
+    out, marks, source = (f"{tmp_path}/{n}" for n in ("out", "marks", "in"))
+    buckets = 1000
+    where = spark.range(40_000).select("id", F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("b")).collect()
+    by_bucket = {}
+    for row in where:
+        by_bucket.setdefault(row.b, []).append(row.id)
+    read = []
+    real = ingest.KeyTable.read
+
+    def watched(table, met):
+        read.append(sum(os.path.getsize(f) for b in met for f in glob.glob(f"{table.path}/bucket={b}/*/*.parquet")))
+        return real(table, met)
+
+    monkeypatch.setattr(ingest.KeyTable, "read", watched)
+    want = set()
+    for turn in range(8):
+        # one bucket of its own for each batch, and some keys of the first one again and again
+        keys = by_bucket[10 + turn][:30] + by_bucket[10][turn : turn + 5]
+        want |= set(keys)
+        spark.createDataFrame([(k, f"{turn}") for k in keys], schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ingest.insert_new(stream, out, marks, ["k"], buckets=buckets, fold=3)
+    got = [r.k for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(want)
+    assert max(read[2:]) <= 4 * max(read[1], 1)
+    # a new checkpoint, and then a table whose keys are lost, still know every row
+    ingest.insert_new(spark.readStream.schema(schema).parquet(source), out, f"{marks}2", ["k"], buckets=buckets)
+    os.rename(f"{out}-keys", f"{out}-lost")
+    ingest.insert_new(spark.readStream.schema(schema).parquet(source), out, f"{marks}3", ["k"], buckets=buckets)
+    assert spark.read.parquet(out).count() == len(want)
