@@ -329,20 +329,25 @@ def g10(t: Tables):
     return classify.classify_by_author(commits, owners, upstream)
 
 
-@query(
-    "g11_fork_tree",
-    """WITH RECURSIVE tree AS (
+FORK_TREE = """WITH RECURSIVE tree AS (
       SELECT repo_id AS root_id, repo_id, 0 AS level FROM repository_tree
         WHERE parent_id IS NULL OR parent_id NOT IN (SELECT repo_id FROM repository_tree)
       UNION ALL
       SELECT tr.root_id, r.repo_id, tr.level+1 FROM tree tr
       JOIN repository_tree r ON r.parent_id=tr.repo_id)
-    SELECT root_id, repo_id, level FROM tree WHERE level>0""",
-)
+    SELECT root_id, repo_id, level FROM tree WHERE level>0"""
+
+
+@query("g11_fork_tree", FORK_TREE)
 def g11(t: Tables):
     return dag.fork_tree(t.repository_tree)
 
 
+@query("g11_fork_tree_recursive", FORK_TREE)
+def g11_recursive(t: Tables):
+    return dag.fork_tree_recursive(t.repository_tree)
+
+
 @query(
     "g12_upstream_resolution",
     """SELECT r.repo_id, r.url, coalesce(u.url, r.url) AS upstream_url FROM repository r

@@ -271,6 +271,23 @@ def fork_tree(repositories: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
+def fork_tree_recursive(repositories: DataFrame, max_levels: int = 100) -> DataFrame:
+    """:func:`fork_tree` as one recursive query, for trees of few levels: one plan, and no table per level.
+
+    Spark refuses, and does not cut, trees of more than ``max_levels`` levels or results of more rows than
+    ``spark.sql.cteRecursionRowLimit``; :func:`fork_tree` has neither limit.
+    """
+    return repositories.sparkSession.sql(
+        f"""WITH RECURSIVE tree(root_id, repo_id, level) MAX RECURSION LEVEL {int(max_levels)} AS (
+          SELECT r.repo_id, r.repo_id, 0 FROM {{repositories}} r
+            LEFT ANTI JOIN {{repositories}} p ON p.repo_id = r.parent_id
+          UNION ALL
+          SELECT t.root_id, c.repo_id, t.level + 1 FROM tree t JOIN {{repositories}} c ON c.parent_id = t.repo_id)
+        SELECT root_id, repo_id, level FROM tree WHERE level > 0""",
+        repositories=repositories.select("repo_id", "parent_id"),
+    )
+
+
 def resolve_upstream(repositories: DataFrame) -> DataFrame:
     """Each repository with its upstream's url: the parent of a fork, else itself."""
     parent = repositories.select(

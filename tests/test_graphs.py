@@ -235,3 +235,19 @@ def test_doubling_writes_open_commits_only(spark, monkeypatch):
     got = rows(search.depths(edges, 100), "sha", "depth")
     assert got == {(s, s % 50) for s in range(1000)} | {(1000 + s, s) for s in range(600)}
     assert written == sorted(written, reverse=True) and written[-1] < written[0] / 4
+
+
+def test_both_forms_of_the_fork_tree(spark):
+    rng = random.Random(9)
+    parents = {i: rng.choice([None, 1000, *range(i)]) if i else None for i in range(80)}
+    df = spark.createDataFrame(list(parents.items()), "repo_id int, parent_id int")
+    want = set()
+    for repo in parents:
+        at, level = repo, 0
+        while parents[at] in parents:
+            at, level = parents[at], level + 1
+        if level:
+            want.add((at, repo, level))
+    columns = "root_id", "repo_id", "level"
+    assert rows(dag.fork_tree(df), *columns) == want
+    assert rows(dag.fork_tree_recursive(df), *columns) == want
