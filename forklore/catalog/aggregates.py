@@ -9,7 +9,6 @@ from forklore.catalog.registry import query
 from forklore.catalog.views import Tables
 from forklore.operators import aggregates as agg
 from forklore.operators.dag import fork_tree
-from forklore.operators.filters import small_commits
 from forklore.plans import easiness as ease
 from forklore.plans import summary
 
@@ -271,13 +270,12 @@ def a15b(t: Tables):
 
 @query(
     "a16_co_change_support",
-    """WITH k AS (SELECT DISTINCT sha, filename FROM commit_file WHERE sha IN (
-      SELECT sha FROM commit_file GROUP BY sha HAVING count(*)<=50))
+    """WITH k AS (SELECT DISTINCT sha, filename FROM commit_file)
     SELECT a.filename AS file_a, b.filename AS file_b, count(*) AS support
     FROM k a JOIN k b ON a.sha=b.sha AND a.filename<=b.filename GROUP BY 1, 2""",
 )
 def a16(t: Tables):
-    return agg.co_change_support(small_commits(t.commit_file, 50))
+    return agg.co_change_support(t.commit_file)
 
 
 @query(

@@ -78,18 +78,27 @@ def status_ratios(prs: DataFrame) -> DataFrame:
     )
 
 
-def co_change_support(files: DataFrame, commit: str = "sha") -> DataFrame:
+def co_change_support(files: DataFrame, commit: str = "sha", block: int = 500) -> DataFrame:
     """Times two files changed together, the diagonal included: ``file_a <= file_b``.
 
-    For the files of size-limited commits (:func:`forklore.operators.filters.small_commits`):
-    the limit bounds the pairs of a commit.
+    The files of a commit are dealt by hash into blocks of about ``block``, and each pair of blocks is joined apart from the
+    others: a commit of any size is spread over many keys, none of which has more than ``block`` squared pairs.
     """
-    one = files.select(commit, F.col("filename").alias("file_a")).distinct()
-    two = one.withColumnRenamed("file_a", "file_b")
+    one = files.select(commit, "filename").distinct()
+    sizes = one.groupBy(commit).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = one.join(sizes, commit).withColumn("_own", F.pmod(F.xxhash64("filename"), F.col("_blocks")).cast("int"))
+    low = dealt.select(
+        commit, F.col("filename").alias("_x"), F.col("_own").alias("_low"),
+        F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_high"),
+    )
+    high = dealt.select(
+        commit, F.col("filename").alias("_y"), F.col("_own").alias("_high"),
+        F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_low"),
+    )
     return (
-        one.join(two, commit)
-        .filter(F.col("file_a") <= F.col("file_b"))
-        .groupBy("file_a", "file_b")
+        low.join(high, [commit, "_low", "_high"])
+        .filter((F.col("_low") < F.col("_high")) | (F.col("_x") <= F.col("_y")))
+        .groupBy(F.least("_x", "_y").alias("file_a"), F.greatest("_x", "_y").alias("file_b"))
         .agg(F.count(F.lit(1)).alias("support"))
     )
 

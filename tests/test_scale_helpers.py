@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from forklore.operators import groups, intervals, joins, sampling, sets
+from forklore.operators import aggregates, groups, intervals, joins, sampling, sets
+from forklore.plans import modularity
 
 
 def test_previous_value_over_chunks(spark):
@@ -90,3 +91,49 @@ def test_sample_is_exact_and_reproducible(spark):
     one = {r.pr_id for r in sampling.sample_exactly(df, 37, "pr_id", 4).collect()}
     two = {r.pr_id for r in sampling.sample_exactly(df.repartition(5), 37, "pr_id", 4).collect()}
     assert len(one) == 37 and one == two
+
+
+def test_pairs_of_files_of_large_commits(spark):
+    rng = random.Random(11)
+    commits = {sha: {f"f{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 3, 50]))} for sha in range(25)}
+    df = spark.createDataFrame([(s, f) for s, names in commits.items() for f in names], "sha int, filename string")
+    want = {}
+    for names in commits.values():
+        for a in names:
+            for b in names:
+                if a <= b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    for block in (500, 7):
+        got = {(r.file_a, r.file_b): r.support for r in aggregates.co_change_support(df.union(df), block=block).collect()}
+        assert got == want
+
+
+def test_modularity_of_a_commit_of_very_many_files(spark):
+    """20,000 files in one commit, and some of them in others: pairs are counted, not formed."""
+    rng = random.Random(12)
+    n = 20_000
+    touched = {"mass": set(range(n))} | {f"c{i}": set(rng.sample(range(n + 50), 40)) for i in range(12)}
+    touched["aside"] = {n + 100, n + 101}
+    files = spark.createDataFrame(
+        [(sha, f"f{i}.{'py' if i % 3 else 'md'}", "modified") for sha, names in touched.items() for i in names],
+        "sha string, filename string, status string",
+    )
+    commits = spark.createDataFrame(
+        [(1, sha, f"2020-01-{i + 1:02}", "x") for i, sha in enumerate(touched)],
+        "project_id int, sha string, committed_at string, login string",
+    )
+    found = modularity.modularity_grid(commits, files, [".py"], [None, 50], n_commits=100).collect()
+    for limit in (None, 50):
+        for scope in ("all_files", "source_only"):
+            chosen = [
+                {i for i in names if scope == "all_files" or i % 3} for names in touched.values()
+                if limit is None or len(names) <= limit
+            ]
+            pairs = {(a, b) for names in chosen if len(names) < 100 for a in names for b in names if a < b}
+            every = set().union(*chosen)
+            count = len(pairs)
+            if limit is None:
+                mass = {i for i in range(n) if scope == "all_files" or i % 3}
+                count = len(mass) * (len(mass) - 1) // 2 + len({p for p in pairs if not (p[0] in mass and p[1] in mass)})
+            row = next(r for r in found if r.max_files == limit and r.scope == scope)
+            assert (row.n_files, row.n_pairs) == (len(every), count)
