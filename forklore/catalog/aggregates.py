@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forklore.catalog.metrics import EASINESS, SOURCE_SUFFIXES, _easiness
+from forklore.catalog.metrics import EASINESS, LINKS, SOURCE_SUFFIXES, _easiness, written_links
 from forklore.catalog.registry import query
 from forklore.catalog.views import Tables
 from forklore.operators import aggregates as agg
@@ -217,19 +217,14 @@ def a12(t: Tables):
 
 @query(
     "a13_issue_before_pr",
-    """WITH l AS (
-      SELECT p.project_id, p.pr_id, bool_or(i.created_on < CAST(p.created_at AS DATE)) AS first
-      FROM pull_request p JOIN issue i ON i.project_id=p.project_id AND i.issue_id=p.pr_id+20
-      GROUP BY 1, 2)
+    f"""WITH {LINKS},
+    l AS (SELECT p.project_id, p.pr_id, bool_or(k.issue_created_on < CAST(p.created_at AS DATE)) AS first
+      FROM link k JOIN pull_request p ON p.project_id=k.project_id AND p.pr_id=k.pr_id GROUP BY 1, 2)
     SELECT project_id, count(*) AS n_linked, count(*) FILTER (first) AS n_issue_first,
       round(count(*) FILTER (first)/count(*), 6) AS ratio FROM l GROUP BY 1""",
 )
 def a13(t: Tables):
-    links = t.sql(
-        """SELECT p.project_id, p.pr_id, i.issue_id, i.created_on AS issue_created_on
-        FROM pull_request p JOIN issue i ON i.project_id=p.project_id AND i.issue_id=p.pr_id+20"""
-    )
-    return summary.issue_before_pr(links, t.pull_request)
+    return summary.issue_before_pr(written_links(t), t.pull_request)
 
 
 @query(

@@ -110,15 +110,18 @@ def g03(t: Tables):
     FROM class c LEFT JOIN dag_fork_point f ON f.pair_id=c.pair_id""",
 )
 def g04(t: Tables):
-    return _dated(t)
+    return dated_categories(t)
 
 
-def _dated(t: Tables):
-    dates = t.dag.select("pair_id", "sha", F.col("commit_at").alias("committed_at"))
+def dated_categories(t: Tables, graph: str = "dag", names: str = "dag"):
+    """Categories by date on a graph, for the heads and fork points of ``names``."""
+    dates = getattr(t, f"{graph}_dag" if graph != "dag" else graph).select(
+        "pair_id", "sha", F.col("commit_at").alias("committed_at")
+    )
     return classify.override_by_date(
-        classify.classify_commits(t.stored("dag_edge"), t.stored("dag_head")),
+        classify.classify_commits(t.stored(f"{graph}_edge"), t.stored(f"{names}_head")),
         dates,
-        t.dag_fork_point.select("pair_id", "forked_on"),
+        getattr(t, f"{names}_fork_point").select("pair_id", "forked_on"),
     )
 
 

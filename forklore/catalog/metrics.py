@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from forklore.catalog.registry import query
 from forklore.catalog.views import Tables
 from forklore.catalog.functions import CHANGES, FLAGS, any_match
-from forklore.catalog.graphs import DISTANCE
+from forklore.catalog.graphs import DISTANCE, dated_categories
 from forklore.functions import text
 from forklore.functions.text import unordered_pair_key
 from forklore.operators.aggregates import external_contribution, status_ratios
@@ -193,15 +193,13 @@ def m07(t: Tables):
 
 @query(
     "m08_duplicate_by_commit",
-    f"""WITH n AS (SELECT project_id, pr_id, concat(body, ' see 89abcde ', pr_id) AS body
-      FROM pr_text WHERE NOT is_merged)
-    SELECT project_id, pr_id,
-      trim(regexp_extract(body, '{text.COMMIT_SHA}', 0)) AS dup_sha FROM n
-    WHERE regexp_matches(body, '{text.COMMIT_SHA}')""",
+    f"""WITH {NOTICE} SELECT n.project_id, n.pr_id,
+      trim(regexp_extract(n.body, '{text.COMMIT_SHA}', 0)) AS dup_sha
+    FROM notice n JOIN pull_request p ON p.project_id=n.project_id AND p.pr_id=n.pr_id
+    WHERE NOT p.is_merged AND regexp_matches(n.body, '{text.COMMIT_SHA}')""",
 )
 def m08(t: Tables):
-    notices = t.pr_text.withColumn("body", F.concat("body", F.lit(" see 89abcde "), "pr_id"))
-    return duplicates.duplicate_commits(notices, t.pull_request)
+    return duplicates.duplicate_commits(m06(t), t.pull_request)
 
 
 @query(
@@ -221,36 +219,36 @@ VERDICT = rf"""tl AS (SELECT *, CASE WHEN event='closed' AND thread_id%4<>0 THEN
       CASE WHEN event='merged' AND thread_id%3<>0 THEN 'referenced' ELSE event END AS e
       FROM timeline_full),
     fullsha AS (
-      SELECT event_id%25 AS project_id, CAST(event_id*100+1 AS STRING) AS sha FROM events WHERE event_id%2=0
-      UNION ALL SELECT event_id%25, CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0),
+      SELECT (event_id%300+event_id%7%2)%25 AS project_id, CAST(event_id*100+1 AS STRING) AS sha FROM events WHERE event_id%2=0
+      UNION ALL SELECT (event_id%300+event_id%7%2)%25, CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0),
     known AS (SELECT DISTINCT project_id, unnest([sha, left(sha, 7)]) AS sha FROM fullsha),
-    ev AS (SELECT thread_id, 1 AS rank, max_by(CASE WHEN e='merged' THEN 'merged-1' ELSE 'merged-2' END,
-      event_pos) AS v FROM tl WHERE e='merged' OR (e='closed' AND s IS NOT NULL) GROUP BY 1),
-    fc AS (SELECT thread_id, min(event_pos) AS pos FROM tl WHERE e='closed' GROUP BY 1),
-    c3 AS (SELECT t.thread_id, t.project_id, t.body, row_number() OVER (PARTITION BY t.thread_id
-      ORDER BY t.event_pos DESC) AS r FROM tl t LEFT JOIN fc ON fc.thread_id=t.thread_id
+    ev AS (SELECT project_id, thread_id, 1 AS rank, max_by(CASE WHEN e='merged' THEN 'merged-1' ELSE 'merged-2' END,
+      event_pos) AS v FROM tl WHERE e='merged' OR (e='closed' AND s IS NOT NULL) GROUP BY 1, 2),
+    fc AS (SELECT project_id, thread_id, min(event_pos) AS pos FROM tl WHERE e='closed' GROUP BY 1, 2),
+    c3 AS (SELECT t.thread_id, t.project_id, t.body, row_number() OVER (PARTITION BY t.project_id, t.thread_id
+      ORDER BY t.event_pos DESC) AS r FROM tl t LEFT JOIN fc ON fc.project_id=t.project_id AND fc.thread_id=t.thread_id
       WHERE t.e='commented' AND (fc.pos IS NULL OR t.event_pos<fc.pos)),
     c AS (SELECT x.*, m.sha IS NOT NULL AS merged FROM (SELECT *, nullif(trim(regexp_extract(body,
         '{text.COMMIT_SHA}', 0)), '') AS mention FROM c3 WHERE r<=3) x
       LEFT JOIN known m ON m.sha=x.mention AND m.project_id=x.project_id),
     f AS (SELECT *, regexp_matches(lower(body), '{REF}') AS names,
       {any_match("body", text.DUPLICATE_COMMENT_LOOSE)} AS dup FROM c),
-    lastc AS (SELECT thread_id, 2 AS rank, CASE
+    lastc AS (SELECT project_id, thread_id, 2 AS rank, CASE
       WHEN mention IS NOT NULL AND NOT dup AND merged THEN 'merged-5'
       WHEN mention IS NOT NULL AND dup AND (names OR merged) THEN 'duplicate'
       WHEN names THEN 'rejected'
       WHEN regexp_matches(lower(body),
         '{text.MERGE_KEYWORDS_TYPE_4}')
         THEN 'merged-4' END AS v FROM f WHERE r=1),
-    three AS (SELECT thread_id, 3 AS rank, 'merged-3' AS v FROM f WHERE merged
+    three AS (SELECT project_id, thread_id, 3 AS rank, 'merged-3' AS v FROM f WHERE merged
       AND {any_match("lower(body)", text.MERGE_KEYWORDS_BROAD)}),
-    ref AS (SELECT t.thread_id, 4 AS rank, 'merged-2ref' AS v FROM tl t
+    ref AS (SELECT t.project_id, t.thread_id, 4 AS rank, 'merged-2ref' AS v FROM tl t
       JOIN known k ON k.sha=CAST(t.s AS STRING) AND k.project_id=t.project_id WHERE t.e='referenced'),
     allc AS (SELECT * FROM ev UNION ALL SELECT * FROM lastc WHERE v IS NOT NULL
       UNION ALL SELECT * FROM three UNION ALL SELECT * FROM ref
-      UNION ALL SELECT DISTINCT thread_id, 5, 'rejected' FROM tl),
-    verdict AS (SELECT thread_id, min_by(v, rank) AS verdict FROM allc GROUP BY 1),
-    six AS (SELECT DISTINCT t.thread_id FROM tl t JOIN fullsha k ON k.sha=CAST(t.s AS STRING) AND k.project_id=t.project_id
+      UNION ALL SELECT DISTINCT project_id, thread_id, 5, 'rejected' FROM tl),
+    verdict AS (SELECT project_id, thread_id, min_by(v, rank) AS verdict FROM allc GROUP BY 1, 2),
+    six AS (SELECT DISTINCT t.project_id, t.thread_id FROM tl t JOIN fullsha k ON k.sha=CAST(t.s AS STRING) AND k.project_id=t.project_id
       WHERE t.e='committed')"""
 
 
@@ -266,64 +264,64 @@ def _merge_inputs(t: Tables):
         .otherwise(F.col("event")),
     )
     known = t.sql(
-        """SELECT event_id%25 AS project_id, CAST(event_id*100+1 AS STRING) AS sha
+        """SELECT (event_id%300+event_id%7%2)%25 AS project_id, CAST(event_id*100+1 AS STRING) AS sha
         FROM events WHERE event_id%2=0
-        UNION ALL SELECT event_id%25, CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0"""
+        UNION ALL SELECT (event_id%300+event_id%7%2)%25, CAST(1000000+event_id AS STRING) FROM events WHERE event_id%3=0"""
     )
     return timeline, known
 
 
-@query("m10_merge_verdicts", f"WITH {VERDICT} SELECT thread_id, verdict FROM verdict")
+@query("m10_merge_verdicts", f"WITH {VERDICT} SELECT project_id, thread_id, verdict FROM verdict")
 def m10(t: Tables):
-    return merge_status.merge_verdicts(*_merge_inputs(t)).drop("project_id")
+    return merge_status.merge_verdicts(*_merge_inputs(t))
 
 
 @query(
     "m10_merge_flags",
     f"""WITH {VERDICT}
-    SELECT v.thread_id, verdict='merged-1' AS merge_1, verdict='merged-2' AS merge_2,
+    SELECT v.project_id, v.thread_id, verdict='merged-1' AS merge_1, verdict='merged-2' AS merge_2,
       verdict='merged-2ref' AS merge_2ref, verdict='merged-3' AS merge_3,
       verdict='merged-4' AS merge_4, verdict='merged-5' AS merge_5,
       s.thread_id IS NOT NULL AS merge_6,
       verdict LIKE 'merged%' OR s.thread_id IS NOT NULL AS merge_any
-    FROM verdict v LEFT JOIN six s ON s.thread_id=v.thread_id""",
+    FROM verdict v LEFT JOIN six s ON s.project_id=v.project_id AND s.thread_id=v.thread_id""",
 )
 def m10b(t: Tables):
     timeline, known = _merge_inputs(t)
     return merge_status.merge_flags(
         merge_status.merge_verdicts(timeline, known),
         merge_status.merged_by_own_commits(timeline, known),
-    ).drop("project_id")
+    )
 
 
 @query(
     "m11_comments_before_and_after_close",
-    """WITH c AS (SELECT thread_id, max(event_pos) AS pos FROM timeline_full
-      WHERE event='closed' GROUP BY 1),
+    """WITH c AS (SELECT project_id, thread_id, max(event_pos) AS pos FROM timeline_full
+      WHERE event='closed' GROUP BY 1, 2),
     r AS (SELECT t.*, c.pos IS NULL OR t.event_pos<=c.pos AS b FROM timeline_full t
-      LEFT JOIN c ON c.thread_id=t.thread_id WHERE t.thread_type='pr')
-    SELECT thread_id, count(*) FILTER (event='commented' AND b) AS comments_before,
+      LEFT JOIN c ON c.project_id=t.project_id AND c.thread_id=t.thread_id WHERE t.thread_type='pr')
+    SELECT project_id, thread_id, count(*) FILTER (event='commented' AND b) AS comments_before,
       count(*) FILTER (event='commented') AS comments_total,
       count(*) FILTER (event='commented' AND NOT b) AS comments_after,
       count(DISTINCT CASE WHEN b THEN actor_id END) AS participants_before,
       count(DISTINCT actor_id) AS participants_total,
       count(DISTINCT actor_id)-count(DISTINCT CASE WHEN b THEN actor_id END) AS participants_after
-    FROM r GROUP BY 1""",
+    FROM r GROUP BY 1, 2""",
 )
 def m11(t: Tables):
-    return comments_around_close(t.timeline_full.filter("thread_type = 'pr'")).drop("project_id")
+    return comments_around_close(t.timeline_full.filter("thread_type = 'pr'"))
 
 
 @query(
     "m12_pr_closer",
-    """SELECT t.thread_id, u.login FROM (SELECT thread_id, max_by(actor_id, event_pos) AS closer_id
-      FROM timeline_full WHERE event='closed' AND thread_type='pr' GROUP BY 1) t
+    """SELECT t.project_id, t.thread_id, u.login FROM (SELECT project_id, thread_id, max_by(actor_id, event_pos) AS closer_id
+      FROM timeline_full WHERE event='closed' AND thread_type='pr' GROUP BY 1, 2) t
     LEFT JOIN user_account u ON u.user_id=t.closer_id""",
 )
 def m12(t: Tables):
     closers = last_closer(t.timeline_full.filter("thread_type = 'pr'"))
     return lookup(closers, t.user_account, {"closer_id": "user_id"}, {"login": "login"}).select(
-        "thread_id", "login"
+        "project_id", "thread_id", "login"
     )
 
 
@@ -424,7 +422,7 @@ LINKS = f"""texts AS (SELECT project_id, pr_id, body FROM pr_comment
       WHERE x.issue_id<>x.pr_id)"""
 
 
-def _links(t: Tables):
+def written_links(t: Tables):
     titles = t.pull_request.select(
         "project_id", "pr_id", F.concat("labels", F.lit(" #"), F.col("pr_id") + 7).alias("body")
     )
@@ -435,12 +433,10 @@ def _links(t: Tables):
 
 @query("m18_pr_issue_links", f"WITH {LINKS} SELECT * FROM link")
 def m18(t: Tables):
-    return _links(t)
+    return written_links(t)
 
 
-@query(
-    "m19_pre_communication",
-    """WITH own AS (SELECT DISTINCT project_id, thread_id, thread_id%20 AS owner_id
+PRE_COMMUNICATION = """WITH own AS (SELECT DISTINCT project_id, thread_id, thread_id%20 AS owner_id
       FROM timeline_full WHERE thread_type='issue'),
     au AS (SELECT CAST(pr_id%25 AS INT) AS project_id, pr_id, author_id%20 AS author_id
       FROM pull_request),
@@ -456,9 +452,10 @@ def m18(t: Tables):
     SELECT DISTINCT b.project_id, b.thread_id, b.pr_id, b.author_id=o.owner_id AS same_owner
     FROM bypr b JOIN own o ON o.project_id=b.project_id AND o.thread_id=b.thread_id
     WHERE EXISTS (SELECT 1 FROM seen s WHERE s.project_id=b.project_id
-      AND s.thread_id=b.thread_id AND s.u=b.author_id AND s.pos<b.event_pos)""",
-)
-def m19(t: Tables):
+      AND s.thread_id=b.thread_id AND s.u=b.author_id AND s.pos<b.event_pos)"""
+
+
+def _pre_communication(t: Tables, thread_type: str):
     events = (
         t.timeline_full.withColumn("actor_id", F.col("actor_id") % 20)
         .withColumn("ref_pr_id", F.col("event_pos"))
@@ -466,7 +463,7 @@ def m19(t: Tables):
             "ref_type", F.when(F.col("event_pos") % 3 == 0, "pull_request").otherwise("issue")
         )
     )
-    owners = events.filter("thread_type = 'issue'").select(
+    owners = events.filter(F.col("thread_type") == thread_type).select(
         "project_id", "thread_id", (F.col("thread_id") % 20).alias("owner_id")
     ).distinct()
     authors = t.pull_request.select(
@@ -474,7 +471,23 @@ def m19(t: Tables):
         "pr_id",
         (F.col("author_id") % 20).alias("author_id"),
     )
-    return timeline.pre_communication(events, owners, authors)
+    return timeline.pre_communication(events, owners, authors, thread_type)
+
+
+@query("m19_pre_communication", PRE_COMMUNICATION)
+def m19(t: Tables):
+    return _pre_communication(t, "issue")
+
+
+@query(
+    "m19_pre_communication_of_prs",
+    PRE_COMMUNICATION.replace("thread_type='issue'", "thread_type='pr'").replace(
+        "AND s.u=b.author_id AND s.pos<b.event_pos)",
+        "AND s.u=b.author_id AND s.pos<b.event_pos) AND b.pr_id<>b.thread_id"
+    ),
+)
+def m19_prs(t: Tables):
+    return _pre_communication(t, "pr")
 
 
 def _modularity_sql(limit: int, scope: str) -> str:
@@ -553,10 +566,17 @@ def m22(t: Tables):
     return classify.fork_commit_counts(t.stored("dag_edge"), t.stored("dag_head"))
 
 
+def _on_forks_that_went_on(sql: str) -> str:
+    """The same SQL on long histories, for forks and upstreams that both went on after they parted."""
+    return sql.replace("dag_edge", "deep_edge").replace("dag_head", "evolved_head").replace(" dag ", " deep_dag ")
+
+
 @query(
     "m23_fork_evolution",
-    """WITH c AS (SELECT l_suppkey AS pair_id, l_shipdate AS day, CASE l_linenumber WHEN 1 THEN 'only_F'
-      WHEN 2 THEN 'only_U' WHEN 3 THEN 'F2U' WHEN 4 THEN 'U2F' ELSE 'before' END AS k FROM lineitem),
+    f"""WITH RECURSIVE {_on_forks_that_went_on(DISTANCE)},
+    c AS (SELECT c.pair_id, c.commit_at AS day,
+      CASE WHEN CAST(c.commit_at AS DATE)<=f.forked_on THEN 'before' ELSE c.category END AS k
+      FROM class c LEFT JOIN evolved_fork_point f ON f.pair_id=c.pair_id),
     p AS (SELECT pair_id, min(day) FILTER (k='before') AS fork_point,
       max(day) FILTER (k IN ('only_F', 'F2U')) AS latest_fork_at,
       max(day) FILTER (k IN ('only_U', 'U2F')) AS latest_upstream_at,
@@ -570,16 +590,7 @@ def m22(t: Tables):
       AND latest_upstream_at IS NOT NULL""",
 )
 def m23(t: Tables):
-    names = {1: "only_F", 2: "only_U", 3: "F2U", 4: "U2F"}
-    category = F.lit("before")
-    for number, name in names.items():
-        category = F.when(F.col("l_linenumber") == number, name).otherwise(category)
-    commits = t.lineitem.select(
-        F.col("l_suppkey").alias("pair_id"),
-        F.col("l_shipdate").alias("committed_at"),
-        category.alias("category"),
-    )
-    return evolution.evolution_records(commits)
+    return evolution.evolution_records(dated_categories(t, "deep", "evolved"))
 
 
 CONTRIBUTION = """k AS (SELECT DISTINCT parent_id, repo_id, sha, category FROM fork_commit),

@@ -79,7 +79,7 @@ SELECT event_id%300 AS thread_id, event_id AS event_pos, user_id AS actor_id,
 FROM events""",
     "timeline_full": """
 SELECT t.thread_id, t.event_pos, t.actor_id, t.event, t.ref_pr_id,
-  CAST(t.thread_id%25 AS INT) AS project_id,
+  CAST((t.thread_id + t.event_pos%7%2)%25 AS INT) AS project_id,
   CASE WHEN t.thread_id%2=0 THEN 'pr' ELSE 'issue' END AS thread_type,
   CASE t.actor_id%5 WHEN 0 THEN 'MEMBER' WHEN 1 THEN 'NONE' WHEN 2 THEN 'contributor'
     WHEN 3 THEN 'OWNER' ELSE '' END AS association,
@@ -133,6 +133,14 @@ SELECT pair_id, sha, parent2, 1 FROM deep_dag WHERE parent2 IS NOT NULL""",
     "deep_head": """
 SELECT pair_id, CASE place%7 WHEN 0 THEN 'fork' ELSE 'upstream' END AS side, max_by(sha, place) AS sha
 FROM deep_commit WHERE place%7=0 OR place%28=6 GROUP BY pair_id, CASE place%7 WHEN 0 THEN 'fork' ELSE 'upstream' END""",
+    "evolved": """
+SELECT pair_id, max(place)-2 AS top FROM deep_commit WHERE place%7=4 GROUP BY pair_id""",
+    "evolved_head": """
+SELECT d.pair_id, CASE WHEN d.place=e.top THEN 'upstream' ELSE 'fork' END AS side, d.sha
+FROM evolved e JOIN deep_commit d ON d.pair_id=e.pair_id AND d.place IN (e.top, e.top+2, e.top-12)""",
+    "evolved_fork_point": """
+SELECT d.pair_id, d.commit_at AS forked_at, CAST(d.commit_at AS DATE) AS forked_on
+FROM evolved e JOIN deep_commit d ON d.pair_id=e.pair_id AND d.place=e.top-20""",
     "side_head": """
 SELECT pair_id, CASE WHEN sha%2=0 THEN 'upstream' ELSE 'fork' END AS side,
   max_by(sha, @STRUCT(commit_at|sha)@) AS sha, max(commit_at) AS head_at
@@ -155,7 +163,8 @@ SELECT p.project_id, p.pr_id, 0 AS comment_pos, p.commenter_id, p.body FROM pr_t
 UNION ALL
 SELECT p.project_id, p.pr_id, l.l_linenumber,
   l.l_suppkey*7%1000,
-  CASE l.l_linenumber%4 WHEN 0 THEN concat('this is a dup of #', CAST(p.pr_id+3 AS STRING))
+  CASE l.l_linenumber%4 WHEN 0 THEN concat('this is a dup of #', CAST(p.pr_id+3 AS STRING),
+      CASE WHEN p.pr_id%3=0 THEN concat(' see 89abcde ', CAST(p.pr_id AS STRING)) ELSE '' END)
     WHEN 1 THEN 'please rebase' WHEN 2 THEN concat('better solution in #', CAST(p.pr_id+4 AS STRING))
     ELSE 'needs tests' END
 FROM pull_request p JOIN lineitem l ON l.l_orderkey=p.pr_id""",

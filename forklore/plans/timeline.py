@@ -89,17 +89,20 @@ def core_team(timeline: DataFrame, authors: DataFrame) -> DataFrame:
     )
 
 
-def pre_communication(timeline: DataFrame, owners: DataFrame, pr_authors: DataFrame) -> DataFrame:
-    """Pull requests whose author had a part in the issue before referencing it.
+def pre_communication(
+    timeline: DataFrame, owners: DataFrame, pr_authors: DataFrame, thread_type: str = "issue"
+) -> DataFrame:
+    """Pull requests whose author had a part in the thread before referencing it.
 
-    ``project_id, thread_id, pr_id, same_owner``. Part in an issue have: its owner from
+    ``project_id, thread_id, pr_id, same_owner``. Threads are issues, or pull requests with ``thread_type`` ``pr``, where
+    a request that names itself does not count. Part in a thread have: its owner from
     the start, the actor of each cross-reference, and the author of each referencing
     pull request. ``owners(project_id, thread_id, owner_id)``, ``pr_authors(project_id,
     pr_id, author_id)``.
     """
     issue = ["project_id", "thread_id"]
     references = timeline.filter(
-        (F.col("event") == "cross-referenced") & (F.col("thread_type") == "issue")
+        (F.col("event") == "cross-referenced") & (F.col("thread_type") == thread_type)
     ).select(*issue, "event_pos", "actor_id", "ref_pr_id", "ref_type")
     by_pr = (
         references.filter(F.col("ref_type") == "pull_request")
@@ -117,9 +120,11 @@ def pre_communication(timeline: DataFrame, owners: DataFrame, pr_authors: DataFr
         .unionByName(by_pr.select(*issue, "author_id", F.col("event_pos").alias("position")))
         .filter(F.col("author_id").isNotNull())
     )
+    found = seen_before(by_pr, sightings, issue, "author_id")
+    if thread_type == "pr":
+        found = found.filter(F.col("pr_id") != F.col("thread_id"))
     return (
-        seen_before(by_pr, sightings, issue, "author_id")
-        .join(owners, issue, "left")
+        found.join(owners, issue, "left")
         .select(
             *issue,
             "pr_id",
