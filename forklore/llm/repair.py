@@ -113,14 +113,19 @@ class Search:
 
 
 def crossing(rows: list[tuple[str, str | None]]) -> list[int | None]:
-    """Least cost from each state before ``rows`` to each state behind them, 16 numbers; None for no way."""
-    costs = []
+    """Least cost from each state before ``rows`` to each state behind them, 16 numbers; None for no way.
+
+    No state leads back to the first two: to be in them behind a block is to delete all rows, but for a kept s.
+    """
+    deleted = DELETE * len(rows)
+    kept = [CUT if wrong else 0 for initial, wrong in rows if initial == "s" and wrong not in ("blank", "duplicate")]
+    through = {(START, START): deleted, (SYSTEM, SYSTEM): deleted}
+    if kept:
+        through[START, SYSTEM] = deleted - DELETE + min(kept)
     for entry in STATES:
-        for leave in STATES:
-            ahead = [0 if state == leave else None for state in STATES]
-            found = Search(rows, ahead, last=False).run(entry)
-            costs.append(found and found[0])
-    return costs
+        for leave in (USER, ASSISTANT):
+            through[entry, leave] = Search(rows, [0 if s == leave else None for s in STATES], last=False).run(entry)[0]
+    return [through.get((entry, leave)) for entry in STATES for leave in STATES]
 
 
 def _before(costs: list[int | None], ahead: list[int | None]) -> list[int | None]:
@@ -177,6 +182,8 @@ def costs_to_end(rows: DataFrame, block: int) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
     row = F.struct("pos", F.left("role", F.lit(1)).alias("initial"), "fault")
     blocks = rows.groupBy("conv_id", F.floor(F.col("pos") / block).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    # few bytes and much work: dealt to all tasks, whatever the bytes
+    blocks = blocks.repartition(shuffle_partitions(rows.sparkSession), "conv_id", "block")
     crossed = blocks.mapInArrow(_crossings, f"conv_id {kind}, block long, costs array<int>")
     dealt = crossed.repartition(shuffle_partitions(rows.sparkSession), "conv_id")
     dealt = dealt.sortWithinPartitions("conv_id", F.desc("block"))
