@@ -27,17 +27,21 @@ from forklore.session import materialize
 
 END = (1).to_bytes(4, "little")
 _CACHE_WORDS = 800_000
-_STOP = re.compile(r"(?<=[^\W_])[.,](?=[ \n]|$)")
+#: A stop or comma after a plain letter or digit (ASCII, Latin, Greek, Cyrillic): one that normalization leaves a single letter.
+#: The capital dotted I is none, as it gains a combining mark in lower case.
+_STOP = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-ωЀ-ҁҊ-ԯ])[.,](?=[ \n]|$)")
+_SPECIAL = "<|"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer lower-cases, drops white space and never joins what it parts, and letters and digits part from
+    The tokenizer lower-cases, drops white space and never joins what it parts, and plain letters and digits part from
     the stop or comma after them. So a text's ids are those of its words, stops and commas between spaces and line feeds, one
     after the other. Words repeat: their ids are kept in two stores; when the newer is full it
-    becomes the older, and what is still in use moves on.
+    becomes the older, and what is still in use moves on. Literals of special tokens have their special ids, as the
+    tokenizer gives them by itself; they are case-sensitive, so texts that may hold one keep their case here.
     """
 
     def __init__(self, path: str):
@@ -45,7 +49,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,7 +72,8 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = _STOP.sub(r" \g<0>", text.encode().lower().decode()).replace("\n", " ").split(" ")
+        cased = text if _SPECIAL in text else text.encode().lower().decode()
+        words = _STOP.sub(r" \g<0>", cased).replace("\n", " ").split(" ")
         if len(self.known) > _CACHE_WORDS:
             self.known, self.older = {}, self.known
         try:

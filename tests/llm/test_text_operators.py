@@ -174,7 +174,6 @@ def test_packing(spark, odd, none, sf_dir):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.tokenizer_path())
-    whole.encode_special_tokens = True
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     own = docs.unionByName(odd.select("doc_id", "text"))
     got = packing.pack(own, capacity=512).toPandas()
@@ -198,15 +197,30 @@ def test_encoder_splits_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.tokenizer_path())
-    whole.encode_special_tokens = True
     own = packing.WordEncoder(packing.tokenizer_path())
     for text in [
         "a\tb   c d<|endoftext|> É x\x1cy", "ΟΔΟΣ ΣΑΣ. ², Ⅷ. ①.", "don't. we'll, ¼. 12345. 日本語。", "a.. b., c...\nd.",
-        "İstanbul. ISTANBUL, ́. _. a_. -.", "...", ". ,", "a.\x0bb,\rc",
+        "İstanbul. ISTANBUL, ́. _. a_. -.", "...", ". ,", "a.\x0bb,\rc", "aİ. b", "aİ, b", "क़. ज़,", "<|ENDOFTEXT|>. The <|startoftext|>.",
     ]:
         assert own.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_encoder_equals_the_tokenizer_on_random_strings():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    own = packing.WordEncoder(packing.tokenizer_path())
+    parts = [
+        *"abzAZ09 \n\t\r.,'!?-_<|>", "  ", ". ", ", ", ".\n", "İ", "ı", "ß", "Σ", "ς", "é", "e\u0301", "\u0307", "क़", "\u093c", "日", "語",
+        "²", "Ⅷ", "①", "ﬁ", "Ω", "Å", "ב\u05bc", "שׁ", "Ж", "ё", "е\u0308", "😀", "\u200d", "\u00a0", "\u2028", "\x1c", "\x85", "\ufeff", "'s", "'LL", "don't",
+        "word", "The", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "ǅ", "ᾳ", "\U00010400", "ա", "և", "ꭰ", "Ა", "가", "ᄀ\u1161",
+    ]
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(20_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, ids in zip(texts, want, strict=True) if own.encode(t) != ids] == []
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_holds_every_piece(seed):
     rng = random.Random(seed)
