@@ -58,14 +58,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back.
+def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and read it back, in folders by the values of ``by`` if given.
 
     Cuts the lineage of iterative operators. The files outlive lost executors, are
     pruned by column when read again, and give the optimizer true sizes.
     """
     path = new_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
