@@ -172,15 +172,18 @@ def search(
     Every row is in every table. A shard holds buckets of one table, about ``rows_a_shard`` rows in all; a bucket with more
     is cut into parts that lie in different shards, and a query goes to all of them. A shard
     scores a block of queries at a time and sends each query's best k, as far as they can still be among the k of all. They are
-    merged over shards and tables: rows found by several tables count once. Vectors that are null, zero or hold null or non-finite
-    components, rows without a vec_id, and vectors of another length than most take no part. Rows that
-    share a vec_id are one candidate, with its best score. An empty table gives an empty result.
+    merged over shards and tables: rows found by several tables count once. A query that found fewer than k rows, though
+    there are more, goes to all buckets of the first table, which holds every row; so each gets k, or all there are.
+    Vectors that are null, zero or hold null or non-finite components, rows without a vec_id, and vectors of
+    another length than most take no part. Rows that share a vec_id are one candidate, with its best score.
+    An empty table gives an empty result.
     """
     base, total = materialize_counted(vectors(rows), "vectors", None)
     made = fit(base, total, k, tables, recall, width, rows_a_bucket, sample)
     out = "query_id long, vec_id long, score double"
     if made is None:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    candidates = base.agg(F.count_distinct("vec_id")).first()[0] - 1
     n_shards = max(1, -(-total // rows_a_shard))
     n_blocks = max(1, -(-total // every // queries_a_block))
 
@@ -227,11 +230,11 @@ def search(
     wave = F.floor(F.log2(index + 1)).cast("int")
     waves = int(np.floor(np.log2(tables * n_shards))) + 1
     members = base.mapInPandas(hashed, deal).withColumn("wave", wave)
-    members = materialize(members, "members").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    members = materialize(members, "members", "wave")
     asked = base.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
     wanted = asked.mapInPandas(probing, "tab int, shard long, query_id long, q array<double>, buckets array<long>")
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    wanted = materialize(wanted.withColumn("wave", wave), "wanted")
+    wanted = materialize(wanted.withColumn("wave", wave), "wanted", "wave")
 
     def score(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(held) or not len(asking):
@@ -243,7 +246,7 @@ def search(
         out = []
         bars = asking["bar"].to_numpy()
         for nth, (name, q, buckets) in enumerate(asking[["query_id", "q", "buckets"]].itertuples(index=False)):
-            met = np.repeat(np.isin(here, buckets), sizes)
+            met = slice(None) if buckets is None else np.repeat(np.isin(here, buckets), sizes)
             some = rows[met]
             got, found = top(some @ q, ids[met], some, q, int(name), k)
             fair = found >= bars[nth]
@@ -252,20 +255,37 @@ def search(
 
     keys = ["tab", "shard", "block"]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def met(held: DataFrame, asking: DataFrame, kept: DataFrame | None) -> DataFrame:
+        """``kept`` with what the asking rows find. Members go to the blocks of queries that ask their shard, and no others."""
+        pairs = asking.select(*[F.col(c).alias(c) for c in keys]).distinct()
+        here = held.join(pairs, ["tab", "shard"]).select(*keys, "bucket", "vec_id", "v").groupBy(*keys)
+        asking = asking.select(*keys, "query_id", "q", "buckets", "bar").groupBy(*keys)
+        found = here.cogroup(asking).applyInPandas(score, out)
+        if kept is not None:
+            found = found.unionByName(kept.select("query_id", "vec_id", "score"))
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return materialize(once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "nearest")
+
+    none = F.lit(float("-inf"))
     kept = None
     for n in range(waves):
         now = wanted.where(F.col("wave") == n)
         if kept is None:
-            now = now.withColumn("bar", F.lit(float("-inf")))
+            now = now.withColumn("bar", none)
         else:
             bar = kept.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
             now = now.join(bar, "query_id", "left").fillna(float("-inf"), ["bar"])
-        here = members.where(F.col("wave") == n).select(*keys, "bucket", "vec_id", "v").groupBy(*keys)
-        now = now.select(*keys, "query_id", "q", "buckets", "bar").groupBy(*keys)
-        found = here.cogroup(now).applyInPandas(score, out)
-        if kept is not None:
-            found = found.unionByName(kept.select("query_id", "vec_id", "score"))
-        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        ranked = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        kept = materialize(ranked, "nearest")
+        kept = met(members.where(F.col("wave") == n), now, kept)
+    full = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, candidates))
+    short = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(full, "query_id", "left_anti")
+    short, lacking = materialize_counted(short, "short", None)
+    if lacking and candidates:
+        rest = short.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-lacking // queries_a_block)))).cast("int")
+        rest = rest.select(
+            F.lit(0).alias("tab"), "shard", block.alias("block"), "query_id", "q",
+            F.lit(None).cast("array<long>").alias("buckets"), none.alias("bar"),
+        )
+        kept = met(members.where(F.col("tab") == 0), rest, kept)
     return kept.select("query_id", "rank", "vec_id", "score")

@@ -94,18 +94,28 @@ def hashed_sample(df: DataFrame, key: Column, total: int, most: int) -> DataFram
 
 
 def in_blocks(dealt: DataFrame, shard: str, own: Column, crowd: int) -> DataFrame:
-    """Cut shards of more than ``crowd`` rows into blocks; adds ``block``.
+    """Cut shards of more than ``crowd`` rows into groups of two blocks each; adds ``block`` (the group) and ``inner``.
 
     ``dealt`` has ``home``: whether a row belongs to its shard or visits it. Rows at home meet each other and all visitors.
-    Block i holds its own rows as homes; the visitors and the homes of earlier blocks visit it.
-    So each pair still meets once, and no block grows with the shard's own pairs.
+    Homes and visitors are cut into blocks of about ``crowd`` rows, by the hash ``own``. Each block of homes forms a group of
+    its own, in which its rows meet each other (``inner``), and one with each later block and each block of visitors, in which
+    only rows of different blocks meet. So each pair meets once, and no group holds more than two blocks.
     """
-    sizes = dealt.groupBy(shard).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > crowd)
-    sizes = sizes.select(shard, F.ceil(F.col("_rows") / crowd).cast("int").alias("_n"))
-    # a row of two numbers for each crowded shard; how many shards there are is fixed when the index is fitted
-    spread = dealt.join(F.broadcast(sizes), shard, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-    spread = spread.withColumn("_own", F.pmod(own, F.col("_n")).cast("int"))
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    spread = spread.where(~F.col("home") | (F.col("block") >= F.col("_own")))
-    home = F.col("home") & (F.col("block") == F.col("_own"))
-    return spread.withColumn("home", home).drop("_n", "_own")
+    sizes = dealt.groupBy(shard).agg(F.count_if("home").alias("_h"), F.count_if(~F.col("home")).alias("_v"))
+    sizes = sizes.where(F.col("_h") + F.col("_v") > crowd).select(
+        shard,
+        F.greatest(F.ceil(F.col("_h") / crowd), F.lit(1)).cast("int").alias("_homes"),
+        F.ceil(F.col("_v") / crowd).cast("int").alias("_visitors"),
+    )
+    # a row of three numbers for each crowded shard; how many shards there are is fixed when the index is fitted
+    spread = dealt.join(F.broadcast(sizes), shard, "left")
+    homes, visitors = F.coalesce("_homes", F.lit(1)), F.coalesce("_visitors", F.lit(0))
+    later = homes + F.pmod(own, F.greatest(visitors, F.lit(1)))
+    mine = F.when(F.col("home"), F.pmod(own, homes)).when(F.col("_homes").isNull(), 0).otherwise(later).cast("int")
+    spread = spread.withColumn("_own", mine)
+    others = F.when(F.col("home"), homes + visitors).otherwise(homes) - 1
+    spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0), others)))
+    first, second = F.least("_own", "_other"), F.greatest("_own", "_other")
+    spread = spread.withColumn("block", first.cast("long") * (1 << 31) + second).withColumn("inner", first == second)
+    home = F.col("home") & (F.col("_other") >= F.col("_own"))
+    return spread.withColumn("home", home).drop("_homes", "_visitors", "_own", "_other")

@@ -141,32 +141,32 @@ def near_duplicates(
     occurs. The codebooks are fitted on at most about ``sample`` vectors, the reach on ``probes``. Each
     vector is at home in one cell and visits later cells within reach, where it is compared in
     double precision; so a pair meets once at most. Cells of more than ``crowd`` rows are cut into
-    blocks. A cell sends counts and stars, not pairs.
+    blocks, of which a task holds two. A cell sends counts and stars, not pairs.
 
     Vectors that are null, zero or hold null or non-finite components, or have another length than most,
     link with nothing: 0 links, own component, kept. So do rows without a vec_id (component null). Rows that
-    repeat a vec_id are separate vectors of one component. An empty table gives an empty result.
+    repeat a vec_id are separate vectors, each with its own links and component. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     hashes = F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")
     base = materialize(vectors(rows).select("vec_id", "v", *hashes), "vectors")
-    nodes, total = materialize_counted(
-        base.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n")),
-        "nodes", None,
-    )
+    each = base.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    # numbers are written with the rows, so they stay what they are; vec_ids may repeat with unlike vectors
+    nodes, total = materialize_counted(each.withColumn("node", F.monotonically_increasing_id()), "nodes", None)
     ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not total:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                           F.lit(True).alias("kept"))
-    picked = hashed_sample(nodes.select("rep", "v"), F.col("rep"), total, sample).toPandas().sort_values("rep")
+    picked = hashed_sample(nodes.select("rep", "h1", "v"), F.col("rep"), total, sample).toPandas().sort_values(["rep", "h1"])
     if not len(picked):
-        picked = nodes.orderBy("rep").limit(1).select("rep", "v").toPandas()
+        picked = nodes.orderBy("rep", "h1").limit(1).select("rep", "v").toPandas()
     points = np.stack(picked["v"].to_numpy())
     if points.shape[1] < 2:
         index = MultiIndex(np.zeros((1, 0)), np.zeros((1, points.shape[1])))
     else:
         index = MultiIndex.fit(points, int(np.clip(np.sqrt(total / rows_a_cell), 1, 1024)))
-        trial = hashed_sample(nodes, F.xxhash64("rep"), total, probes).select("rep", "v").toPandas().sort_values("rep")
+        trial = hashed_sample(nodes, F.xxhash64("rep"), total, probes).select("rep", "h1", "v").toPandas()
+        trial = trial.sort_values(["rep", "h1"])
         trial = np.stack(trial["v"].to_numpy()) if len(trial) else points[:probes]
         index.reach = _fit_reach(index, nodes.select("v"), trial, least, recall)
 
@@ -176,24 +176,24 @@ def near_duplicates(
                 part = batch.iloc[start : start + 1024]
                 who, cell, home = index.traverse(np.stack(part["v"].to_numpy()))
                 yield pd.DataFrame({
-                    "shard": cell, "home": home, "rep": part["rep"].to_numpy()[who], "n": part["n"].to_numpy()[who],
+                    "shard": cell, "home": home, "node": part["node"].to_numpy()[who], "n": part["n"].to_numpy()[who],
                     "v": part["v"].to_numpy()[who],
                 })
 
-    nodes_dealt = nodes.select("rep", "n", "v").repartition(shuffle_partitions(spark))
-    dealt = nodes_dealt.mapInPandas(deal, "shard long, home boolean, rep long, n long, v array<double>")
-    dealt = in_blocks(materialize(dealt, "cells"), "shard", F.xxhash64("rep"), crowd)
+    nodes_dealt = nodes.select("node", "n", "v").repartition(shuffle_partitions(spark), "node")
+    dealt = nodes_dealt.mapInPandas(deal, "shard long, home boolean, node long, n long, v array<double>")
+    dealt = in_blocks(materialize(dealt, "cells"), "shard", F.xxhash64("node"), crowd)
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["home", "rep"], ascending=[False, True])
-        held = int(cell["home"].sum())
+        cell = cell.sort_values(["home", "node"], ascending=[False, True])
+        held, inner = int(cell["home"].sum()), bool(cell["inner"].iloc[0])
         rows, weight = np.stack(cell["v"].to_numpy()), cell["n"].to_numpy()
         # scaled first, so that no square overflows
         rows = rows / np.abs(rows).max(1, keepdims=True)
         norms = np.sqrt((rows**2).sum(1))
         links = np.zeros(len(rows), np.int64)
         us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for start in range(0, len(rows), 1024):
+        for start in range(0 if inner else held, len(rows), 1024):
             some = slice(start, min(start + 1024, len(rows)))
             cosine = rows[some] @ rows[:held].T / (norms[some, None] * norms[None, :held])
             a, b = np.nonzero(cosine >= least)
@@ -208,18 +208,18 @@ def near_duplicates(
         root = np.arange(len(rows))
         root[us[0]] = vs[0]
         met = np.flatnonzero(links)
-        reps = cell["rep"].to_numpy()
-        return pd.DataFrame({"u": reps[met], "v": reps[root[met]], "links": links[met]})
+        node = cell["node"].to_numpy()
+        return pd.DataFrame({"u": node[met], "v": node[root[met]], "links": links[met]})
 
     found = dealt.groupBy("shard", "block").applyInPandas(compare, "u long, v long, links long")
     found = materialize(found, "cell_links")
-    counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select("u", "v")).withColumnRenamed("node", "rep")
-    named = nodes.select("h1", "h2", "rep", "n").join(counts, "rep", "left").join(roots, "rep", "left")
-    named = named.select(
-        "h1", "h2",
-        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"),
+    counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    roots = connected_components(found.select("u", "v"))
+    named = nodes.select("h1", "h2", "node", "rep", "n").join(counts, "node", "left").join(roots, "node", "left")
+    named = named.withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "root").select(
+        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
     )
     linked = base.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     slim = rows.select(

@@ -135,10 +135,10 @@ def settle(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def ring_links(points: np.ndarray, home: np.ndarray, mate: np.ndarray, reach: int, block: int = 512):
+def ring_links(points: np.ndarray, home: np.ndarray, mate: np.ndarray, reach: int, block: int = 512, inner: bool = True):
     """(node, least node) of the components among ``points`` within ``reach`` bits.
 
-    Compares ``home`` with itself and ``mate`` (both masks). Rings around a vantage: only those at most ``reach``
+    Compares ``home`` with ``mate`` (both masks), and with itself if ``inner``. Rings around a vantage: only those at most ``reach``
     apart can hold partners. Links are folded into stars as they come, so memory
     follows the number of points and not of pairs.
     """
@@ -150,7 +150,9 @@ def ring_links(points: np.ndarray, home: np.ndarray, mate: np.ndarray, reach: in
     order = np.argsort(ring, kind="stable")
     held, ring = held[order], ring[order]
     values = points[held]
-    ask = np.flatnonzero(home | mate)
+    ask = np.flatnonzero(home | mate if inner else mate)
+    if not len(ask):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     around = np.bitwise_count(points[ask] ^ vantage).astype(np.int64)
     order = np.argsort(around, kind="stable")
     ask, around = ask[order], around[order]
@@ -185,7 +187,7 @@ def fingerprint_links(
     """(u, v): links that connect all distinct fingerprints (``fp``) within ``reach`` bits of another.
 
     ``total`` is the number of rows. The tree is fitted on at most about ``sample`` fingerprints,
-    picked by hash. Shards with more than ``crowd`` fingerprints are cut into blocks.
+    picked by hash. Shards with more than ``crowd`` fingerprints are cut into blocks, of which a task holds two.
     """
     spark = distinct.sparkSession
     picked = hashed_sample(distinct.select("fp"), F.col("fp"), total, sample)
@@ -207,7 +209,7 @@ def fingerprint_links(
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         points = shard["fp"].to_numpy().view(np.uint64)
         home = shard["home"].to_numpy()
-        node, least = ring_links(points, home, ~home, reach)
+        node, least = ring_links(points, home, ~home, reach, inner=bool(shard["inner"].iloc[0]))
         signed = points.view(np.int64)
         return pd.DataFrame({"u": signed[node], "v": signed[least]})
 

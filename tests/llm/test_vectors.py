@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from forklore.llm import ann, multiindex
+from forklore.llm.common import in_blocks
 from forklore.llm.simhash import settle
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, n long, shard int"
@@ -60,6 +62,36 @@ def test_search_of_few_rows(spark):
     assert ann.search(frame(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None)])).count() == 1
 
 
+@pytest.mark.parametrize("n", [3, 10, 21, 30])
+def test_every_query_gets_all_there_are(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(n)]
+    got = ann.search(frame(spark, rows), every=2, rows_a_bucket=1, tables=1, recall=0.5, sample=3).toPandas()
+    by = np.stack([v for _, v in rows])
+    for i in range(0, n, 2):
+        mine = got[got["query_id"] == i].sort_values("rank")
+        order = [j for j in np.argsort(-(by * by[i]).sum(1), kind="stable") if j != i][:20]
+        assert len(mine) == min(20, n - 1) and (n > 21 or mine["vec_id"].tolist() == order)
+
+
+def test_vectors_of_mixed_length_get_full_results(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=16) * 10.0 ** rng.integers(-3, 3)).tolist()) for i in range(600)]
+    got = ann.search(frame(spark, rows), recall=0.5, rows_a_bucket=20, rows_a_shard=100, queries_a_block=4).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == 30
+
+
+def test_groups_hold_two_blocks(spark):
+    rows = spark.range(4000).selectExpr("id % 2 shard", "id % 3 > 0 or id % 2 = 1 home", "id")
+    got = in_blocks(rows, "shard", F.xxhash64("id"), 300)
+    assert got.groupBy("shard", "block").count().agg({"count": "max"}).first()[0] <= 2 * 1.2 * 300
+    pairs = got.alias("a").join(got.alias("b"), ["shard", "block"]).where(
+        "a.home and (not b.home or a.inner and a.id < b.id)"
+    ).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v"))
+    met = rows.alias("a").join(rows.alias("b"), "shard").where("a.home and (not b.home or a.id < b.id)")
+    assert pairs.count() == pairs.distinct().count() == met.count()
+
+
 @pytest.mark.parametrize("options", [{}, {"rows_a_cell": 8, "crowd": 30}])
 def test_near_duplicates(spark, pairs, options):
     got = multiindex.near_duplicates(frame(spark, pairs), **options).toPandas().sort_values("vec_id")
@@ -82,5 +114,9 @@ def test_near_duplicates_of_few_rows(spark):
     assert multiindex.near_duplicates(frame(spark, [])).count() == 0
     none = multiindex.near_duplicates(frame(spark, [(1, None), (None, [1.0, 1.0])])).collect()
     assert sorted((r["vec_id"] is None, r["n_links"]) for r in none) == [(False, 0), (True, 0)]
+    twice = multiindex.near_duplicates(frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in twice.collect()) == [
+        (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)
+    ]
     got = multiindex.near_duplicates(frame(spark, [(3, [1.0, 1.0]), (4, [2.0, 2.0]), (3, [1.0, 1.0])])).collect()
     assert all(r["n_links"] == 2 and r["component_id"] == 3 for r in got)
