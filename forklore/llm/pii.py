@@ -18,13 +18,16 @@ TITLES_FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "госпож
 TITLES_ANY = ["Dr", "Prof"]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
+#: Words before a secret; between them and it stand an equals sign or a colon, spaces and quotes.
+_LABELS = r"(?:password|passwd|secret|api_key|token)"
+
 #: Kind of entity and where it stands, in order of preference. No part repeats without bound before a fixed
 #: character, so long texts without a match cost linear time.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}+)(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|secret|api_key|token)[=:])[A-Za-z0-9_-]{6,64}+",
+    "secret": rf"(?<={_LABELS}[=:]|{_LABELS}(?: = |: |\": |\": \"| = \"|=\"))[A-Za-z0-9_-]{{6,}}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -60,7 +63,7 @@ def _kind(mention: Column) -> Column:
 
 
 def _entities(mention: Column, kind: Column) -> Column:
-    """The entities of a mention, as an array of (kind, value)."""
+    """The entities of a mention, as an array of (kind, value, gender); the gender is what a title tells of a given name."""
     digits = F.regexp_replace(mention, r"\D", "")
     value = (
         F.when(kind == "email", F.lower(mention))
@@ -71,10 +74,11 @@ def _entities(mention: Column, kind: Column) -> Column:
     titled = lambda titles: mention.rlike("^(?:" + "|".join(titles) + r")\.? ")
     gender = F.when(titled(TITLES_FEMALE), "f").when(titled(TITLES_MALE), "m").otherwise("n")
     words = F.slice(F.split(mention, " "), 2, 2)
-    family = F.struct(F.lit("family").alias("kind"), F.element_at(words, -1).alias("value"))
-    given = F.struct(F.concat(F.lit("given_"), gender).alias("kind"), F.element_at(words, 1).alias("value"))
+    no = F.lit("n").alias("gender")
+    family = F.struct(F.lit("family").alias("kind"), F.element_at(words, -1).alias("value"), no)
+    given = F.struct(F.lit("given").alias("kind"), F.element_at(words, 1).alias("value"), gender.alias("gender"))
     named = F.when(F.size(words) == 2, F.array(given, family)).otherwise(F.array(family))
-    one = F.array(F.struct(kind.alias("kind"), value.alias("value")))
+    one = F.array(F.struct(kind.alias("kind"), value.alias("value"), no))
     return F.when(kind == "name", named).otherwise(one)
 
 
@@ -123,14 +127,17 @@ def _name(hexes: Column, kind: Column, value: Column, attempt: int) -> Column:
 
 def _secret(hexes: Column, value: Column, attempt: int) -> Column:
     """A secret of the same length and classes; from the eighth attempt on longer, for those of few or no letters and digits."""
-    more = [_pick("abcdefghijklmnopqrstuvwxyz", _number(hexes, 64 + i)) for i in range(attempt // 8)]
-    return F.concat(_like(value, hexes), *more)
+    return F.concat(_like(value, hexes), *_more(hexes, attempt))
+
+
+def _more(hexes: Column, attempt: int) -> list[Column]:
+    return [_pick("abcdefghijklmnopqrstuvwxyz", _number(hexes, 64 + i)) for i in range(attempt // 8)]
 
 
 def surrogate(kind: Column, value: Column, hexes: Column, attempt: int = 0) -> Column:
     """The value that stands for an entity, made from what :func:`_draw` drew for it in this attempt.
 
-    Names and secrets grow with the attempts, so that their number is not bounded by three syllables or a short format.
+    Names, secrets and addresses grow with the attempts, so that their number is not bounded by three syllables or a short format.
     """
     # a country code and an issuer's leading digit are kept, and a card's check digit is right again
     phone = _like(value, hexes, keep=1)
@@ -145,7 +152,7 @@ def surrogate(kind: Column, value: Column, hexes: Column, attempt: int = 0) -> C
         .when(kind == "key", _like(value, hexes, keep=4))
         .when(kind == "token", _like(value, hexes, lower="abcdef"))
         .when(kind == "iban", _like(value, hexes, keep=2))
-        .when(kind == "email", F.concat(_like(F.substring_index(value, "@", 1), hexes), F.lit("@"), _host(value, hexes)))
+        .when(kind == "email", F.concat(_like(F.substring_index(value, "@", 1), hexes), *_more(hexes, attempt), F.lit("@"), _host(value, hexes)))
         .when(kind.isin("ssn"), _like(value, hexes))
         .when(kind == "secret", _secret(hexes, value, attempt))
         .otherwise(_name(hexes, kind, value, attempt))
@@ -228,7 +235,7 @@ def pseudonymize(docs: DataFrame, secret: str = "surrogates") -> DataFrame:
     repeat are rewritten alike. An empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))
-    hint = F.col("t").rlike("[0-9@]| \\p{Lu}")
+    hint = F.col("t").rlike(rf"[0-9@]| \p{{Lu}}|{_LABELS}[\" ]{{0,2}}[=:]|sk-")  # one of these stands in every mention
     found = slim.where(hint).select("d", F.xxhash64("t").alias("h"), F.regexp_extract_all("t", F.lit(ANY), F.lit(0)).alias("m"))
     found = found.where(F.size("m") > 0).distinct().select("d", "h", F.posexplode("m").alias("nth", "mention"))
     found = materialize(found, "mentions")
@@ -236,7 +243,11 @@ def pseudonymize(docs: DataFrame, secret: str = "surrogates") -> DataFrame:
     each = each.withColumn("entities", _entities(F.col("mention"), F.col("kind")))
     each = materialize(each, "kinds")
     parts = each.select("mention", F.posexplode("entities").alias("nth", "e"))
-    names = assign(each.select(F.explode("entities").alias("e")).select("e.kind", "e.value"), secret)
+    # one entity whatever titles it has; f or m if any mention tells
+    told = parts.groupBy("e.kind", "e.value").agg(F.min("e.gender").alias("gender"))
+    sort = F.when(F.col("kind") == "given", F.concat(F.lit("given_"), "gender")).otherwise(F.col("kind"))
+    names = assign(told.select(sort.alias("kind"), "value"), secret)
+    names = names.select(F.regexp_replace("kind", "^given_.$", "given").alias("kind"), "value", "surrogate")
     named = parts.select("mention", "nth", "e.kind", "e.value").join(names, ["kind", "value"])
     ordered = F.array_sort(F.collect_list(F.struct("nth", "surrogate")))
     named = named.groupBy("mention").agg(F.transform(ordered, lambda x: x["surrogate"]).alias("s"))

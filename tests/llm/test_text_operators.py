@@ -282,6 +282,20 @@ def test_language_of_long_text_is_not_its_beginning():
     assert two.classify(" ".join(rng.choices(a, k=50) + rng.choices(b, k=2000)))[0] == "b"
 
 
+def test_short_samples_change_no_other_language(spark):
+    rng = random.Random(10)
+    spell = {"en": words(rng, 300, "abcdef"), "fr": words(rng, 300, "ghijkl"), "de": words(rng, 300, "mnopqr"), "it": words(rng, 40, "stuvwx")}
+    rows = [(lang, " ".join(rng.choices(spell[lang], k=n))) for lang, n in (("en", 100), ("fr", 100), ("de", 1500)) for _ in range(40)]
+    rows += [("it", " ".join(rng.choices(spell["it"], k=40))) for _ in range(12)] + [("xx", "ab cd ef")] * 4
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    made = langid.learn(docs)
+    sizes = {lang: len(raw) for lang, raw in made.dictionaries.items()}
+    assert sizes.keys() == {"en", "fr", "de", "it"} and sizes["en"] > 15_000 and sizes["de"] > 30_000 and sizes["it"] < sizes["en"]
+    for lang in sizes:
+        tries = [made.classify(" ".join(rng.choices(spell[lang], k=60))) for _ in range(20)]
+        assert sum(t[0] == lang for t in tries) >= 19 and all(0 <= t[1] <= 1 and 0 <= t[2] <= 1 for t in tries)
+
+
 def test_surrogates(spark, odd, none):
     texts = {
         1: "Mail bob.smith@acme.co.uk or BOB.SMITH@ACME.CO.UK, call +1 (787) 555-1710 / 1-787-555-1710.",
@@ -311,6 +325,26 @@ def test_surrogates(spark, odd, none):
     assert pii.pseudonymize(odd).count() == odd.count() and pii.pseudonymize(none).count() == 0
 
 
+def test_surrogates_leave_nothing_in_clear(spark):
+    long = "Zq7" * 24
+    texts = {
+        1: "my password=hunterhunter ok", 2: f"token={long} end", 3: f"sk-{long}{long}", 4: '{"password": "hunter22"}',
+        5: "mail x@a.b.c.d.e.f.g.h.i.j.kk.ll now", 6: "Frau Anna Weber und Dr Anna Weber.", 7: "password = hunterhunter",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    new = {r["row"]["doc_id"]: r["text"] for r in pii.pseudonymize(df, "k").collect()}
+    for real in ("hunter", "Zq7Zq7", ".kk", "x@a", "Anna", "Weber"):
+        assert not any(real in t for t in new.values()), real
+    names = re.match(r"Frau (\w+a) (\w+) und Dr (\w+) (\w+)\.", new[6])
+    assert names[1] == names[3] and names[2] == names[4] and new[1].split("=")[1] == new[7].split("= ")[1] + " ok"
+
+
+def test_crowded_short_addresses_stay_distinct(spark):
+    short = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.assign(spark.createDataFrame([("email", s) for s in short], "kind string, value string"), "k").collect()
+    assert len({r["surrogate"] for r in got}) == len(got) == 676
+
+
 def test_surrogates_stay_distinct(spark):
     ids = [f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in itertools.product(range(1), range(1), range(3000))]
     values = spark.createDataFrame([("ssn", i.replace("-", "")) for i in ids], "kind string, value string")
