@@ -27,7 +27,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
-    "secret": rf"(?<={_LABELS}[=:]|{_LABELS}(?: = |: |\": |\": \"| = \"|=\"))[A-Za-z0-9_-]{{6,}}+",
+    "secret": rf"(?<=[=:\"]|[=:] )(?<={_LABELS}[=:]|{_LABELS}(?: = |: |\": |\": \"| = \"|=\"))[A-Za-z0-9_-]{{6,}}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
