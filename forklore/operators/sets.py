@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forklore.operators.groups import shuffled_rank
+from forklore.operators.search import in_groups
 from forklore.session import materialize
 
+# Branches on the two sides of a tile; the larger is the number of bits of Spark's bitmaps.
+_INNER = 4_096
+_OUTER = 32_768
+
 
 def union_distinct(*sets: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), sets).distinct()
@@ -102,10 +109,11 @@ def contained_branches(branches: DataFrame, repo: str = "repo_id") -> DataFrame:
     """Branches whose commits all are in a longer branch (of equal ones all but the last name).
 
     ``branches(repo, branch, sha)``. Equal branches are compared with one of their
-    kind only, found by a fingerprint and then checked commit by commit. For the rest, each commit has
-    a bitmap of the branches that hold it; the branches that hold all commits of a branch are the intersection of its
-    commits' bitmaps. So a row is formed per commit of a branch and 32,768 branches, never per pair of branches. A branch
-    with a commit of its own is left out before.
+    kind only, found by a fingerprint and then checked commit by commit. For the rest, a branch lies in those
+    that hold all of its commits. That is found tile by tile, a tile being 4,096 branches against 32,768: a row is formed
+    per commit and tile, with the two sets of branches that hold the commit, never per pair of branches or per member,
+    and a task keeps one bit per pair of its tile, whatever the number of commits. A branch with a commit of its own is
+    left out before.
     """
     members = materialize(branches.select(repo, "branch", "sha").distinct(), "members")
     prints = members.groupBy(repo, "branch").agg(
@@ -122,35 +130,70 @@ def contained_branches(branches: DataFrame, repo: str = "repo_id") -> DataFrame:
         .select(repo, "branch", "outer_branch", "size")
     )
     outer = members.withColumnRenamed("branch", "outer_branch")
-    equal = _fully_shared(twins, members, outer, repo)
-    members = members.join(equal, [repo, "branch"], "left_anti")
-    numbers = shuffled_rank(members.select(repo, "branch").distinct(), [repo], F.col("branch"), "_no")
-    at = F.bitmap_bit_position("_no")
-    holders = (
-        members.join(numbers, [repo, "branch"])
-        .groupBy(repo, "sha", F.bitmap_bucket_number("_no").alias("_block"))
-        .agg(
-            F.bitmap_construct_agg(at).alias("_bits"), F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n")
-        )
-        .select(repo, "sha", "_block", "_n", F.expr("substring(_bits, 1, int(_last div 8) + 1)").alias("_bits"))
-    )
-    holders = materialize(holders, "holders")
-    own = holders.groupBy(repo, "sha").agg(F.sum("_n").alias("_n")).filter(F.col("_n") == 1).select(repo, "sha")
-    alone = members.join(own, [repo, "sha"], "left_semi").select(repo, "branch").distinct()
-    # beyond the shortest bitmap of a branch's commits none has a bit in common
-    common = (
-        members.join(alone, [repo, "branch"], "left_anti")
-        .join(holders, [repo, "sha"])
-        .groupBy(repo, "branch", "_block")
-        .agg(
-            F.count(F.lit(1)).alias("size"), F.bitmap_and_agg("_bits").alias("_bits"),
-            F.min(F.length("_bits")).alias("_width"),
-        )
-        .join(prints.select(repo, "branch", "size"), [repo, "branch", "size"])
-        .groupBy(repo, "branch")
-        .agg(F.sum(F.bitmap_count(F.expr("substring(_bits, 1, _width)"))).alias("_holders"))
+    equal = materialize(_fully_shared(twins, members, outer, repo), "equal")
+    left = prints.select(repo, "branch", "size").join(equal, [repo, "branch"], "left_anti")
+    numbers = shuffled_rank(left, [repo], F.col("branch"), "_no")
+    numbers = materialize(numbers.withColumn("_no", F.col("_no") - 1), "numbers")
+    counts = numbers.groupBy(repo).agg(F.count(F.lit(1)).alias("_branches"))
+    members = members.filter(F.col("sha").isNotNull()).join(numbers.drop("size"), [repo, "branch"])
+    holders = materialize(_held_by(members, repo, _OUTER), "holders")
+    own = holders.groupBy(repo, "sha").agg(F.sum("_n").alias("_n"))
+    alone = members.join(own.filter(F.col("_n") == 1), [repo, "sha"], "left_semi").select(repo, "branch").distinct()
+    inner = _held_by(members.join(alone, [repo, "branch"], "left_anti"), repo, _INNER).join(counts, repo)
+    tiles = inner.select(
+        repo, "sha", F.col("_part").alias("_tile"), "_branches", F.col("_few").alias("_few_in"), F.col("_bits").alias("_bits_in")
+    ).join(holders.select(repo, "sha", F.col("_part").alias("_block"), "_few", "_bits"), [repo, "sha"])
+    tiles = tiles.select(repo, "_tile", "_block", "_branches", "_few_in", "_bits_in", "_few", "_bits")
+    kind = members.schema[repo].dataType.simpleString()
+    schema = f"{repo} {kind}, _no long, _block long, size long, _holders long"
+    common = in_groups(tiles, [repo, "_tile", "_block"], [], _common_holders, schema)
+    held = common.join(numbers, [repo, "_no", "size"]).groupBy(repo, "branch").agg(F.sum("_holders").alias("_holders"))
+    return equal.unionByName(held.filter(F.col("_holders") > 1).select(repo, "branch"))
+
+
+def _held_by(members: DataFrame, repo: str, width: int) -> DataFrame:
+    """The branches that hold a commit, ``width`` at a time: a list of places, or a bitmap where that is shorter.
+
+    ``repo, sha, _part, _n, _few, _bits``; ``members`` has ``_no``. The exchange moves members, not bitmaps.
+    """
+    part, n = F.floor(F.col("_no") / width).alias("_part"), F.count(F.lit(1))
+    at = (F.col("_no") % width).alias("_at")
+    placed = members.select(repo, "sha", part, at).repartition(repo, "sha", "_part")
+    many = n > width // 16
+    bits = F.substring(F.bitmap_construct_agg("_at"), 1, width // 8)
+    return placed.groupBy(repo, "sha", "_part").agg(
+        n.alias("_n"),
+        F.when(~many, F.collect_list(F.col("_at").cast("short"))).alias("_few"),
+        F.when(many, bits).alias("_bits"),
     )
-    return equal.unionByName(common.filter(F.col("_holders") > 1).select(repo, "branch"))
+
+
+def _common_holders(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Per branch of a tile: its commits held in the block, and how many branches of the block hold all of those."""
+    repo, tile, block = key
+    every, seen = None, None
+    for _, _, _, branches, few_in, bits_in, few, bits in rows:
+        if every is None:
+            height = min(_INNER, branches - tile * _INNER)
+            width = (min(_OUTER, branches - block * _OUTER) + 7) // 8
+            every = np.full((height, width), 255, dtype=np.uint8)
+            seen = np.zeros(height, dtype=np.int64)
+        if bits_in is None:
+            at = np.asarray(few_in, dtype=np.int64)
+        else:
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits_in, dtype=np.uint8), bitorder="little")[:height])
+        if bits is None:
+            held = np.zeros(width * 8, dtype=np.uint8)
+            held[few] = 1
+            held = np.packbits(held, bitorder="little")
+        else:
+            held = np.frombuffer(bits, dtype=np.uint8)[:width]
+        seen[at] += 1
+        every[at] &= held
+    for at in np.flatnonzero(seen).tolist():
+        n = int(np.bitwise_count(every[at]).sum(dtype=np.int64))
+        if n:
+            yield repo, tile * _INNER + at, block, int(seen[at]), n
 
 
 def _fully_shared(
