@@ -72,15 +72,16 @@ def split_by_head_count(heads: DataFrame, limit: int) -> tuple[DataFrame, DataFr
     return heads.join(rejected.select("pair_id"), "pair_id", "left_anti"), rejected
 
 
-def reached(edges: DataFrame, heads: DataFrame, block: int = BLOCK) -> DataFrame:
+def reached(edges: DataFrame, heads: DataFrame, block: int = BLOCK, depth: DataFrame | None = None) -> DataFrame:
     """Commits each side's heads reach, with the least number of non-first parents followed.
 
-    ``pair_id, side, sha, distance``. Distance 0 is the first-parent line.
+    ``pair_id, side, sha, distance``. Distance 0 is the first-parent line. ``depth`` are the depths of ``edges``, if known.
     """
     seeds = heads.select(
         "pair_id", "side", "sha", F.lit(0).alias("value"), F.lit(None).cast("string").alias("tag")
     ).distinct()
-    found = least_costs(graph_blocks(edges, block=block), seeds, ["pair_id"], ["side"], free_first_parent)
+    blocks = graph_blocks(edges, block=block, depth=depth)
+    found = least_costs(blocks, seeds, ["pair_id"], ["side"], free_first_parent)
     return found.select("pair_id", "side", "sha", F.col("value").alias("distance"))
 
 
@@ -138,8 +139,9 @@ def decompose_branches(edges: DataFrame, heads: DataFrame, block: int = BLOCK) -
         .when(~F.col("is_merge"), "contribution")
         .otherwise("inner_merge")
     )
-    places = parents.join(depths(edges, block), NODE)
-    branches = reached(edges, heads, block).join(places, NODE).select(
+    depth = materialize(depths(edges, block), "depths")
+    places = parents.join(depth, NODE)
+    branches = reached(edges, heads, block, depth).join(places, NODE).select(
         "pair_id", "side", "sha", on_line.alias("on_line"), "is_merge", role.alias("role"), "depth"
     )
     return materialize(branches, "branches")

@@ -17,7 +17,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -71,38 +71,63 @@ def crowded(rows: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, in
 
 
 def _walked_depths(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
-    first = {sha: parent for _, sha, parent in rows}
+    """Depth of each commit, its steps away from ``up``; a commit without a row here has depth 0."""
+    up_of = {sha: (up, steps) for _, sha, up, steps in rows}
     depth: dict = {}
-    for sha in first:
+    for sha in up_of:
         line = []
-        while sha is not None and sha not in depth and sha in first:
+        while sha is not None and sha not in depth and sha in up_of:
             line.append(sha)
-            sha = first[sha]
-        below = depth.get(sha, -1)
-        for up, commit in enumerate(reversed(line), 1):
-            depth[commit] = below + up
+            sha = up_of[sha][0]
+        below = depth.get(sha, 0)
+        for commit in reversed(line):
+            below += up_of[commit][1]
+            depth[commit] = below
     yield from ((*key, sha, d) for sha, d in depth.items())
 
 
-def _doubled_depths(first: DataFrame) -> DataFrame:
-    """Depths by pointer doubling; a round writes the commits that have not reached a root yet, and those that just have."""
+def _contracted_depths(first: DataFrame, block: int) -> DataFrame:
+    """Depths by contraction, for graphs of more than ``block`` commits.
+
+    In each round about a quarter of the commits is taken out, none of them next to another, and the commits above
+    step over them, until a task can walk what is left of a graph. Then the commits taken out get theirs from the commit
+    they lead to, round by round backwards. So a round costs three quarters of the one before, and all together a fixed
+    number of passes over the graph.
+    """
+    first = materialize(first, "first")
     known = first.select("pair_id", F.col("sha").alias("first"), F.lit(True).alias("_known"))
     inner = first.where(F.col("first").isNotNull()).join(known, ["pair_id", "first"], "left")
-    inner = inner.select(*NODE, F.when(F.col("_known"), F.col("first")).alias("up"))
-    state = inner.unionByName(first.where(F.col("first").isNull()).select(*NODE, F.col("first").alias("up")))
-    state = state.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
-    done: list[DataFrame] = []
-    while True:
-        state, n_open = materialize_counted(state, "depths", F.col("up").isNotNull())
-        done.append(state.where(F.col("up").isNull()))
-        every = reduce(lambda a, b: a.unionByName(b), done)
-        if not n_open:
-            return every.drop("up")
-        below = every.unionByName(state.where(F.col("up").isNotNull()))
-        below = below.select("pair_id", F.col("sha").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        state = state.where(F.col("up").isNotNull()).join(below, ["pair_id", "up"]).select(
-            *NODE, F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")
+    inner = materialize(inner.select(*NODE, F.when(F.col("_known"), F.col("first")).alias("up")), "depths")
+    nought = F.lit(0).cast("long").alias("depth")
+    roots = first.where(F.col("first").isNull()).select(*NODE, nought).unionByName(
+        inner.where(F.col("up").isNull()).select(*NODE, nought)
+    )
+    links = inner.where(F.col("up").isNotNull()).withColumn("steps", F.lit(1).cast("long"))
+
+    def side(commit: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(len(taken)), F.col(commit)), F.lit(2)) == 1
+
+    taken: list[DataFrame] = []
+    while crowded(links, ["pair_id"], block)[1]:
+        # two neighbours are never taken out together: one would have to be on both sides
+        out = F.coalesce(~side("sha") & side("up"), F.lit(False))
+        over = links.where(out).select(
+            "pair_id", F.col("sha").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps")
         )
+        stay = links.where(~out).join(over, ["pair_id", "up"], "left")
+        steps = F.col("steps") + F.coalesce("_steps", F.lit(0))
+        taken.append(links.where(out))
+        links = materialize(stay.select(*NODE, F.coalesce("_up", "up").alias("up"), steps.alias("steps")), "depths")
+    schema = f"{_types(first, NODE)}, depth long"
+    done = [materialize(in_groups(links, ["pair_id"], [], _walked_depths, schema), "depths")]
+    while taken:
+        out = taken.pop()
+        # a commit taken out leads to one of the other side, or to a root, whose depth is 0
+        below = reduce(lambda a, b: a.unionByName(b), done).where(side("sha"))
+        below = below.select("pair_id", F.col("sha").alias("up"), F.col("depth").alias("_depth"))
+        depth = F.col("steps") + F.coalesce("_depth", F.lit(0))
+        done.append(materialize(out.join(below, ["pair_id", "up"], "left").select(*NODE, depth.alias("depth")), "depths"))
+    return reduce(lambda a, b: a.unionByName(b), [roots, *done])
 
 
 def depths(edges: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -110,10 +135,12 @@ def depths(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     first = edges.groupBy(*NODE).agg(F.min(F.when(F.col("parent_pos") == 0, F.col("parent"))).alias("first"))
     large, n_large = crowded(edges, ["pair_id"], block)
     small = first.join(large, "pair_id", "left_anti") if n_large else first
-    found = in_groups(small, ["pair_id"], [], _walked_depths, f"{_types(edges, NODE)}, depth long")
+    rows = small.withColumn("steps", F.lit(1).cast("long"))
+    found = in_groups(rows, ["pair_id"], [], _walked_depths, f"{_types(edges, NODE)}, depth long")
+    found = found.withColumn("depth", F.col("depth") - 1)
     if not n_large:
         return found
-    return found.unionByName(_doubled_depths(first.join(large, "pair_id", "left_semi")))
+    return found.unionByName(_contracted_depths(first.join(large, "pair_id", "left_semi"), block))
 
 
 def _blocks(depth: DataFrame, block: int) -> DataFrame:
@@ -139,12 +166,14 @@ class Blocks:
 
 
 def graph_blocks(
-    edges: DataFrame, extra: list[str] | None = None, block: int = BLOCK, sized_by: DataFrame | None = None
+    edges: DataFrame, extra: list[str] | None = None, block: int = BLOCK, sized_by: DataFrame | None = None,
+    depth: DataFrame | None = None,
 ) -> Blocks:
     """Cut ``edges`` (``pair_id``, ``extra``, ``sha, parent, parent_pos``) into blocks.
 
     ``extra`` columns tell apart the graphs of a pair. A commit without parents needs a row, whose parent is null.
     Which pairs are cut is counted in ``sized_by``, a table with a row for each edge at least (``edges`` if none is given).
+    ``depth`` are the :func:`depths` of ``edges``, where they are known already.
     """
     columns = ["pair_id", *(extra or []), "sha", "parent", "parent_pos"]
     large, n_large = crowded(edges if sized_by is None else sized_by, ["pair_id"], block)
@@ -153,14 +182,16 @@ def graph_blocks(
         return Blocks(edges.select(*columns, nought.alias("block"), nought.alias("there")), None)
     small = edges.join(large, "pair_id", "left_anti").select(*columns, nought.alias("block"), nought.alias("there"))
     many = edges.select(*columns).join(large, "pair_id", "left_semi")
-    at = materialize(_blocks(depths(many.drop(*(extra or [])).distinct(), block), block), "blocks")
+    placed = depths(many, block) if depth is None else depth.join(large, "pair_id", "left_semi")
+    at = materialize(_blocks(placed, block), "blocks")
     to = at.select("pair_id", F.col("sha").alias("parent"), F.col("block").alias("there"))
     # a parent that is no commit of the graph leaves a row without one: the commit itself can be reached
     linked = many.where(F.col("parent").isNotNull()).join(to, ["pair_id", "parent"], "left")
     linked = linked.withColumn("parent", F.when(F.col("there").isNotNull(), F.col("parent")))
     roots = many.where(F.col("parent").isNull()).withColumn("there", F.lit(None).cast("long"))
     rows = linked.unionByName(roots).join(at, NODE).select(*columns, "block", "there")
-    return Blocks(materialize(small.unionByName(rows), "graph"), at)
+    # in the order of blocks a file is read only where it holds the blocks asked for
+    return Blocks(materialize(small.unionByName(rows).sortWithinPartitions("block"), "graph"), at)
 
 
 def free_first_parent(pos: int, parent, first) -> int:
@@ -224,6 +255,40 @@ def _search_block(n_keys: int, n_labels: int, cost: Callable, trace: bool) -> Ca
     return each
 
 
+@dataclass
+class _Touched:
+    """The blocks a round reads: their keys, their number, and the least and largest ``block``."""
+
+    keys: DataFrame
+    n: int
+    low: int | None
+    high: int | None
+    #: Most blocks that are sent to every task; more are joined by an exchange.
+    FEW = 100_000
+
+    @classmethod
+    def by(cls, rows: DataFrame, names: list[str], cut: bool = True) -> _Touched:
+        """Blocks of ``rows``; where no graph is cut (``cut``) there is nothing to choose from."""
+        keys = rows.select(*names).distinct()
+        if not cut:
+            return cls(keys, cls.FEW + 1, 0, 0)
+        return cls(keys, *keys.agg(F.count(F.lit(1)), F.min("block"), F.max("block")).first())
+
+    def only(self, rows: DataFrame) -> DataFrame:
+        """Rows of these blocks at least; few blocks are looked up in place, without an exchange of ``rows``."""
+        if self.low is None:
+            return rows.where(F.lit(False))
+        rows = rows.where(F.col("block").between(self.low, self.high))
+        if self.n > self.FEW:
+            return rows
+        asked = self.keys.toDF(*[f"_{n}" for n in self.keys.columns])
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in self.keys.columns])
+        return rows.join(F.broadcast(asked), same, "left_semi")
+
+    def meets(self, other: _Touched) -> bool:
+        return None not in (self.low, other.low) and self.low <= other.high and other.low <= self.high
+
+
 def least_costs(
     blocks: Blocks, seeds: DataFrame, keys: list[str], labels: list[str], cost: Callable, trace: bool = False
 ) -> DataFrame:
@@ -254,25 +319,24 @@ def least_costs(
     out = [*node, *labels, "sha", "value", "tag", "came"]
     schema = ", ".join(f"{n} {kinds[n].simpleString()}" for n in out) + ", leaves boolean"
     each = _search_block(len(keys), len(labels), cost, trace)
-    settled: list[DataFrame] = []
+    settled: list[tuple[DataFrame, _Touched]] = []
     while True:
-        every = rows(graph, 0)
-        if settled:
-            touched = entries.select(*node).distinct()
-            every = every.join(touched, node, "left_semi")
-            for part in settled:
-                every = every.unionByName(rows(part, 1).join(touched, node, "left_semi"))
+        touched = _Touched.by(entries, node, blocks.places is not None)
+        every = rows(touched.only(graph), 0)
+        for part, blocks_of_part in settled:
+            if touched.meets(blocks_of_part):
+                every = every.unionByName(rows(touched.only(part), 1))
         every = every.unionByName(rows(entries, 2))
         found = in_groups(every, node, ["labelled", *labels, "kind"], each, schema)
         found, n_leaving = materialize_counted(found, "found", F.col("leaves"))
-        settled.append(found.where(~F.col("leaves")).drop("leaves"))
+        settled.append((found.where(~F.col("leaves")).drop("leaves"), touched))
         if not n_leaving:
             break
         entries = found.where("leaves").drop("leaves")
     if len(settled) == 1:
-        return settled[0]
+        return settled[0][0]
     best = F.min(F.struct("value", "tag", "came")).alias("best")
-    return reduce(lambda a, b: a.unionByName(b), settled).groupBy(*node, *labels, "sha").agg(best).select(
+    return reduce(lambda a, b: a.unionByName(b), [part for part, _ in settled]).groupBy(*node, *labels, "sha").agg(best).select(
         *node, *labels, "sha", "best.*"
     )
 
@@ -303,7 +367,7 @@ def traced(found: DataFrame, ends: DataFrame, keys: list[str], labels: list[str]
 
     ``found`` comes from :func:`least_costs` with ``trace``. One round per block that a path crosses.
     """
-    found = materialize(found, "traces")
+    found = materialize(found.sortWithinPartitions("block"), "traces")
     whole = [*keys, *labels, "block"]
     marks = ends.join(found.select(*whole, "sha"), [*keys, *labels, "sha"])
     schema = f"{_types(found, [*whole, 'sha', 'value'])}, leaves boolean"
@@ -311,8 +375,7 @@ def traced(found: DataFrame, ends: DataFrame, keys: list[str], labels: list[str]
     each = _walk_block(len(keys), len(labels))
     paths: list[DataFrame] = []
     while True:
-        open_ = marks.select(*whole).distinct()
-        rows = found.join(open_, whole, "left_semi").select(*whole, F.lit(0).alias("kind"), "sha", *none)
+        rows = _Touched.by(marks, whole).only(found).select(*whole, F.lit(0).alias("kind"), "sha", *none)
         rows = rows.unionByName(marks.select(*whole, F.lit(1).alias("kind"), "sha", *none.values()))
         step, n_leaving = materialize_counted(in_groups(rows, whole, ["kind"], each, schema), "path", F.col("leaves"))
         paths.append(step.where(~F.col("leaves")).select(*keys, *labels, "sha", "value"))

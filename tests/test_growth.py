@@ -1,10 +1,13 @@
 """Operators whose rows moved must not outgrow their input."""
 
+import glob
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from forklore.operators import sets
+from forklore.operators import search, sets
+from forklore.session import shared_dir
 
 
 def test_contained_branches_across_tiles_equals_brute_force(spark):
@@ -31,3 +34,27 @@ def test_contained_branches_form_no_bitmap_per_member(spark, tmp_path):
     held = sets._held_by(rows, "repo_id", sets._OUTER)
     kept = held.agg(F.sum(F.coalesce(F.length("_bits"), F.lit(0)) + F.coalesce(F.size("_few") * 2, F.lit(0)))).first()[0]
     assert held.count() == 15_000 and kept < 100_000
+
+
+def test_depths_write_each_commit_a_fixed_number_of_times(spark):
+    n = 4_000
+    line = spark.range(n).select(
+        F.lit(1).alias("pair_id"), F.col("id").alias("sha"),
+        F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(0).alias("parent_pos"),
+    )
+    folder = shared_dir(spark)
+    before = set(glob.glob(f"{folder}/*/*.parquet"))
+    got = search.depths(line, 100)
+    assert {(r.sha, r.depth) for r in got.collect()} == {(i, i) for i in range(n)}
+    written = sum(pq.read_metadata(f).num_rows for f in set(glob.glob(f"{folder}/*/*.parquet")) - before)
+    assert written < 8 * n
+
+
+def test_depths_of_many_roots_and_parents_outside_the_graph(spark):
+    rng = random.Random(3)
+    up = {i: (rng.randrange(max(0, i - 9), i) if i and rng.random() > 0.2 else rng.choice([None, -i - 1])) for i in range(600)}
+    want: dict = {}
+    for i, parent in up.items():
+        want[i] = want[parent] + 1 if parent in want else 0
+    edges = spark.createDataFrame([(1, i, p, 0) for i, p in up.items()], "pair_id int, sha long, parent long, parent_pos int")
+    assert {(r.sha, r.depth) for r in search.depths(edges, 40).collect()} == set(want.items())
