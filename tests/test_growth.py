@@ -6,7 +6,9 @@ import random
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from forklore.catalog.views import Tables
 from forklore.operators import search, sets
+from forklore.plans import links
 from forklore.session import shared_dir
 
 
@@ -58,3 +60,15 @@ def test_depths_of_many_roots_and_parents_outside_the_graph(spark):
         want[i] = want[parent] + 1 if parent in want else 0
     edges = spark.createDataFrame([(1, i, p, 0) for i, p in up.items()], "pair_id int, sha long, parent long, parent_pos int")
     assert {(r.sha, r.depth) for r in search.depths(edges, 40).collect()} == set(want.items())
+
+
+def test_linked_texts_are_dealt_by_rows(spark, sf_dir):
+    """By bytes a task got millions of rows, as those of a shuffle are small."""
+    t = Tables(spark, sf_dir)
+    n = t.lineitem.count()
+    dealt = t.spread("lineitem", "l_orderkey", 500)
+    assert dealt.lineitem.rdd.getNumPartitions() == -(-n // 500) and dealt.lineitem.count() == n
+    plain = links.pr_issue_links(t.issue, t.pr_comment)
+    got = links.pr_issue_links(dealt.issue, dealt.pr_comment, parts=7)
+    sizes = links.text_links(dealt.pr_comment, 7).groupBy(F.spark_partition_id()).count().count()
+    assert sizes == 7 and sorted(got.collect()) == sorted(plain.collect()) and got.count() > 0
