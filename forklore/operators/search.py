@@ -108,7 +108,8 @@ def _contracted_depths(first: DataFrame, block: int) -> DataFrame:
         return F.pmod(F.xxhash64(F.lit(len(taken)), F.col(commit)), F.lit(2)) == 1
 
     taken: list[DataFrame] = []
-    while crowded(links, ["pair_id"], block)[1]:
+    n_links = None
+    while (n_links is None or n_links > block) and crowded(links, ["pair_id"], block)[1]:
         # two neighbours are never taken out together: one would have to be on both sides
         out = F.coalesce(~side("sha") & side("up"), F.lit(False))
         over = links.where(out).select(
@@ -117,7 +118,8 @@ def _contracted_depths(first: DataFrame, block: int) -> DataFrame:
         stay = links.where(~out).join(over, ["pair_id", "up"], "left")
         steps = F.col("steps") + F.coalesce("_steps", F.lit(0))
         taken.append(links.where(out))
-        links = materialize(stay.select(*NODE, F.coalesce("_up", "up").alias("up"), steps.alias("steps")), "depths")
+        stay = stay.select(*NODE, F.coalesce("_up", "up").alias("up"), steps.alias("steps"))
+        links, n_links = materialize_counted(stay, "depths")
     schema = f"{_types(first, NODE)}, depth long"
     done = [materialize(in_groups(links, ["pair_id"], [], _walked_depths, schema), "depths")]
     while taken:
