@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from forklore.llm import langid, linededup, mixing, packing, pii, quality, simhash, substring
 from forklore.llm.components import connected_components
+from forklore.session import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, row string, h1 long"
 
@@ -437,5 +439,31 @@ def test_near_copies_behind_unlike_documents(spark):
     assert {r["doc_id"] for r in got} == {r[0] for r in rows}
 
 
+def test_frequent_phrase_of_unlike_documents_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(17)
+    phrase, own = words(rng, 38), words(rng, 24)
+    rows = [(i, " ".join(words(rng, 60) + phrase + words(rng, 60))) for i in range(120)]
+    # a copy of the phrase with its neighbours, one word more, behind all the others
+    rows += [(200, " ".join(words(rng, 60) + phrase + own)), (201, " ".join(words(rng, 60) + phrase + own[:12] + ["more"] + own[12:]))]
+    asked, verify = [], substring._verify
+    monkeypatch.setattr(substring, "_verify", lambda wanted, *a: asked.append(wanted.count()) or verify(wanted, *a))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), first_partners=4).collect()
+    assert {r["doc_id"] for r in got} == {200, 201}
+    # 122 documents share the phrase, that is 7,381 pairs; after the first partners only those that can have a passage are compared
+    assert sum(asked) < 3000 and sum(asked[2:]) < 20
+    left = {x.split("-")[0] for x in set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before}
+    assert not left & {"windows", "hits", "firsts", "tokens", "doubled", "members", "waiting", "regions", "postings"}
+
+
+def test_dense_in_frequent_tokens():
+    tokens = np.arange(100, dtype=np.int64)
+    # 41 of 46 are enough, 36 are not; tokens said twice may be among those that a passage counts once
+    assert substring._dense(tokens, tokens[20:61], 46, 0.8)
+    assert not substring._dense(tokens, tokens[20:56], 46, 0.8)
+    assert substring._dense(np.concatenate([tokens, tokens[50:60]]), tokens[20:50], 46, 0.8)
+    assert not substring._dense(tokens[:45], tokens, 46, 0.8)
+
+
 def test_hash_of_kept_text_is_of_the_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
