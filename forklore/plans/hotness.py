@@ -6,11 +6,12 @@ pr_id, sha)`` and ``files(sha, filename, status)``.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def hot_files_per_commit(
 
 
 def commit_hotness(
-    prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90, block: int = 8192
+    prs: DataFrame, pr_commits: DataFrame, files: DataFrame, window: int = 90, block: int = 8192, chunk: int = 1 << 20
 ) -> DataFrame:
     """Earlier commits that touch any file of the pull request.
 
@@ -120,21 +121,32 @@ def commit_hotness(
     share a file; removed files do not count. A pull request without files gives no
     row, one without such commits gives 0.
 
-    Commits are dealt by day into blocks of about ``block`` changed files. In a block each file has a bitmap of the commits that touch it; a
-    pull request unites those of its files, cuts the union by window and number, and counts bits. What is shuffled is
-    one row per pull request, file and block of its window; rows of request and commit are formed only for commits that
-    several pull requests hold, which may not be counted twice.
+    Commits of one file can be met by that file only, so they are counted file by file (:func:`_shared_of_one_file`), which takes a
+    row per pull request and file. Commits of several files, which may not be counted twice, are dealt by day into blocks, where each file
+    has a bitmap of the commits that touch it (:func:`_shared_by_bitmaps`). Rows of request and commit are formed only for commits that
+    several pull requests hold.
     """
-    kept = files.filter(F.col("status") != "removed").select("sha", "filename").distinct()
-    facts = prs.filter("is_closed").select("project_id", "pr_id", "age_in_day")
-    touched = materialize(pr_commits.join(facts, ["project_id", "pr_id"]).join(kept, "sha"), "touched")
-    held = touched.select("project_id", "pr_id", "sha").distinct().groupBy("project_id", "sha").agg(F.count(F.lit(1)).alias("n"))
-    several, n_several = materialize_counted(held.filter(F.col("n") > 1).select("project_id", "sha"), "several")
+    kept = files.filter(F.col("status") != "removed").select("sha", "filename").repartition("sha").distinct()
+    kept = kept.groupBy("sha").agg(F.collect_list(F.struct("filename")).alias("names"))  # NULL names stay
+    facts = prs.filter("is_closed").select("project_id", "pr_id", "age_in_day").distinct()
+    commits = pr_commits.select("project_id", "pr_id", "sha").join(facts, ["project_id", "pr_id"])
+    touched = materialize(commits.repartition("sha").distinct().join(kept, "sha"), "touched")
+    held = touched.groupBy("project_id", "sha").agg(F.min("pr_id").alias("a"), F.max("pr_id").alias("z"))
+    several, n_several = materialize_counted(held.filter(F.col("a") < F.col("z")).select("project_id", "sha"), "several")
     single = touched.join(several, ["project_id", "sha"], "left_anti") if n_several else touched
-    parts = _shared_by_bitmaps(single, touched, window, block)
+    one = F.size("names") == 1
+    mine = touched
     if n_several:
-        shared = touched.join(several, ["project_id", "sha"], "left_semi")
-        parts = parts.unionByName(_shared_by_pairs(shared, touched, window))
+        mine = touched.join(several.withColumn("_several", F.lit(True)), ["project_id", "sha"], "left")
+        one &= F.col("_several").isNull()
+    rows = mine.select("project_id", "pr_id", "age_in_day", F.explode("names").alias("name"), one.cast("int").alias("n"))
+    rows = rows.select("project_id", F.col("name.filename").alias("filename"), "pr_id", F.col("age_in_day").alias("age"), "n")
+    parts = _shared_of_one_file(rows, window, chunk).unionByName(
+        _shared_by_bitmaps(single.filter(F.size("names") > 1), touched, window, block)
+    )
+    if n_several:
+        each = touched.withColumn("filename", F.explode("names.filename"))
+        parts = parts.unionByName(_shared_by_pairs(each.join(several, ["project_id", "sha"], "left_semi"), each, window))
     none = touched.select("project_id", "pr_id", F.lit(0).cast("long").alias("n"))
     return (
         parts.unionByName(none)
@@ -143,57 +155,176 @@ def commit_hotness(
     )
 
 
+def _shared_of_one_file(rows: DataFrame, window: int, chunk: int) -> DataFrame:
+    """``project_id, pr_id, n``: commits of one file, from ``project_id, filename, pr_id, age, n`` with the commits that a request has there.
+
+    Counts how many points lie below and beside each, in one pass over the requests of a file in order of their number. A file of more
+    than ``chunk`` rows is cut by number; what lies in its lower chunks comes to a chunk as one row per day.
+    """
+    keys = ["project_id", "filename"]
+    rows = rows.where(F.col("age").isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min("pr_id").alias("lo"), F.max("pr_id").alias("hi"))
+    crowded, n_crowded = materialize_counted(sizes.where(F.col("rows") > chunk), "crowded")
+    cut = rows
+    if n_crowded:
+        marks = crowded.select(F.col("project_id").alias("_p"), F.col("filename").alias("_f"), "rows", "lo", "hi")
+        same = F.col("project_id").eqNullSafe(F.col("_p")) & F.col("filename").eqNullSafe(F.col("_f"))
+        share = (F.col("pr_id") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
+        no = F.floor(share * F.ceil(F.col("rows") / chunk)).cast("int")
+        cut = rows.join(marks, same, "left").withColumn("chunk", F.coalesce(no, F.lit(0)))
+        by_day = cut.where(F.col("_p").isNotNull()).groupBy(*keys, "chunk", "age").agg(F.sum("n").alias("n"))
+        # a day of a lower chunk is carried to each higher one
+        tops = by_day.groupBy(*keys).agg(F.max("chunk").alias("top"))
+        tops = tops.select(F.col("project_id").alias("_p"), F.col("filename").alias("_f"), "top")
+        carried = by_day.where("n > 0").join(tops, same).where(F.col("chunk") < F.col("top"))
+        carried = carried.withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("top"))))
+        carried = carried.select(*keys, F.lit(None).cast(rows.schema["pr_id"].dataType).alias("pr_id"), "age", "n", "chunk")
+        cut = cut.select(*keys, "pr_id", "age", "n", "chunk").unionByName(carried)
+        keys = [*keys, "chunk"]
+    # groups stay whole: the aggregate keeps this deal only while none of the keys is a literal
+    cut = cut.repartition(*keys).groupBy(*keys, "pr_id", "age").agg(F.sum("n").alias("n"))
+    dealt = cut.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in [*keys, "pr_id"]])
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ("project_id", "pr_id"))
+    return dealt.mapInArrow(_count_below(window, keys), f"{kinds}, n long")
+
+
+def _count_below(window: int, keys: list[str], tile: int = 128):
+    """Sorted rows of ``keys, pr_id, age, n`` in tiles; a tile is compared with itself, and with the days of its first group before it."""
+
+    def changes(table: pa.Table, names: list[str]) -> np.ndarray:
+        new = np.ones(table.num_rows, bool)
+        new[1:] = False
+        for name in names:
+            column = table.column(name).combine_chunks()
+            code = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        days, sums = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+        def counted(table: pa.Table) -> pa.RecordBatch:
+            nonlocal last, days, sums
+            fresh = changes(table, keys)
+            run_starts = np.flatnonzero(fresh | changes(table, ["pr_id"]))
+            first = tuple(table.column(k)[0].as_py() for k in keys)
+            group = np.cumsum(fresh)  # 1 for the first
+            number = np.zeros(table.num_rows, np.int64)
+            number[run_starts] = 1
+            number = np.cumsum(number)
+            age = table.column("age").to_numpy().astype(np.int64)
+            n = table.column("n").to_numpy().astype(np.int64)
+            found = np.zeros(table.num_rows, np.int64)
+            open_group = 1 if first == last else 0
+            at = 0
+            while at < table.num_rows:
+                upto = np.searchsorted(run_starts, at + tile, "right") - 1
+                end = table.num_rows if at + tile >= table.num_rows else int(run_starts[upto])
+                if end <= at:  # a run longer than a tile
+                    upto = np.searchsorted(run_starts, at, "right")
+                    end = int(run_starts[upto]) if upto < len(run_starts) else table.num_rows
+                g, k, a, w = group[at:end], number[at:end], age[at:end], n[at:end]
+                beside = a[None, :] - a[:, None]
+                met = (g[:, None] == g[None, :]) & (k[None, :] < k[:, None]) & (beside >= 0) & (beside <= window)
+                got = met @ w
+                if g[0] == open_group and len(days):
+                    m = int(np.searchsorted(g, open_group, "right"))
+                    got[:m] += sums[np.searchsorted(days, a[:m] + window, "right")] - sums[np.searchsorted(days, a[:m], "left")]
+                found[at:end] = got
+                mine = g == g[-1]
+                ages, weights = a[mine], w[mine]
+                if g[-1] == open_group:
+                    ages, weights = np.concatenate([days, ages]), np.concatenate([np.diff(sums), weights])
+                days, which = np.unique(ages, return_inverse=True)
+                sums = np.concatenate([[0], np.cumsum(np.bincount(which, weights, len(days)).astype(np.int64))])
+                open_group, at = int(g[-1]), end
+            last = tuple(table.column(k)[table.num_rows - 1].as_py() for k in keys)
+            asked = pa.array(found > 0)
+            if table.column("pr_id").null_count:  # carried days
+                asked = pc.and_(asked, table.column("pr_id").is_valid().combine_chunks())
+            out = pa.table({"project_id": table.column("project_id"), "pr_id": table.column("pr_id"), "n": found}).filter(asked)
+            return out.combine_chunks()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < 1 << 15:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(changes(table, [*keys, "pr_id"]))[-1])  # the last run may go on
+            held, size = table.slice(cut).to_batches(), table.num_rows - cut
+            if cut:
+                yield from counted(table.slice(0, cut)).to_batches()
+        if held:
+            yield from counted(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def _shared_by_bitmaps(single: DataFrame, touched: DataFrame, window: int, block: int) -> DataFrame:
-    """``project_id, pr_id, n``, block by block; a commit of ``single`` belongs to one pull request."""
-    per_day = touched.groupBy("project_id", "age_in_day").agg(F.count(F.lit(1)).alias("n"))
+    """``project_id, pr_id, n``, block by block; a commit of ``single`` belongs to one pull request.
+
+    A block has about ``block`` changed files, up to 8 times as many where windows are so full that they would span more than four.
+    """
+    n = single.groupBy("project_id", "age_in_day").agg(F.sum(F.size("names")).alias("n"))
+    asked = touched.select("project_id", "age_in_day").distinct()
     before = Window.partitionBy("project_id").orderBy("age_in_day").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block)
-    wide = F.ceil(F.col("n") / block)  # a crowded day is dealt by hash
-    days = per_day.select("project_id", "age_in_day", first.alias("first"), wide.alias("wide"))
     span = Window.partitionBy("project_id").orderBy("age_in_day").rangeBetween(0, window)
-    days = days.withColumn("last", F.max(F.col("first") + F.col("wide") - 1).over(span))
-    requests = touched.join(days, ["project_id", "age_in_day"]).withColumn("block", F.explode(F.sequence("first", "last")))
+    days = asked.join(n, ["project_id", "age_in_day"], "left").fillna(0, ["n"]).withColumn("full", F.sum("n").over(span))
+    most = F.max("full").over(Window.partitionBy("project_id"))
+    days = days.withColumn("size", F.least(F.greatest(F.lit(block), F.ceil(most / 4)), F.lit(8 * block)))
+    days = days.withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.col("size")))
+    days = days.withColumn("wide", F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("size"))))  # a crowded day is dealt by hash
+    days = days.withColumn("last", F.max(F.when(F.col("n") > 0, F.col("first") + F.col("wide") - 1)).over(span))
+    days = materialize(days.where(F.col("full") > 0).select("project_id", "age_in_day", "first", "wide", "last"), "days")
+    files = touched.groupBy("project_id", "pr_id", "age_in_day").agg(F.flatten(F.collect_list("names.filename")).alias("names"))
+    requests = files.join(days, ["project_id", "age_in_day"]).withColumn("block", F.explode(F.sequence("first", "last")))
     dealt = single.join(days, ["project_id", "age_in_day"]).withColumn(
         "block", F.col("first") + F.pmod(F.xxhash64("sha"), F.col("wide"))
     )
-    columns = ["project_id", "block", "kind", "age_in_day", "pr_id", "sha", "filename"]
-    rows = dealt.withColumn("kind", F.lit(0)).select(*columns).unionByName(
-        requests.withColumn("kind", F.lit(1)).withColumn("sha", F.lit(None).cast(touched.schema["sha"].dataType)).select(*columns)
+    columns = ["project_id", "block", "kind", "order", "pr_id", "age_in_day", "names"]
+    pr_type = touched.schema["pr_id"].dataType
+    rows = dealt.select(
+        "project_id", "block", F.lit(0).alias("kind"), F.col("pr_id").alias("order"), "pr_id", "age_in_day",
+        F.col("names.filename").alias("names"),
+    ).unionByName(
+        requests.withColumn("kind", F.lit(1)).withColumn("order", F.col("age_in_day").cast(pr_type)).select(*columns)
     )
     kinds = ", ".join(f"{n} {touched.schema[n].dataType.simpleString()}" for n in ("project_id", "pr_id"))
-    return in_groups(
-        rows, ["project_id", "block"], ["kind", "age_in_day", "pr_id", "sha"], _count_bits(window), f"{kinds}, n long"
-    )
+    return in_groups(rows, ["project_id", "block"], ["kind", "order"], _count_bits(window), f"{kinds}, n long")
 
 
 def _count_bits(window: int):
-    """Commits of a block in order of day (kind 0), then its requests, file by file."""
+    """Commits of a block in order of the number of their request (kind 0), then requests by day."""
 
     def each(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         by_file: dict = {}
-        by_request: dict = {}
-        ages: list[int] = []
-        last = None
+        by_day: dict = {}
         numbers: list = []
-        lower = [0]
-        for (kind, age, pr_id), part in groupby(rows, itemgetter(2, 3, 4)):
+        now, inside = None, 0
+        for _, _, kind, _, pr_id, age, names in rows:
             if kind == 0:
-                for *_, sha, filename in part:
-                    if sha != last:
-                        by_request[pr_id] = by_request.get(pr_id, 0) | 1 << len(ages)
-                        ages.append(age)
-                        last = sha
-                    by_file[filename] = by_file.get(filename, 0) | 1 << len(ages) - 1
+                bit = 1 << len(numbers)
+                numbers.append(pr_id)
+                by_day[age] = by_day.get(age, 0) | bit
+                for name in names:
+                    by_file[name] = by_file.get(name, 0) | bit
+                continue
+            if age != now:
+                now, inside = age, 0
+                for day, bits in by_day.items():
+                    if age <= day <= age + window:
+                        inside |= bits
+            lower = bisect_left(numbers, pr_id)
+            if not inside or not lower:
                 continue
-            if not numbers:
-                numbers = sorted(by_request)
-                for number in numbers:
-                    lower.append(lower[-1] | by_request[number])
             union = 0
-            for *_, filename in part:
-                union |= by_file.get(filename, 0)
-            union &= lower[bisect_left(numbers, pr_id)]
-            union &= (1 << bisect_right(ages, age + window)) - (1 << bisect_left(ages, age))
+            for name in names:
+                union |= by_file.get(name, 0)
+            union &= inside & (1 << lower) - 1
             if union:
                 yield key[0], pr_id, union.bit_count()
 

@@ -130,3 +130,34 @@ def test_commit_hotness_and_prior_counts_equal_pairs(spark):
     for chunk in (1 << 20, 16):
         got = intervals.prior_window_lower(frames[0], chunk=chunk).collect()
         assert {tuple(r) for r in got} == counted
+
+
+def test_commit_hotness_forms_a_row_per_request_and_file(spark, monkeypatch):
+    """Requests met each block of days of their window, so rows grew with the square of the commits in it."""
+    rng = random.Random(11)
+    prs = [(n % 2, n, rng.randrange(200), True) for n in range(1500)]
+    commits = [(n % 2, n, 10 * n + i) for n in range(1500) for i in range(2)]
+    files = [(sha, name if rng.random() < 0.95 else None, "added") for _, _, sha in commits
+             for name in rng.sample(["hot", *(f"f{i}" for i in range(60))], 1 if sha % 7 else 3)]
+    names_of, held = {}, {}
+    for sha, name, _ in files:
+        names_of.setdefault(sha, set()).add(name)
+    for project, pr, sha in commits:
+        held.setdefault((project, pr), []).append(sha)
+    want = set()
+    for project, pr, age, _ in prs:
+        mine = set().union(*(names_of[s] for s in held[project, pr]))
+        prior = [n for p, n, a, _ in prs if p == project and n < pr and age <= a <= age + 90]
+        want.add((project, pr, sum(bool(names_of[s] & mine) for n in prior for s in held[project, n])))
+    frames = (
+        spark.createDataFrame(prs, "project_id int, pr_id long, age_in_day int, is_closed boolean"),
+        spark.createDataFrame(commits, "project_id int, pr_id long, sha long"),
+        spark.createDataFrame(files, "sha long, filename string, status string"),
+    )
+    dealt, in_groups = [], hotness.in_groups
+    monkeypatch.setattr(hotness, "in_groups", lambda rows, *a: dealt.append(rows.count()) or in_groups(rows, *a))
+    for block, chunk in ((8192, 1 << 20), (64, 1 << 20), (64, 20)):
+        got = hotness.commit_hotness(*frames, block=block, chunk=chunk).collect()
+        assert {tuple(r) for r in got} == want
+    # a window of more than four blocks is not cut into more of them
+    assert dealt[1] < 8 * len(prs)
